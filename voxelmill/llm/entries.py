@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmill.llm import licenses, media, mixing, packing, sharding
+from voxelmill.llm import embed_dedup, licenses, media, mixing, ngram_join, packing, sharding
 from voxelmill.llm._spark import table
 
 
@@ -15,6 +15,14 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
 
 
+def op2_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -43,6 +51,8 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = [
         op1_license_scan,
+        op2_inverted_multi_index,
+        op3_ngram_join,
         op4_length_buckets,
         op6_media_columns,
         op9_temperature_mixing,
