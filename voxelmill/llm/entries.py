@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmill.llm import embed_dedup, licenses, media, mixing, ngram_join, packing, sharding
+from voxelmill.llm import embed_dedup, licenses, media, mixing, ngram_join, packing, quality, sharding, toxicity, urls
 from voxelmill.llm._spark import table
 
 
@@ -27,10 +27,22 @@ def op4_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
+def op7_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select(
@@ -54,7 +66,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_inverted_multi_index,
         op3_ngram_join,
         op4_length_buckets,
+        op5_quality_votes,
         op6_media_columns,
+        op7_weak_toxicity,
+        op8_url_templates,
         op9_temperature_mixing,
         op10_feistel_shards,
     ]
