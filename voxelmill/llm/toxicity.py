@@ -37,6 +37,8 @@ WORD_VOTERS, START_VOTERS = 12, 6
 SHARE = 0.001
 BANDS = ((0.004, 0.008), (0.006, 0.012), (0.008, 0.016))
 THRESHOLD = 0.5
+#: Misfit of a pair of voters at which it counts half in the fit of accuracies.
+MISFIT = 0.05
 WORD = re.compile(r"\w+")
 
 
@@ -146,8 +148,8 @@ def label_model(n: float, sums: np.ndarray, products: np.ndarray, prior: float,
     """Fit from the number of documents and the sums of votes and of their products.
 
     Given the label y, independent voters have ``cov(i, j) = u_i u_j`` with ``u = cov(vote, y) / sd(y)``.
-    u is fitted to the off-diagonal by alternating least squares that downweight pairs which fit
-    badly: these are correlated given the label. The covariance within labels is what u leaves; with
+    u starts from medians over triples of voters and is fitted to the off-diagonal by alternating
+    least squares that downweight pairs which fit badly: these are correlated given the label. The covariance within labels is what u leaves; with
     it the log-odds of the label are linear in the votes.
     """
     prior = float(np.clip(prior, 0.01, 0.99))
@@ -160,11 +162,15 @@ def label_model(n: float, sums: np.ndarray, products: np.ndarray, prior: float,
     corr = cov[np.ix_(live, live)] / np.outer(sd[live], sd[live])
     m = len(corr)
     off = ~np.eye(m, dtype=bool)
-    value, vector = np.linalg.eigh(corr)
-    u = vector[:, -1] * np.sqrt(max(value[-1], 0)) * np.sign(vector[:, -1].sum() or 1)
+    u = np.zeros(m)
+    for j in range(m):  # independent triples have corr(j, k) corr(j, l) / corr(k, l) = u_j squared
+        k, others = np.triu_indices(m, 1)
+        use = (k != j) & (others != j) & (corr[k, others] > 0.02)
+        ratios = corr[j, k[use]] * corr[j, others[use]] / corr[k[use], others[use]]
+        u[j] = np.sqrt(np.clip(np.median(ratios), 1e-4, 0.96)) if use.any() else 0.01
     for _ in range(rounds):
         residual = np.abs(corr - np.outer(u, u))
-        weight = off / (1 + (residual / 0.15) ** 2)
+        weight = off / (1 + (residual / MISFIT) ** 2)
         for j in range(m):
             u[j] = (weight[j] * corr[j] * u).sum() / max((weight[j] * u * u).sum(), 1e-9)
         u = np.clip(u, 0.0, 0.98)
