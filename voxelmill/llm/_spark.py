@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space, as the word rules of this package take it.
-WS = r"[\x20\x09-\x0D]+"
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a folder of this machine only where the session names none."""
