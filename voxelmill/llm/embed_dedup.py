@@ -40,6 +40,20 @@ def fit_codebook(half: np.ndarray, codes: int, seed: int, rounds: int = 8) -> np
     return book
 
 
+def thin(sample: np.ndarray, threshold: float) -> np.ndarray:
+    """The sample without vectors near an earlier one, so that a crowd doesn't draw codes to itself."""
+    kept = sample[:0]
+    for start in range(0, len(sample), 256):
+        block = sample[start : start + 256]
+        block = block[~(block @ kept.T >= threshold).any(1)] if len(kept) else block
+        close = np.tril(block @ block.T >= threshold, -1)
+        alone = np.ones(len(block), bool)
+        for k in range(len(block)):
+            alone[k] = not (close[k] & alone).any()
+        kept = np.concatenate([kept, block[alone]])
+    return kept
+
+
 def distances(half: np.ndarray, book: np.ndarray) -> np.ndarray:
     return np.maximum((half**2).sum(1)[:, None] + (book**2).sum(1) - 2 * half @ book.T, 0)
 
@@ -66,6 +80,7 @@ def fit_index(sample: np.ndarray, codes: int, threshold: float, recall: float, s
     Partners are drawn at a cosine of exactly the threshold in random directions from the sample's
     vectors; nearer partners are visited more surely.
     """
+    sample = thin(sample, threshold)
     half = sample.shape[1] // 2
     books = fit_codebook(sample[:, :half], codes, seed), fit_codebook(sample[:, half:], codes, seed + 1)
     rng = np.random.default_rng(seed)
