@@ -148,6 +148,13 @@ def test_flagship_on_a_small_video(spark):
     assert segment.slice_connect(frames.limit(0), 0.5, 8, 8, 2).count() == 0
 
 
+def test_shards_are_equal_and_cover_all(spark):
+    got = evaluate.shards(spark.range(45), "id", 7, 3, Tables(spark)).toPandas()
+    assert len(got) == 49 and set(got["id"]) == set(range(45))
+    assert all(sorted(g["place"]) == list(range(7)) for _, g in got.groupby("shard"))
+    assert evaluate.shards(spark.range(0), "id", 7, 3, Tables(spark)).count() == 0
+
+
 def test_files(spark, tmp_path):
     x = np.arange(2 * 3 * 4, dtype="u2").reshape(2, 3, 4) + 40_000
     (tmp_path / "a.tif").write_bytes(volumes.tiff_bytes(x))

@@ -178,6 +178,11 @@ def rot90(spark, d):
     return pre.rot90(_vox(spark, d), H, W)
 
 
+@query()
+def scale_shift(spark, d):
+    return pre.scale_shift(_vox(spark, d), 0.1, 0.1, 5)
+
+
 # -- tiling ------------------------------------------------------------------------------------
 
 WINDOWS = f"""{N}, wt as (select unnest(range(0, n - 16 + 1, 8)) as t0 from n union select n - 16 from n),
@@ -340,6 +345,11 @@ def dice(spark, d):
     return _rounded(pairs.dice(views.counted_masks(spark, d), _lines(spark, d)), "dice")
 
 
+@query(f"with {SM} select a.pixel, a.val * b.val as val from sm a join sm b on a.pixel = b.pixel where a.mask_id = 1 and b.mask_id = 2")
+def mask_intersection(spark, d):
+    return pairs.intersection(views.counted_masks(spark, d), 1, 2)
+
+
 # -- merging -----------------------------------------------------------------------------------
 
 
@@ -491,6 +501,11 @@ def open_close(spark, d):
     return morph.open_close(_cell_masks(spark, d), 3, 3, H, W)
 
 
+@query()
+def open_close_between(spark, d):
+    return morph.open_close_between(_cell_masks(spark, d), 3, 9, 3, 3, H, W)
+
+
 # -- overlaps and traces -----------------------------------------------------------------------
 
 
@@ -602,7 +617,7 @@ def eval_euclid(spark, d):
 
 @query()
 def shard_sampler(spark, d):
-    return evaluate.shards(views.frames(spark, d), "t", 4, 11)
+    return evaluate.shards(views.frames(spark, d), "t", 7, 11, Tables(spark))
 
 
 # -- maps and exports --------------------------------------------------------------------------

@@ -149,6 +149,21 @@ def running_mean(rows: DataFrame, key: str, order: str, value: str, weight: str)
     return rows.select(key, order, mean.alias("mean"))
 
 
-def shards(rows: DataFrame, key: str, world: int, seed: int) -> DataFrame:
-    """``key, shard``: an epoch's rows spread over ``world`` readers by a seeded hash of the key."""
-    return rows.select(key, F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(world)).alias("shard"))
+def shards(rows: DataFrame, key: str, world: int, seed: int, tables: Tables) -> DataFrame:
+    """``key, shard, place``: an epoch's seeded permutation dealt to ``world`` readers, with equal shares.
+
+    Row k of the permutation goes to shard ``k mod world``. As many rows from its start are shown
+    again as the last round lacks. Numbers come from a sort and one count per partition of it.
+    """
+    sort = rows.select(key).sort(F.xxhash64(key, F.lit(seed)), key).withColumn("id", F.monotonically_increasing_id())
+    kept = tables.keep(sort)
+    part, place = F.shiftright("id", 33).cast("int"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    before, total = [], 0
+    for r in kept.groupBy(part.alias("part")).count().orderBy("part").collect():  # a row for each partition of the sort
+        before.append((r["part"], total))
+        total += r["count"]
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(before, "part int, before long"))
+    numbered = kept.withColumn("part", part).join(offsets, "part").select(key, (F.col("before") + place).alias("k"))
+    lacking = -total % world
+    again = numbered.where(F.col("k") < lacking).withColumn("k", F.col("k") + total)
+    return numbered.unionByName(again).select(key, (F.col("k") % world).alias("shard"), F.call_function("div", "k", F.lit(world)).alias("place"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
@@ -52,11 +51,13 @@ def importance(roi: Shape, sigma_scale: float | None = None) -> Column:
 
 
 def overlap_add(
-    vox: DataFrame, size: Shape, roi: Shape, overlap: tuple[float, float, float], predictor: Callable[[np.ndarray], np.ndarray], sigma_scale: float | None = None
+    vox: DataFrame, size: Shape, roi: Shape, overlap: tuple[float, float, float], predictor: Callable[[np.ndarray], np.ndarray], sigma_scale: float | None = None,
+    weight: Column | None = None,
 ) -> DataFrame:
     """``t, pixel, v``: weighted mean of the predictions of all windows that hold a voxel.
 
-    ``predictor`` takes and returns an array of the window's shape. Videos smaller than a window are
+    ``predictor`` takes and returns an array of the window's shape. ``weight`` may replace the map of
+    importance: a column over the place in the window (dt, dh, dw) and the prediction p. Videos smaller than a window are
     padded with zeros, half before and the odd one after. A voxel is sent to the windows that hold
     it; their results are summed per voxel with partial aggregation.
     """
@@ -80,7 +81,7 @@ def overlap_add(
 
     got = at.groupBy("t0", "h0", "w0").applyInPandas(predict, "t long, h long, w long, t0 long, h0 long, w0 long, p double")
     got = got.withColumns({"dt": F.col("t") - F.col("t0"), "dh": F.col("h") - F.col("h0"), "dw": F.col("w") - F.col("w0")})
-    weight = importance(roi, sigma_scale)
+    weight = importance(roi, sigma_scale) if weight is None else weight
     summed = got.groupBy("t", "h", "w").agg((F.sum(F.col("p") * weight) / F.sum(weight)).alias("v"))
     return summed.select(
         (F.col("t") - pads[0] // 2).alias("t"), ((F.col("h") - pads[1] // 2) * width + F.col("w") - pads[2] // 2).alias("pixel"), "v"
@@ -90,7 +91,3 @@ def overlap_add(
 def logit_mask(logits: DataFrame, level: float = 0.0) -> DataFrame:
     """``t, pixel``: voxels whose foreground logit exceeds the background's by more than ``level``."""
     return logits.where(F.col("fg") - F.col("bg") > level).select("t", "pixel")
-
-
-def volume(size: Shape) -> int:
-    return math.prod(size)
