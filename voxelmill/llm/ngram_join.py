@@ -125,11 +125,18 @@ def _is_in(tokens: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, tokens), len(table) - 1)] == tokens
 
 
-POSTING = "sig long, doc_id long, n long"
+#: One more token in so many is indexed beyond the shortest prefix, and as many more have to be shared.
+EXTRA = 20
+POSTING = "sig long, doc_id long, n long, spare long"
 
 
 def rare_postings(sets: DataFrame, frequent, rule: Rule, hard: bool) -> DataFrame:
-    """Index entries of the rare tokens of prefixes; or (``hard``) ids of documents that have too few."""
+    """Index entries of the rare tokens of prefixes; or (``hard``) ids of documents that have too few.
+
+    A prefix is longer than it must be by ``spare - 1`` tokens, as far as rare ones last. Of two
+    similar documents, that with the earlier end of its prefix misses no more tokens than it may, so
+    both share the lesser spare at least.
+    """
     schema = _arrow("doc_id long" if hard else POSTING)
 
     def run(batches):
@@ -143,19 +150,22 @@ def rare_postings(sets: DataFrame, frequent, rule: Rule, hard: bool) -> DataFram
             rare = ~_is_in(tokens, table)
             tokens, of = tokens[rare], of[rare]
             have = np.bincount(of, minlength=len(ids))
-            need = rule.missing(n) + 1
+            may = rule.missing(n)
             if hard:
-                yield pa.RecordBatch.from_arrays([pa.array(ids[have < need])], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[have <= may])], schema=schema)
                 continue
+            take = np.minimum(have, may + 1 + n // EXTRA)
+            spare = np.maximum(take - may, 1)
             rank = np.arange(len(of)) - (np.cumsum(have) - have)[of]
-            keep = rank < need[of]
+            keep = rank < take[of]
             of = of[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(tokens[keep])), pa.array(ids[of]), pa.array(n[of])], schema=schema)
+            cols = [_signed(tokens[keep]), ids[of], n[of], spare[of]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=schema)
 
     return sets.select("doc_id", "n", "counted").mapInArrow(run, "doc_id long" if hard else POSTING)
 
 
-BUCKET = "sig long, size long, leader long, leader_n long, doc_id long, n long"
+BUCKET = "sig long, size long, leader long, leader_n long, leader_spare long, doc_id long, n long, spare long"
 
 
 def bucket_rows(postings: DataFrame, partitions: int) -> DataFrame:
@@ -169,19 +179,19 @@ def bucket_rows(postings: DataFrame, partitions: int) -> DataFrame:
         parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
         if not parts:
             return
-        sig, doc, n = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        sig, doc, n, spare = (np.concatenate([p[k] for p in parts]) for k in range(4))
         del parts
         order = np.lexsort((doc, sig))
-        sig, doc, n = sig[order], doc[order], n[order]
+        sig, doc, n, spare = sig[order], doc[order], n[order], spare[order]
         fresh = np.concatenate([[True], (sig[1:] != sig[:-1])])
         again = np.concatenate([[False], (doc[1:] == doc[:-1]) & ~fresh[1:]])  # a repeated row of an id
-        sig, doc, n, fresh = sig[~again], doc[~again], n[~again], fresh[~again]
+        sig, doc, n, spare, fresh = sig[~again], doc[~again], n[~again], spare[~again], fresh[~again]
         start = np.maximum.accumulate(np.where(fresh, np.arange(len(sig)), 0))
         group = np.cumsum(fresh) - 1
         size = np.bincount(group)[group]
         keep = ~fresh
         lead = start[keep]
-        cols = [sig[keep], size[keep], doc[lead], n[lead], doc[keep], n[keep]]
+        cols = [sig[keep], size[keep], doc[lead], n[lead], spare[lead], doc[keep], n[keep], spare[keep]]
         for k in range(0, len(lead), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000].astype(np.int64)) for c in cols], schema=schema)
 
@@ -482,11 +492,14 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     )
     heavy = crowd.where(F.col("size") > RARE).select("sig", "leader")
     shared = entries.join(crowd.where(F.col("size") <= RARE).select("sig"), "sig", "left_semi")
-    table = scratch.save(buckets.unionByName(bucket_rows(shared.select("sig", "doc_id", "n"), partitions)), "buckets")
+    shared = shared.select("sig", "doc_id", "n", F.lit(1).cast("long").alias("spare"))
+    table = scratch.save(buckets.unionByName(bucket_rows(shared, partitions)), "buckets")
 
     fits = f"{rule.den} * least(leader_n, n) >= {rule.num} * greatest(leader_n, n)"
-    stars = scratch.save(table.where(fits).groupBy("leader", "doc_id").agg(F.count("*").alias("hits")), "stars")
-    best = stars.groupBy("doc_id").agg(F.max_by("leader", F.struct("hits", -F.col("leader"))).alias("leader"))
+    need = F.min(F.least("leader_spare", "spare")).alias("need")
+    stars = scratch.save(table.where(fits).groupBy("leader", "doc_id").agg(F.count("*").alias("hits"), need), "stars")
+    # the hits with a leader are only those of the buckets it leads, so this passes over some pairs; they come again below
+    best = stars.where("hits >= need").groupBy("doc_id").agg(F.max_by("leader", F.struct("hits", -F.col("leader"))).alias("leader"))
     best = scratch.save(best.select("leader", "doc_id"), "best")
     links = verify(best, docs, rule, partitions, scratch).unionByName(same)
 
@@ -499,12 +512,15 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     def apart(pairs: DataFrame) -> DataFrame:
         labelled = pairs.join(names, F.col("leader") == F.col("x"), "left").withColumn("ca", F.coalesce("cx", "leader")).drop("x", "cx")
         labelled = labelled.join(names, F.col("doc_id") == F.col("x"), "left").withColumn("cb", F.coalesce("cx", "doc_id"))
-        return labelled.where("ca != cb").select("leader", "doc_id")
-
-    larger = table.where("size > 2").select("sig", "doc_id", "n")
-    other = larger.select("sig", F.col("doc_id").alias("leader"), F.col("n").alias("leader_n"))
-    inner = larger.join(other, "sig").where("leader < doc_id").where(fits).select("leader", "doc_id")
-    rest = apart(inner).unionByName(apart(stars.select("leader", "doc_id"))).distinct().join(best, ["leader", "doc_id"], "left_anti")
+        return labelled.where("ca != cb").select("leader", "doc_id", "hits", "need")
+
+    # every bucket that two documents share gives one row: as its leader's, or as one of its other pairs
+    larger = table.where("size > 2").select("sig", "doc_id", "n", "spare")
+    other = larger.select("sig", F.col("doc_id").alias("leader"), F.col("n").alias("leader_n"), F.col("spare").alias("leader_spare"))
+    inner = larger.join(other, "sig").where("leader < doc_id").where(fits)
+    inner = inner.select("leader", "doc_id", F.lit(1).cast("long").alias("hits"), F.least("leader_spare", "spare").alias("need"))
+    rest = apart(inner).unionByName(apart(stars)).groupBy("leader", "doc_id").agg(F.sum("hits").alias("hits"), F.min("need").alias("need"))
+    rest = rest.where("hits >= need").join(best, ["leader", "doc_id"], "left_anti").select("leader", "doc_id")
     rest = scratch.save(rest, "rest")
     links = links.unionByName(verify(rest, docs, rule, partitions, scratch))
     links = scratch.save(links, "all_links")
