@@ -28,7 +28,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
+    if len(_POWERS.get("up", ())) <= n:
         size = max(n, PIECE + 1)
         base, inverse = np.uint64(_ODD), np.uint64(pow(_ODD, -1, 1 << _INVERSE_BITS))
         for name, b in (("up", base), ("down", inverse)):

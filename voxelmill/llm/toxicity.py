@@ -30,6 +30,8 @@ INSULTS = ("bastard", "bitch", "clown", "creep", "disgusting", "dumb", "fool", "
 PER_CLASS, TRAIN_ROWS = 6000, 20_000
 #: Mined words and word beginnings, at most; rows of label 1 that have one at least, and their share.
 MINED_WORDS, MINED_STARTS, SUPPORT, PRECISION = 400, 60, 4, 0.6
+#: Terms that a task counts before it passes the counts on.
+COUNTED = 100_000
 START_LENGTHS = (4, 5, 6, 7, 8)
 #: Voters that the mined words and the mined beginnings are dealt to.
 WORD_VOTERS, START_VOTERS = 12, 6
@@ -110,7 +112,7 @@ def mine(docs: DataFrame, labels: DataFrame, label: str) -> tuple[Voters, float]
                 own = {("w", w) for w in words if len(w) > 2} | {("s", w[:m]) for w in words for m in START_LENGTHS if len(w) >= m}
                 n.update((*t, y) for t in own)
                 n["n", "", y] += 1
-            if len(n) > 500_000:
+            if len(n) > COUNTED:
                 yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["kind", "term", "y", "n"])
                 n = Counter()
         yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["kind", "term", "y", "n"])
@@ -190,7 +192,7 @@ def label_model(n: float, sums: np.ndarray, products: np.ndarray, prior: float,
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
     """Newton's method for soft labels."""
     w = np.zeros(x.shape[1])
-    for _ in range(steps):
+    for _ in range(steps if len(x) else 0):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (p - y) / len(x) + ridge * w
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(x) + ridge * np.eye(len(w)), grad)
