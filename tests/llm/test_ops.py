@@ -16,11 +16,14 @@ from voxelmill.llm import embed_dedup, licenses, media, mixing, ngram_join, pack
 from voxelmill.llm._labels import held_out
 from voxelmill.llm._shingles import shingles
 
-DOCS = "doc_id long, text string, source string, leader long, sig string, bucket int, mix_tokens int, score string, node long, u string, id string"
+DOCS = (
+    "doc_id long, text string, source string, leader long, sig string, bucket int, mix_tokens int, score string, node long, u string, id string, "
+    "k int, weight string, n_blocks int, showings int, row_no int, host string, tokens string, n int, y int"
+)
 
 
 def docs_of(spark, rows):
-    return spark.createDataFrame([(i, t, s, 7, "x", 1, 2, "s", 3, "u", "id") for i, t, s in rows], DOCS)
+    return spark.createDataFrame([(i, t, s, 7, "x", 1, 2, "s", 3, "u", "id", 1, "w", 2, 3, 4, "h", "t", 5, 6) for i, t, s in rows], DOCS)
 
 
 def words(rng, n, stem="w"):
@@ -357,7 +360,7 @@ def test_mixing(spark, awkward):
     for s in tokens:
         assert abs(shown[s] / shown.sum() - weight[s] / sum(weight.values())) < 0.02
     assert set(got["doc_id"]) == set(range(5200)) and not got.duplicated(["doc_id", "mix_epoch"]).any()
-    assert {"leader", "sig", "node", "u"} <= set(got.columns)
+    assert {"leader", "sig", "node", "u", "k", "weight", "n_blocks"} <= set(got.columns)
     for _, g in got.groupby(["source", "mix_epoch"]):
         assert sorted(g["mix_rank"].unique()) == list(range(g["mix_rank"].nunique())) and (g.groupby("mix_rank")["mix_block"].nunique() == 1).all()
     got = mixing.mix(df, mixing.Target(entropy=1.3), block_tokens=500).toPandas()
@@ -373,7 +376,7 @@ def test_mixing(spark, awkward):
 
 def test_shards(spark, awkward):
     rng = random.Random(10)
-    df = docs_of(spark, [(k * 7, words(rng, 3), "a") for k in range(1000)]).unionByName(awkward)
+    df = docs_of(spark, [(1000 + k * 7, words(rng, 3), "a") for k in range(1000)]).unionByName(awkward)
     got = sharding.shard(df, 24).toPandas()
     sizes = got.groupby("shard").size()
     assert len(got) == df.count() and sizes.max() - sizes.min() <= 1 and len(sizes) == 24

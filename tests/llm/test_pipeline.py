@@ -53,3 +53,20 @@ def test_mixing_loses_nothing_and_packing_takes_all(outputs):
 def test_run_is_the_stages(spark, outputs):
     got = corpus_pipeline.run(spark, DATA)
     assert got.columns == outputs[4][1].columns and ids(got) == ids(outputs[4][1])
+
+
+def test_stages_take_awkward_rows(spark):
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "same words here", None, "a", 1), (3, "same words here", None, "a", 1)]
+    rows += [(None, "no id", "en", None, 5), (4, "z" * 200_000 + " end", "en", "b", None), (5, "same words here", "en", "b", 2)]
+    docs = spark.createDataFrame([(*r, 1, "w") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, k int, weight string")
+    seen = {}
+    for df in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, DATA)
+            assert name == "packing" or out.columns == docs.columns
+            seen[name, df is docs] = ids(out)
+    everything = ids(docs)
+    assert seen["toxicity", True] == everything and seen["packing", True] == everything
+    assert seen["ngram_join", True] == everything - Counter({5: 1})
+    assert set(seen["mixing", True]) == set(everything)
+    assert all(not v for (_, full), v in seen.items() if not full)

@@ -15,6 +15,8 @@ GRID = 64
 PASSES = 6
 #: Cells of a source that its blocks are made of, and so the most blocks that a source has.
 CELLS = 1 << 20
+#: Tables of sources or blocks up to so many rows are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -136,24 +138,26 @@ def mix(
     order = Window.partitionBy("k", "epoch").orderBy(F.xxhash64("block", F.lit(seed), "epoch"), "block")
     epochs = scratch.save(epochs.withColumn("rank", F.row_number().over(order) - 1), "blocks")
     per_block = epochs.groupBy("k", "block", "weight").agg(F.sort_array(F.collect_list(F.struct("epoch", "rank"))).alias("showings"))
-    counts = plan.select("k", "n_blocks")
+    # from here on names start with mix_, as the columns of docs may have any other
+    counts = plan.select(F.col("k").alias("mix_k"), F.col("n_blocks").alias("mix_n"))
     with_block = (
         docs.withColumn("mix_key", key)
-        .join(F.broadcast(counts) if totals.count() <= 100_000 else counts, F.col("mix_key") == counts["k"])
-        .drop("k")
-        .withColumn("mix_block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(CELLS)) % F.col("n_blocks"))
-        .drop("n_blocks")
+        .join(F.broadcast(counts) if totals.count() <= BROADCAST_ROWS else counts, F.col("mix_key") == F.col("mix_k"))
+        .drop("mix_k")
+        .withColumn("mix_block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(CELLS)) % F.col("mix_n"))
     )
-    per_block = per_block.select(F.col("k").alias("mix_k"), F.col("block").alias("mix_b"), "weight", "showings")
-    small = per_block.count() <= 200_000
+    per_block = per_block.select(
+        F.col("k").alias("mix_k"), F.col("block").alias("mix_b"), F.col("weight").alias("mix_weight"), F.col("showings").alias("mix_showings")
+    )
+    small = per_block.count() <= BROADCAST_ROWS
     joined = with_block.join(
         F.broadcast(per_block) if small else per_block,
         (F.col("mix_key") == F.col("mix_k")) & (F.col("mix_block") == F.col("mix_b")),
     )
-    return joined.select(*kept, "mix_tokens", "weight", "mix_block", F.explode("showings").alias("mix_s")).select(
+    return joined.select(*kept, "mix_tokens", "mix_weight", "mix_block", F.explode("mix_showings").alias("mix_s")).select(
         *kept,
         "mix_tokens",
-        F.col("weight").alias("mix_weight"),
+        "mix_weight",
         F.col("mix_s.epoch").alias("mix_epoch"),
         "mix_block",
         F.col("mix_s.rank").cast("long").alias("mix_rank"),
