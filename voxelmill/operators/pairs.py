@@ -83,7 +83,7 @@ def distance_to(left: DataFrame, right: DataFrame, pixel_size: float, few: int =
     rows = right.select("mask_id", "com_h", "com_w").limit(few + 1).collect()
     if len(rows) > few:
         raise ValueError(f"more than {few} reference masks; use near() with a distance")
-    entries = F.array(*[F.struct(F.lit(r[0]).alias("j"), F.lit(r[1]).alias("h"), F.lit(r[2]).alias("w")) for r in rows])
+    entries = F.array(*[F.struct(F.lit(r[0]).cast("long").alias("j"), F.lit(r[1]).alias("h"), F.lit(r[2]).alias("w")) for r in rows])
     each = left.select(F.col("mask_id").alias("i"), "com_h", "com_w", F.explode(entries).alias("r"))
     return each.select(
         "i", F.col("r.j").alias("j"), (F.sqrt(F.pow(F.col("com_h") - F.col("r.h"), 2) + F.pow(F.col("com_w") - F.col("r.w"), 2)) * pixel_size).alias("distance")
