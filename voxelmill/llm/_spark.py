@@ -46,12 +46,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _all_stars(e: DataFrame) -> bool:
+    """Whether every u of ``e(u, v)`` has one v, and no v is a u."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    roles = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not roles.where("up > 1 or (up = 1 and down = 1)").limit(1).count()
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``node, component``: each node of ``edges(a, b)`` with the smallest node it reaches.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014). Every step is a partial
-    minimum per node and an equi-join, so a hub of any degree is never gathered in one place. The
-    result has no row for nodes without edges; it is empty for no edges.
+    Alternates large-star and small-star steps (Kiveris et al., 2014) until only stars are left.
+    Every step is a partial minimum per node and an equi-join, so a hub of any degree is never
+    gathered in one place. The result has no row for nodes without edges; it is empty for no edges.
     """
     e = scratch.save(
         edges.where(F.col("a") != F.col("b"))
@@ -59,18 +68,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         .distinct(),
         "edges",
     )
-
-    def state(df: DataFrame):
-        return tuple(df.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
-
-    before = state(e)
-    while before[0]:
+    while not _all_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        )
-        large = scratch.save(large, "large")
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(low, "u")
@@ -79,13 +80,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             .unionByName(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        small = scratch.save(small, "small")
-        after = state(small)
-        scratch.drop(e, large)
+        small = scratch.save(small, "stars")
+        scratch.drop(e)
         e = small
-        if after == before:
-            break
-        before = after
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

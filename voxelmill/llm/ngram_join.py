@@ -410,10 +410,10 @@ def cluster_links(hard: DataFrame, heavy: DataFrame, links: DataFrame, rule: Rul
     need no comparison, and any other pair has one document outside the largest.
     """
     spark = hard.sparkSession
+    if not heavy.limit(1).count():
+        return spark.createDataFrame([], "a long, b long")
     stars = hard.select(F.explode("sigs").alias("sig"), "doc_id").join(heavy, "sig").select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
     cluster = scratch.save(components(stars.distinct(), scratch).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
-    if not cluster.limit(1).count():
-        return spark.createDataFrame([], "a long, b long")
     members = scratch.save(hard.select("doc_id", "n", "tokens").join(cluster, "doc_id"), "members")
     sizes = members.groupBy("cluster").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("long").alias("blocks")
