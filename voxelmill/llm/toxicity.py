@@ -19,15 +19,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmill.llm._labels import held_out, training_rows
+from voxelmill.llm._labels import all_training_rows, held_out
 from voxelmill.llm._shingles import shingles
 from voxelmill.llm._spark import Scratch
 
 #: Common insults.
 INSULTS = ("bastard", "bitch", "clown", "creep", "disgusting", "dumb", "fool", "freak", "garbage", "idiot", "imbecile", "jerk", "loser",
            "moron", "pathetic", "pig", "scum", "stupid", "trash", "ugly", "vermin", "worthless")
-#: Labelled rows of each class that patterns are mined from, and documents that the classifier is trained on, at most.
-PER_CLASS, TRAIN_ROWS = 6000, 20_000
+#: Documents that the classifier is trained on, at most.
+TRAIN_ROWS = 20_000
 #: Mined words and word beginnings, at most; rows of label 1 that have one at least, and their share.
 MINED_WORDS, MINED_STARTS, SUPPORT, PRECISION = 400, 60, 4, 0.6
 #: Terms that a task counts before it passes the counts on.
@@ -92,12 +92,14 @@ def features(d: np.ndarray) -> np.ndarray:
     return np.concatenate([np.log1p(np.minimum(d, 0.1) * 300), np.ones((len(d), 1))], 1)
 
 
-def mine(docs: DataFrame, labels: DataFrame, label: str) -> tuple[Voters, float]:
+def mine(docs: DataFrame, labels: DataFrame, label: str, scratch: Scratch | None = None) -> tuple[Voters, float]:
     """Words and beginnings that mark rows of label 1, and the share of label 1 among all labelled rows.
 
+    All labelled rows are counted, as support and precision are of the natural shares of the classes.
     Of near copies, told by the smallest shingle, one row counts. Counts are per task, then summed.
     """
-    sample = training_rows(docs, labels, label, PER_CLASS)
+    scratch = scratch or Scratch(docs.sparkSession)
+    rows = all_training_rows(docs, labels, label)
 
     def first_shingle(batches):
         for batch in batches:
@@ -111,17 +113,16 @@ def mine(docs: DataFrame, labels: DataFrame, label: str) -> tuple[Voters, float]
                 words = set(WORD.findall((text or "").lower()))
                 own = {("w", w) for w in words if len(w) > 2} | {("s", w[:m]) for w in words for m in START_LENGTHS if len(w) >= m}
                 n.update((*t, y) for t in own)
-                n["n", "", y] += 1
             if len(n) > COUNTED:
                 yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["kind", "term", "y", "n"])
                 n = Counter()
         yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["kind", "term", "y", "n"])
 
-    one = sample.mapInPandas(first_shingle, "low long, y int, text string").groupBy("low").agg(F.max(F.struct("y", "text")).alias("r"))
+    one = rows.mapInPandas(first_shingle, "low long, y int, text string").groupBy("low").agg(F.max(F.struct("y", "text")).alias("r"))
     counted = one.select("r.text", "r.y").mapInPandas(terms, "kind string, term string, y int, n long").groupBy("kind", "term")
     counted = counted.agg(F.sum(F.col("n") * F.col("y")).alias("one"), F.sum("n").alias("all"))
     counted = counted.withColumns({"mark": F.col("one") - 2 * (F.col("all") - F.col("one"))})
-    good = counted.where(f"kind = 'n' or (one >= {SUPPORT} and one >= {PRECISION} * all)")
+    good = scratch.save(counted.where(f"one >= {SUPPORT} and one >= {PRECISION} * all"), "terms")
     top = [
         good.where(f"kind = '{kind}'").orderBy(F.desc("mark"), "term").limit(most).select("term").toPandas()["term"].tolist()
         for kind, most in (("w", MINED_WORDS), ("s", MINED_STARTS))
@@ -233,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", scratch: Scrat
     learns the posteriors of at most ``TRAIN_ROWS`` documents, those with the smallest hashes of ids.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    voters, prior = mine(docs, labels, label)
+    voters, prior = mine(docs, labels, label, scratch)
     table = scratch.save(densities_of(docs, voters), "densities")
 
     def moments(batches):
