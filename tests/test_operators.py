@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from voxelmill.functions.graph import connected, greedy_seeds
 from voxelmill.functions.tables import Tables
 from voxelmill.jobs import footprints
-from voxelmill.operators import evaluate, filters, merge, morph, overlap, pre, segment, tile, traces
+from voxelmill.operators import evaluate, filters, merge, morph, overlap, pairs, pre, segment, tile, traces
 from voxelmill.sources import volumes
 from voxelmill.streaming import activity
 
@@ -40,6 +40,16 @@ def test_seeds_and_components(spark):
     assert {r["node"]: r["group"] for r in connected(df, nodes, tables).collect()} == label
 
 
+def test_intersections_of_all_pairs(spark):
+    rng = np.random.default_rng(12)
+    mask = rng.integers(0, 4, (6, 9)) * (rng.random((6, 9)) < 0.6)
+    own, other = ([(i, p, x[i, p]) for i, p in np.argwhere(x).tolist()] for x in (mask, mask[::-1]))
+    want = {(i, j, p, float(x * y)) for i, p, x in own for j, q, y in own if i < j and p == q}
+    assert {tuple(r) for r in pairs.intersections(masks_of(spark, own)).collect()} == want and len({w[:2] for w in want}) > 10
+    want = {(i, j, p, float(x * y)) for i, p, x in own for j, q, y in other if p == q}
+    assert {tuple(r) for r in pairs.intersections(masks_of(spark, own), masks_of(spark, other)).collect()} == want
+
+
 def test_proposals(spark):
     rng = np.random.default_rng(1)
     iou = rng.integers(0, 6, (7, 6)) / 5

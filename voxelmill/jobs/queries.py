@@ -350,6 +350,11 @@ def mask_intersection(spark, d):
     return pairs.intersection(views.counted_masks(spark, d), 1, 2)
 
 
+@query(f"with {SM} select a.mask_id as i, b.mask_id as j, pixel, a.val * b.val as val from sm a join sm b using (pixel) where a.mask_id < b.mask_id")
+def mask_intersections(spark, d):
+    return pairs.intersections(views.counted_masks(spark, d))
+
+
 # -- merging -----------------------------------------------------------------------------------
 
 

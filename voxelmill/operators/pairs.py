@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from voxelmill.operators.features import area
 
 
-def overlap(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
-    """``i, j, overlap``: sums of products over shared pixels; pairs of one table once, with i below j."""
+def _meet(left: DataFrame, right: DataFrame | None) -> DataFrame:
+    """``pixel, i, x, j, y``: values of pairs at shared pixels; pairs of one table once, with i below j."""
     a = left.select("pixel", F.col("mask_id").alias("i"), F.col("val").alias("x"))
     b = (left if right is None else right).select("pixel", F.col("mask_id").alias("j"), F.col("val").alias("y"))
     joined = a.join(b, "pixel")
-    if right is None:
-        joined = joined.where("i < j")
-    return joined.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("overlap"))
+    return joined.where("i < j") if right is None else joined
+
+
+def overlap(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
+    """``i, j, overlap``: sums of products over shared pixels; pairs of one table once, with i below j."""
+    return _meet(left, right).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("overlap"))
 
 
 def _with_areas(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -90,6 +93,11 @@ def distance_to(left: DataFrame, right: DataFrame, pixel_size: float, few: int =
     )
 
 
+def intersections(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
+    """``i, j, pixel, val``: products of all overlapping pairs; pairs of one table once, with i below j."""
+    return _meet(left, right).select("i", "j", "pixel", (F.col("x") * F.col("y")).alias("val"))
+
+
 def intersection(masks: DataFrame, i: int, j: int) -> DataFrame:
     """Pixels of two masks."""
     a, b = (masks.where(F.col("mask_id") == k).select("pixel", F.col("val").alias(f"v{n}")) for n, k in enumerate((i, j)))
