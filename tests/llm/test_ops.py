@@ -254,14 +254,6 @@ def test_toxicity_on_the_held_out_fold(spark, awkward):
     assert toxicity.classify(awkward.limit(0), labels).count() == 0
 
 
-def test_mined_words_dont_come_from_chance(spark):
-    rng = np.random.default_rng(11)
-    rows = [(k, " ".join(f"w{j}" for j in rng.integers(0, 20_000, 12)) + f" mark{k % 3}" * (k % 10 == 0)) for k in range(50_000)]
-    labels = spark.createDataFrame([(k, int(k % 10 == 0)) for k, _ in rows], "doc_id long, toxic int")
-    voters, prior = toxicity.mine(spark.createDataFrame(rows, "doc_id long, text string"), labels, "toxic")
-    assert set(voters.words) == {"mark0", "mark1", "mark2"} and abs(prior - 0.1) < 0.01
-
-
 def test_exact_neighbours_vote():
     rng = np.random.default_rng(7)
     texts = ["calm words in a row number %d here" % k for k in range(30)] + ["LOUD!! WORDS!! %d!!" % k for k in range(30)]
