@@ -254,6 +254,16 @@ def test_toxicity_on_the_held_out_fold(spark, awkward):
     assert toxicity.classify(awkward.limit(0), labels).count() == 0
 
 
+def test_votes_keep_the_shares_of_classes_at_two_sizes(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{j}" for j in rng.integers(0, 300, 20)) for _ in range(1100)]
+    docs = spark.createDataFrame(list(enumerate(texts[:1000])), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 7 > 0)) for k in range(1000)], "doc_id long, quality int")
+    for most in (1500, 100):  # no class is cut, and both are
+        monkeypatch.setattr(quality, "PER_CLASS", most)
+        assert abs(quality.fit(docs, labels).score(texts[1000:]).mean() - 6 / 7) < 0.05
+
+
 def test_exact_neighbours_vote():
     rng = np.random.default_rng(7)
     texts = ["calm words in a row number %d here" % k for k in range(30)] + ["LOUD!! WORDS!! %d!!" % k for k in range(30)]

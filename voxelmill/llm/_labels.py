@@ -13,17 +13,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """``text, y``: at most ``per_class`` labelled ids of either class outside the held-out fold.
+def _known(labels: DataFrame, label: str) -> DataFrame:
+    """``id, y``: labelled ids outside the held-out fold.
 
-    Of each class those with the smallest hashes of ids are taken. Ids with several labels take the
-    largest; null labels, and labels other than 0 and 1, don't count.
+    Ids with several labels take the largest; null labels, and labels other than 0 and 1, don't count.
     """
-    known = (
+    return (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").alias("id"))
         .agg(F.max(label).cast("int").alias("y"))
     )
+
+
+def class_sizes(labels: DataFrame, label: str) -> dict[int, int]:
+    """Labelled ids of either class outside the held-out fold."""
+    return {r["y"]: r["count"] for r in _known(labels, label).groupBy("y").count().collect()}
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
+    """``text, y``: at most ``per_class`` labelled ids of either class outside the held-out fold.
+
+    Of each class those with the smallest hashes of ids are taken.
+    """
+    known = _known(labels, label)
     picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * per_class rows at most
     return docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id")).select("text", "y")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmill.llm._labels import held_out, training_rows
+from voxelmill.llm._labels import class_sizes, held_out, training_rows
 from voxelmill.llm._shingles import PIECE, word_hashes
 
 #: Labelled rows of each class that vote, at most; all documents are scored against each of them.
@@ -101,18 +101,19 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 @dataclass
 class Model:
-    """Weights of terms, projection to the latent space, and the voters' unit vectors and labels."""
+    """Weights of terms, projection to the latent space, the voters' unit vectors and labels, and the labelled rows each stands for."""
 
     idf: np.ndarray
     projection: np.ndarray
     voters: np.ndarray
     labels: np.ndarray
+    stands_for: np.ndarray | float = 1.0
 
     def embed(self, texts: list[str | None]) -> np.ndarray:
         return _unit(weigh(counts(texts), self.idf) @ self.projection)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        """Share of label 1 among the nearest voters, weighted by a power of their cosine.
+        """Share of label 1 among the nearest voters, weighted by a power of their cosine and the rows they stand for.
 
         Without any voter the score is 0.5.
         """
@@ -122,6 +123,7 @@ class Model:
         k = min(NEIGHBOURS, cosine.shape[1])
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
         weight = (np.maximum(np.take_along_axis(cosine, near, 1), 0) ** SHARPNESS + 1e-9).astype(np.float64)
+        weight *= np.broadcast_to(self.stands_for, self.labels.shape)[near]
         return (weight * self.labels[near]).sum(1) / weight.sum(1)
 
 
@@ -137,7 +139,11 @@ def weigh(c: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    """Rarity over all documents; latent space and voters from at most ``PER_CLASS`` rows of a class."""
+    """Rarity over all documents; latent space and voters from at most ``PER_CLASS`` rows of a class.
+
+    A voter of a class that is cut stands for its share of the class, so that scores keep the natural
+    shares of the classes however many rows are labelled.
+    """
     df, n = document_frequencies(docs)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32)
     sample = training_rows(docs, labels, label, PER_CLASS)
@@ -164,7 +170,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     basis, _ = np.linalg.qr(basis)
     _, _, vt = np.linalg.svd(x @ basis, full_matrices=False)
     projection = (basis @ vt.T[:, :rank]).astype(np.float32)
-    return Model(idf, projection, _unit(x @ projection), got["y"].to_numpy(np.float64))
+    y = got["y"].to_numpy(np.float64)
+    share = {k: n / min(n, PER_CLASS) for k, n in class_sizes(labels, label).items()}
+    return Model(idf, projection, _unit(x @ projection), y, np.array([share[int(k)] for k in y]))
 
 
 def scorer(spark: SparkSession, model) -> Column:
