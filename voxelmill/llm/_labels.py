@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelmill.llm._spark import thinned
+
 FOLDS = 5
 
 
@@ -31,11 +33,12 @@ def class_sizes(labels: DataFrame, label: str) -> dict[int, int]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """``text, y``: at most ``per_class`` labelled ids of either class outside the held-out fold.
+    """``id, text, y``: about ``per_class`` labelled ids of either class outside the held-out fold, or all there are.
 
-    Of each class those with the smallest hashes of ids are taken.
+    Of each class those are taken whose hash of the id lies under a cut that follows from the class's
+    count. An id with several rows has several here.
     """
-    known = _known(labels, label)
-    picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
-    ids = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * per_class rows at most
-    return docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id")).select("text", "y")
+    known, sizes = _known(labels, label), class_sizes(labels, label)
+    picked = [thinned(known.where(F.col("y") == y), sizes.get(y, 0), per_class, "id") for y in (0, 1)]
+    ids = F.broadcast(picked[0].unionByName(picked[1]))  # about 2 * per_class rows
+    return docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id")).select("id", "text", "y")

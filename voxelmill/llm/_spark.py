@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,37 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A prefix that no column of ``df`` starts with."""
+    while any(c.lower().startswith(name) for c in df.columns):
+        name = "_" + name
+    return name
+
+
+def thinned(rows: DataFrame, n: int, most: int, *by: str) -> DataFrame:
+    """About ``most`` of the ``n`` rows, those whose hash of ``by`` lies under a cut; all where there are no more.
+
+    The cut follows from the count, so every task drops its rows by itself and nothing is ordered.
+    Columns ``by`` have to tell rows apart.
+    """
+    return rows if n <= most else rows.where(F.pmod(F.xxhash64(*by), F.lit(1 << 40)) < int((1 << 40) * (most / n)))
+
+
+def running(df: DataFrame, keys: list[str], by: Column, ties: list[str], slices: Column | int, sums: dict[str, Column]) -> DataFrame:
+    """Sums over the rows before each row of its key, in the order of the hash ``by`` and then ``ties``.
+
+    A key's rows are cut into slices of the hash's range. Only one sum per slice is ordered by key;
+    rows are ordered inside slices, so no key is gathered in one task.
+    """
+    df = df.withColumn("_by", by).withColumn("_slice", F.floor((F.col("_by").cast("double") / 2.0**64 + 0.5) * slices).cast("long"))
+    per = df.groupBy(*keys, "_slice").agg(*[F.sum(v).alias(f"_{k}") for k, v in sums.items()])
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    base = per.select(*keys, "_slice", *[F.coalesce(F.sum(f"_{k}").over(earlier), F.lit(0)).alias(f"_{k}") for k in sums])
+    inside = Window.partitionBy(*keys, "_slice").orderBy("_by", *ties).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.withColumns({k: F.coalesce(F.sum(v).over(inside), F.lit(0)) for k, v in sums.items()}).join(base, [*keys, "_slice"])
+    return out.withColumns({k: F.col(k) + F.col(f"_{k}") for k in sums}).drop("_by", "_slice", *[f"_{k}" for k in sums])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
