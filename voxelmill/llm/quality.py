@@ -11,15 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelmill.llm._labels import class_sizes, held_out, training_rows
-from voxelmill.llm._shingles import PIECE, word_hashes
+from voxelmill.llm._shingles import PIECE, shingles, word_hashes
 
-#: Labelled rows of each class that vote, at most; all documents are scored against each of them.
+#: Labelled rows of each class that vote, about; all documents are scored against each of them.
 PER_CLASS = 1500
 #: Dimensions: hashed words, shapes, and the latent space.
 WORDS, SHAPES, LATENT = 2048, 768, 48
 SHAPE_WEIGHT = 2.0
 NEIGHBOURS, SHARPNESS = 24, 6
 THRESHOLD = 0.3
+#: Cosines are compared in steps of this size, so that the shape of a block doesn't decide who is nearest.
+COSINE_STEP = 1e-6
 
 _KIND = np.zeros(256, np.int64)  # letters 0 (with all bytes beyond ASCII), upper 1, digit 2, others below
 _KIND[65:91] = 1
@@ -110,20 +112,23 @@ class Model:
     stands_for: np.ndarray | float = 1.0
 
     def embed(self, texts: list[str | None]) -> np.ndarray:
-        return _unit(weigh(counts(texts), self.idf) @ self.projection)
+        return _unit(weigh(counts(texts), self.idf).astype(np.float64) @ self.projection)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """Share of label 1 among the nearest voters, weighted by a power of their cosine and the rows they stand for.
 
-        Without any voter the score is 0.5.
+        Of equally near voters the first ones vote. Without any voter the score is 0.5.
         """
-        if not len(self.labels):
+        n = len(self.labels)
+        if not n:
             return np.full(len(texts), 0.5)
-        cosine = self.embed(texts) @ self.voters.T  # exact, a block of documents at a time
-        k = min(NEIGHBOURS, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = (np.maximum(np.take_along_axis(cosine, near, 1), 0) ** SHARPNESS + 1e-9).astype(np.float64)
-        weight *= np.broadcast_to(self.stands_for, self.labels.shape)[near]
+        steps = np.rint(self.embed(texts) @ self.voters.T / COSINE_STEP).astype(np.int64)  # exact, a block of documents at a time
+        k = min(NEIGHBOURS, n)
+        order = np.arange(n) - steps * n  # ascending: nearer first, then the voter's number; no two are equal
+        near = np.argpartition(order, k - 1, axis=1)[:, :k]
+        near = np.take_along_axis(near, np.argsort(np.take_along_axis(order, near, 1), axis=1), 1)
+        weight = np.maximum(np.take_along_axis(steps, near, 1) * COSINE_STEP, 0) ** SHARPNESS + 1e-9
+        weight = weight * np.broadcast_to(self.stands_for, self.labels.shape)[near]
         return (weight * self.labels[near]).sum(1) / weight.sum(1)
 
 
@@ -139,10 +144,10 @@ def weigh(c: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    """Rarity over all documents; latent space and voters from at most ``PER_CLASS`` rows of a class.
+    """Rarity over all documents; latent space and voters from about ``PER_CLASS`` rows of a class.
 
-    A voter of a class that is cut stands for its share of the class, so that scores keep the natural
-    shares of the classes however many rows are labelled.
+    Of near copies among them, told by the smallest shingle, one votes. A voter stands for its share
+    of its class, so that scores keep the natural shares of the classes however many rows are labelled.
     """
     df, n = document_frequencies(docs)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32)
@@ -153,11 +158,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
             at = 0
             for lot in lots(batch["text"].tolist()):
                 x = weigh(counts(lot), idf).astype(np.float16)
-                yield pd.DataFrame({"x": [r.tobytes() for r in x], "y": batch["y"].to_numpy()[at : at + len(lot)]})
+                low = [int(s[0].view(np.int64)) if len(s) else 0 for s in shingles(lot)]
+                part = batch.iloc[at : at + len(lot)]
+                yield pd.DataFrame({"id": part["id"], "low": low, "x": [r.tobytes() for r in x], "y": part["y"]})
                 at += len(lot)
 
     size = WORDS + SHAPES
-    got = sample.mapInPandas(rows, "x binary, y int").orderBy("x", "y").limit(2 * PER_CLASS).toPandas()
+    each = sample.mapInPandas(rows, "id long, low long, x binary, y int").groupBy("id").agg(F.max(F.struct("y", "low", "x")).alias("r"))
+    got = each.select("r.*").groupBy("low").agg(F.max(F.struct("y", "x")).alias("r")).select("r.*").toPandas().sort_values(["x", "y"])
     x = np.frombuffer(b"".join(got["x"]), np.float16).reshape(len(got), size).astype(np.float32)
     if not len(x):
         return Model(idf, np.zeros((size, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
@@ -171,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     _, _, vt = np.linalg.svd(x @ basis, full_matrices=False)
     projection = (basis @ vt.T[:, :rank]).astype(np.float32)
     y = got["y"].to_numpy(np.float64)
-    share = {k: n / min(n, PER_CLASS) for k, n in class_sizes(labels, label).items()}
+    share = {k: n / max((y == k).sum(), 1) for k, n in class_sizes(labels, label).items()}
     return Model(idf, projection, _unit(x @ projection), y, np.array([share[int(k)] for k in y]))
 
 
@@ -190,10 +198,11 @@ def scorer(spark: SparkSession, model) -> Column:
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted``: one row per row of ``docs``.
 
-    The score is a function of the text alone, so equal texts have equal scores; null texts count as
-    empty, whose vector has no neighbours nearer than others. Labels of the held-out fold aren't
-    learnt from. Without labels all scores are 0.5. Repeated rows repeat, rows without an id have a
-    score and aren't held out, an empty table gives no rows, and other columns are ignored.
+    The score is a function of the whole text alone, however long, so equal texts have equal scores;
+    null texts count as empty, whose vector has no neighbours nearer than others. Voters that are
+    equally near (to a millionth) vote in their fixed order. Labels of the held-out fold aren't learnt
+    from. Without labels all scores are 0.5. Repeated rows repeat, rows without an id have a score and
+    aren't held out, an empty table gives no rows, and other columns, whatever their names, are ignored.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     score = scorer(docs.sparkSession, fit(docs, labels))
