@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelmill.llm import embed_dedup, licenses, media, mixing, ngram_join, packing, quality, sharding, toxicity, urls
-from voxelmill.llm._spark import table
+from voxelmill.llm._spark import Scratch, table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,11 +44,12 @@ def op8_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", packing.word_count(F.col("text")).alias("n_tokens"))
+    mixed = mixing.schedule(Scratch(spark).save(docs, "words"), tokens=F.col("n_tokens"))
     return mixed.select(
         "doc_id",
         "source",
-        F.col("mix_tokens").alias("n_tokens"),
+        "n_tokens",
         F.col("mix_weight").alias("weight"),
         F.col("mix_epoch").alias("epoch"),
         F.col("mix_block").alias("block"),

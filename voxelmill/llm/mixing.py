@@ -2,30 +2,33 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelmill.llm._spark import Scratch
+from voxelmill.llm._spark import Scratch, fresh, running
 from voxelmill.llm.packing import word_count
 
 #: Exponents that one pass over the source totals tries; each pass halves the interval six times.
 GRID = 64
 PASSES = 6
-#: Cells of a source that its blocks are made of, and so the most blocks that a source has.
-CELLS = 1 << 20
+#: Blocks are ordered in slices of their source's hash range: this many at least, and one for so many blocks.
+SLICES, SLICE = 16, 50_000
 #: Tables of sources or blocks up to so many rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
 
 @dataclass(frozen=True)
 class Target:
-    """What the exponent has to meet: at least this entropy (in bits), or at most so many repetitions.
+    """What the exponent has to meet: at least this entropy (in bits), and at most so many repetitions.
 
-    With ``max_repeat`` the budget is the least that shows every document once; the exponent is the
-    smallest (flattest) in [0, 1] at which no source is repeated more often than that.
-    With ``entropy`` it is the largest at which the weights have that entropy, with the same budget.
+    The budget is the least that shows every document once. With ``max_repeat`` the exponent is the
+    smallest (flattest) in [0, 1] at which no source is repeated more often than that. With
+    ``entropy`` it is the largest at which the weights have that entropy, but no flatter than
+    ``max_repeat`` allows; where both can't be met, the limit of repetitions counts. With neither the
+    weights are the sources' shares.
     """
 
     max_repeat: float | None = 2.0
@@ -44,8 +47,19 @@ def solve_exponent(totals: DataFrame, target: Target) -> float:
     """
     live = totals.where("tokens > 0").select(F.col("tokens").cast("double").alias("t"))
     top = live.agg(F.max("t"), F.min("t")).first()
-    if top[0] is None:
+    if top[0] is None or (target.max_repeat is None and target.entropy is None):
         return 1.0
+    least = 0.0
+    if target.max_repeat is not None:
+        # weight / tokens is largest for the smallest source, (min / max) ** (exponent - 1) times the largest's
+        lo, least = 0.0, 1.0
+        if (top[0] / top[1]) <= target.max_repeat:
+            least = 0.0
+        while least - lo > 64**-PASSES:
+            middle = (lo + least) / 2
+            lo, least = (lo, middle) if (top[1] / top[0]) ** (middle - 1) <= target.max_repeat else (middle, least)
+    if target.entropy is None:
+        return least
     lo, hi = 0.0, 1.0
     for _ in range(PASSES):
         grid = [lo + (hi - lo) * k / GRID for k in range(GRID + 1)]
@@ -55,30 +69,13 @@ def solve_exponent(totals: DataFrame, target: Target) -> float:
             *[F.sum(p).alias(f"z{k}") for k, p in enumerate(power)],
             *[F.sum(p * F.log2(p)).alias(f"e{k}") for k, p in enumerate(power)],
         ).first()
-        ok = []
-        for k, a in enumerate(grid):
-            if target.entropy is not None:
-                z = sums[f"z{k}"]
-                ok.append(_log2(z) - sums[f"e{k}"] / z >= target.entropy)
-            else:
-                # weight / tokens is largest for the smallest source (a <= 1); the budget shows the largest once
-                ok.append((top[1] / top[0]) ** (a - 1) <= target.max_repeat)
-        if target.entropy is not None:
-            last = max((k for k, x in enumerate(ok) if x), default=0)
-            lo, hi = grid[last], grid[min(last + 1, GRID)]
-        else:
-            first = min((k for k, x in enumerate(ok) if x), default=GRID)
-            lo, hi = grid[max(first - 1, 0)], grid[first]
-    return lo if target.entropy is not None else hi
-
-
-def _log2(x: float) -> float:
-    import math
-
-    return math.log2(x)
-
-
-def mix(
+        meets = [math.log2(sums[f"z{k}"]) - sums[f"e{k}"] / sums[f"z{k}"] >= target.entropy for k in range(GRID + 1)]
+        last = max((k for k, x in enumerate(meets) if x), default=0)
+        lo, hi = grid[last], grid[min(last + 1, GRID)]
+    return max(lo, least)
+
+
+def schedule(
     docs: DataFrame,
     target: Target = Target(),
     block_tokens: int = 10_000,
@@ -88,23 +85,25 @@ def mix(
 ) -> DataFrame:
     """Schedule of the mixture: a row for each showing of a row of ``docs``.
 
-    Returns the columns of ``docs`` and ``mix_tokens``, ``mix_weight`` (of its source),
-    ``mix_epoch``, ``mix_block`` and ``mix_rank`` (place of the block in that epoch's permutation).
+    Returns the columns of ``docs`` and, with the prefix ``mix_`` (one more ``_`` before it as long as
+    a column of ``docs`` starts so), ``tokens``, ``weight`` (of its source), ``epoch``, ``block`` and
+    ``rank`` (place of the block in that epoch's permutation). ``tokens`` counts a row's tokens; by
+    default the words of the whole text, however long, which are counted once.
 
-    A source's budget is weight times total budget. Its rows are dealt to blocks by a hash; each
-    epoch permutes the blocks, and blocks are taken whole until the budget is reached, the last one
+    A source's budget is weight times total budget. Its rows are dealt by the hash of their id to
+    blocks of about ``block_tokens`` tokens (or rows, where there are more of these); each epoch
+    permutes the blocks, and blocks are taken whole until the budget is reached, the last one
     included. Every row appears in all whole epochs of its source. A null source is a source of its
-    own. Rows of sources without tokens (null or empty texts only) appear once. Ties and repeated
-    rows are shown equally often as they share a block or fall in others by their ids. An empty
-    table gives no rows. Column names that start with ``mix_`` are replaced.
+    own. Rows of sources without tokens (null or empty texts only) appear once. Rows that repeat an
+    id or have none share a block and are shown equally often. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession)
-    kept = [c for c in docs.columns if not c.startswith("mix_")]
+    p = fresh(docs, "mix_")
     count = word_count(F.col(text_col)) if tokens is None else tokens
-    docs = docs.select(*kept, count.alias("mix_tokens"))
-    key = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
-    light = docs.select(key.alias("k"), "doc_id", "mix_tokens")
-    totals = scratch.save(source_totals(light.withColumnRenamed("k", "source"), F.col("mix_tokens")), "totals")
+    key = F.struct(F.col("source").isNull().alias("none"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name"))
+    hashed = F.xxhash64("doc_id", F.lit(seed))
+    light = scratch.save(docs.select(key.alias("k"), hashed.alias("h"), count.alias("n")), "counted")
+    totals = scratch.save(source_totals(light.withColumnRenamed("k", "source"), F.col("n")), "totals")
     alpha = solve_exponent(totals, target)
     live = totals.where("tokens > 0").select(F.col("tokens").cast("double").alias("t"))
     most, norm = live.agg(F.max("t"), F.sum(F.pow("t", F.lit(alpha)))).first()
@@ -115,50 +114,34 @@ def mix(
         (F.pow(F.col("tokens").cast("double"), F.lit(alpha)) / norm).alias("weight"),
         # tokens^alpha * most^(1 - alpha): weight times the budget that shows the largest source once
         F.round(F.pow(F.col("tokens").cast("double"), F.lit(alpha)) * F.lit(most ** (1 - alpha))).cast("long").alias("budget"),
-        F.greatest(F.lit(1), F.least(F.lit(CELLS), F.expr(f"tokens div {block_tokens}"))).cast("long").alias("n_blocks"),
-    )
-    dealt = light.groupBy("k", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(CELLS)).alias("cell")).agg(
-        F.sum("mix_tokens").alias("n")
+        F.greatest(F.lit(1), F.expr(f"greatest(tokens, rows) div {block_tokens}")).cast("long").alias("n_blocks"),
     )
+    few = totals.count() <= BROADCAST_ROWS
     blocks = (
-        dealt.join(plan, "k")
-        .groupBy("k", "source_tokens", "weight", "budget", (F.col("cell") % F.col("n_blocks")).alias("block"))
+        light.join(F.broadcast(plan) if few else plan, "k")
+        .groupBy("k", "source_tokens", "weight", "budget", "n_blocks", F.pmod("h", "n_blocks").alias("block"))
         .agg(F.sum("n").alias("n"))
     )
     whole = F.expr("if(source_tokens > 0, budget div source_tokens, 1)")
     rest = F.expr("if(source_tokens > 0, budget % source_tokens, 0)")
-    w = Window.partitionBy("k").orderBy(F.xxhash64("block", F.lit(seed), "epochs"), "block")
-    ranked = (
-        blocks.withColumns({"epochs": F.greatest(whole, F.lit(1)), "rest": F.when(whole >= 1, rest).otherwise(F.lit(0))})
-        .withColumn("before", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("shown", F.col("epochs") + (F.coalesce("before", F.lit(0)) < F.col("rest")).cast("long"))
-        .select("k", "block", "weight", "shown")
-    )
-    epochs = ranked.select("k", "block", "weight", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shown") - 1)).alias("epoch"))
-    order = Window.partitionBy("k", "epoch").orderBy(F.xxhash64("block", F.lit(seed), "epoch"), "block")
-    epochs = scratch.save(epochs.withColumn("rank", F.row_number().over(order) - 1), "blocks")
-    per_block = epochs.groupBy("k", "block", "weight").agg(F.sort_array(F.collect_list(F.struct("epoch", "rank"))).alias("showings"))
-    # from here on names start with mix_, as the columns of docs may have any other
-    counts = plan.select(F.col("k").alias("mix_k"), F.col("n_blocks").alias("mix_n"))
-    with_block = (
-        docs.withColumn("mix_key", key)
-        .join(F.broadcast(counts) if totals.count() <= BROADCAST_ROWS else counts, F.col("mix_key") == F.col("mix_k"))
-        .drop("mix_k")
-        .withColumn("mix_block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(CELLS)) % F.col("mix_n"))
-    )
-    per_block = per_block.select(
-        F.col("k").alias("mix_k"), F.col("block").alias("mix_b"), F.col("weight").alias("mix_weight"), F.col("showings").alias("mix_showings")
-    )
-    small = per_block.count() <= BROADCAST_ROWS
-    joined = with_block.join(
-        F.broadcast(per_block) if small else per_block,
-        (F.col("mix_key") == F.col("mix_k")) & (F.col("mix_block") == F.col("mix_b")),
-    )
-    return joined.select(*kept, "mix_tokens", "mix_weight", "mix_block", F.explode("mix_showings").alias("mix_s")).select(
-        *kept,
-        "mix_tokens",
-        "mix_weight",
-        F.col("mix_s.epoch").alias("mix_epoch"),
-        "mix_block",
-        F.col("mix_s.rank").cast("long").alias("mix_rank"),
-    )
+    blocks = scratch.save(blocks.withColumns({"epochs": F.greatest(whole, F.lit(1)), "rest": F.when(whole >= 1, rest).otherwise(F.lit(0))}), "dealt")
+    slices = F.greatest(F.lit(SLICES), F.expr(f"n_blocks div {SLICE}"))
+    ranked = running(blocks, ["k"], F.xxhash64("block", F.lit(seed), "epochs"), ["block"], slices, {"before": F.col("n")})
+    ranked = ranked.withColumn("shown", F.col("epochs") + (F.col("before") < F.col("rest")).cast("long"))
+    epochs = ranked.select("k", "block", "weight", "n_blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shown") - 1)).alias("epoch"))
+    epochs = running(epochs, ["k", "epoch"], F.xxhash64("block", F.lit(seed), "epoch"), ["block"], slices, {"rank": F.lit(1).cast("long")})
+    names = {"k": "k3", "block": "b3", "weight": "weight", "epoch": "epoch", "rank": "rank"}
+    epochs = scratch.save(epochs.select(*[F.col(old).alias(p + new) for old, new in names.items()]), "blocks")
+    small = epochs.count() <= BROADCAST_ROWS
+    # from here on names start with the prefix, as the columns of docs may have any other
+    own = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    counts = plan.select(F.col("k").alias(p + "k2"), F.col("n_blocks").alias(p + "n"))
+    placed = docs.select(*own, key.alias(p + "k"), hashed.alias(p + "h"), count.alias(p + "tokens"))
+    placed = placed.join(F.broadcast(counts) if few else counts, F.col(p + "k") == F.col(p + "k2")).withColumn(p + "block", F.pmod(p + "h", p + "n"))
+    joined = placed.join(F.broadcast(epochs) if small else epochs, (F.col(p + "k") == F.col(p + "k3")) & (F.col(p + "block") == F.col(p + "b3")))
+    return joined.select(*own, *[p + c for c in ("tokens", "weight", "epoch", "block", "rank")])
+
+
+def mix(docs: DataFrame, target: Target = Target(), block_tokens: int = 10_000, seed: int = 29) -> DataFrame:
+    """The showings of ``schedule`` with the columns of ``docs`` alone."""
+    return schedule(docs, target, block_tokens, seed).select(*["`" + c.replace("`", "``") + "`" for c in docs.columns])

@@ -8,12 +8,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelmill.llm._spark import Scratch
+from voxelmill.llm._spark import Scratch, running
 
-#: Lengths up to EXACT are their own bin; longer ones share bins of a width under 1/32 of the length.
-EXACT, FINE = 1024, 32
 #: A bucket is ordered in slices of its rows' hash: this many at least, and one for so many rows in all.
 SLICES, SLICE = 64, 50_000
+#: Showings of an id that have batches of their own; further ones share the last turn's.
+TURNS = 8
 
 
 def word_count(text: Column) -> Column:
@@ -33,32 +33,42 @@ def word_count(text: Column) -> Column:
     return F.transform(F.array(F.trim(blank)), count)[0].cast("long")
 
 
-def length_bin(n: Column) -> Column:
-    """A monotone bin of a length: exact up to ``EXACT``, then ``FINE`` bins for each doubling."""
-    exp = F.floor(F.log2(n.cast("double"))).cast("int")
-    step = F.floor((n / F.pow(F.lit(2.0), exp) - 1) * FINE).cast("long")
-    return F.when(n <= EXACT, n).otherwise(EXACT + exp.cast("long") * FINE + step)
-
-
 def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Upper bounds of at most ``buckets`` runs of ascending lengths with the least total padding.
 
     ``cost(i, j) = lengths[j] * count(i..j)`` is the padded size of a bucket from i to j; the sizes
-    before padding don't depend on the bounds. One row of the table per bucket, all of i at once.
+    before padding don't depend on the bounds. One row of the table per bucket. The cost satisfies
+    the quadrangle inequality, so the best cut never falls as j rises and a row takes O(h log h): the
+    middle of every open range of j is solved at once, and its cut bounds those on either side.
     """
     h = len(lengths)
     if not h:
         return []
+    lengths = lengths.astype(np.int64)
     total = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])
     best = lengths * total[1:]
     back = []
     for _ in range(1, min(buckets, h)):
         new, cut = best.copy(), np.full(h, -1)
-        for j in range(1, h):
-            costs = best[:j] + lengths[j] * (total[j + 1] - total[1 : j + 1])
-            i = int(costs.argmin())
-            if costs[i] < new[j]:
-                new[j], cut[j] = costs[i], i
+        # open ranges of j, and the cuts that they may have
+        first, last, low, high = (np.array([x]) for x in (1, h - 1, 0, h - 2))
+        while len(first):
+            j = (first + last) // 2
+            top = np.minimum(high, j - 1)
+            size = top - low + 1
+            start = np.cumsum(size) - size
+            of = np.repeat(np.arange(len(j)), size)
+            i = np.arange(len(of)) - start[of] + low[of]
+            costs = best[i] + lengths[j[of]] * (total[j[of] + 1] - total[i + 1])
+            least = np.minimum.reduceat(costs, start)
+            hit = np.flatnonzero(costs == least[of])
+            where = i[hit[np.searchsorted(hit, start)]]  # the first of the cheapest cuts
+            better = least < new[j]
+            new[j[better]], cut[j[better]] = least[better], where[better]
+            first, last = np.concatenate([first, j + 1]), np.concatenate([j - 1, last])
+            low, high = np.concatenate([low, where]), np.concatenate([where, high])
+            left = first <= last
+            first, last, low, high = first[left], last[left], low[left], high[left]
         back.append(cut)
         best = new
     bounds, j = [], h - 1
@@ -69,6 +79,16 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> lis
     return [*bounds, int(lengths[j])][::-1]
 
 
+def _turns(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``turn``: how often a row's id has come before, up to ``TURNS``; 0 for rows without an id."""
+    again = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1")
+    again = scratch.save(again, "again")
+    slices = F.greatest(F.lit(1), F.expr(f"times div {SLICE}"))
+    counted = running(rows.join(again, "doc_id"), ["doc_id"], F.xxhash64("row"), ["row"], slices, {"turn": F.lit(1).cast("long")})
+    counted = counted.withColumn("turn", F.least("turn", F.lit(TURNS).cast("long"))).select(*rows.columns, "turn")
+    return rows.join(again, "doc_id", "left_anti").withColumn("turn", F.lit(0).cast("long")).unionByName(counted)
+
+
 def pack(
     docs: DataFrame,
     buckets: int = 12,
@@ -79,49 +99,42 @@ def pack(
 ) -> DataFrame:
     """``doc_id, n_tokens, bucket, padded_len, batch, slot``: one row per row of ``docs``.
 
-    The bounds come from the histogram of all lengths, a table of at most ``EXACT`` plus ``FINE``
-    rows for each doubling. A batch is ``budget div padded_len`` rows of one bucket (one at least,
-    so that texts beyond the budget still go somewhere), numbered in an order that hashes ids.
-    Places in a bucket are counted by slices of the hash, never by ordering a whole bucket.
-    Null and empty texts have length 0, and go to the first bucket. Ties and repeated rows are
-    ordered by id and length and otherwise interchangeable. An empty table gives no rows.
+    The bounds are optimal for the histogram of all lengths, one entry for each. The driver holds it:
+    d distinct lengths need d * d / 2 tokens in all, so 10^13 tokens have 4.5 million at most. A batch
+    is ``budget div padded_len`` rows of one bucket (one at least, so that texts beyond the budget
+    still go somewhere), numbered in an order that hashes ids. Rows that repeat an id take turns:
+    each of its first ``TURNS`` rows is in other batches than the rest. Places in a bucket are counted
+    by slices of the hash, never by ordering a whole bucket. Null and empty texts have length 0 and go
+    to the first bucket; texts are counted whole, however long. Ties, repeated rows and rows without an
+    id are ordered by their place in the table. An empty table gives no rows. Other columns, whatever
+    their names, are ignored.
     """
     scratch = Scratch(docs.sparkSession)
     n = word_count(F.col(text_col)) if length is None else length
-    rows = scratch.save(docs.select(F.col(id_col).alias("doc_id"), n.alias("n_tokens")), "lengths")
-    hist = (
-        rows.groupBy(length_bin(F.col("n_tokens")).alias("bin"))
-        .agg(F.max("n_tokens").alias("len"), F.count("*").alias("n"))
-        .orderBy("bin")
-        .collect()
-    )
-    bounds = optimal_bounds(np.array([r["len"] for r in hist], np.int64), np.array([r["n"] for r in hist], np.int64), buckets)
-    total = sum(r["n"] for r in hist)
-    slices = max(SLICES, total // SLICE)
+    rows = docs.select(F.col(id_col).alias("doc_id"), n.alias("n_tokens"), F.monotonically_increasing_id().alias("row"))
+    rows = scratch.save(rows, "lengths")
+    hist = rows.groupBy("n_tokens").agg(F.count("*").alias("n")).toArrow().sort_by("n_tokens")
+    lengths, counts = (hist.column(c).to_numpy() for c in ("n_tokens", "n"))
+    bounds = optimal_bounds(lengths, counts, buckets)
     cases = [(F.col("n_tokens") <= b, k, b) for k, b in enumerate(bounds)]
     bucket = F.coalesce(*[F.when(c, F.lit(k)) for c, k, _ in cases]) if cases else F.lit(0)
     padded = F.coalesce(*[F.when(c, F.lit(b).cast("long")) for c, _, b in cases]) if cases else F.lit(0).cast("long")
-    placed = rows.withColumns({"bucket": bucket, "padded_len": padded, "slice": F.pmod(F.xxhash64("doc_id"), F.lit(slices))})
-    sizes = placed.groupBy("bucket", "slice").agg(F.count("*").alias("n"))
-    before = sizes.select(
-        "bucket",
-        "slice",
-        (F.sum("n").over(Window.partitionBy("bucket").orderBy("slice")) - F.col("n")).alias("before"),
-    )
-    w = Window.partitionBy("bucket", "slice").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "n_tokens")
+    dealt = _turns(rows, scratch).withColumns({"bucket": bucket, "padded_len": padded})
     per_batch = F.greatest(F.lit(1), F.expr(f"{token_budget} div greatest(padded_len, 1)")).cast("long")
-    place = F.col("before") + F.col("in_slice") - 1
-    return (
-        placed.withColumn("in_slice", F.row_number().over(w))
-        .join(before, ["bucket", "slice"])
-        .select(
-            "doc_id",
-            "n_tokens",
-            "bucket",
-            "padded_len",
-            F.call_function("div", place, per_batch).alias("batch"),
-            (place % per_batch).alias("slot"),
-        )
+    # rows of a turn have ids of their own, but for the last turn and rows without an id
+    own = F.when(F.col("doc_id").isNull() | (F.col("turn") == TURNS), F.xxhash64("doc_id", F.lit(1), "row")).otherwise(F.xxhash64("doc_id", F.lit(1)))
+    slices = max(SLICES, int(counts.sum()) // SLICE)
+    placed = running(dealt, ["bucket", "padded_len", "turn"], own, ["doc_id", "row"], slices, {"place": F.lit(1).cast("long")})
+    turns = dealt.groupBy("bucket", "padded_len", "turn").agg(F.ceil(F.count("*") / per_batch).cast("long").alias("batches"))
+    earlier = Window.partitionBy("bucket").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)  # TURNS + 1 rows a bucket
+    before = turns.select("bucket", "turn", F.coalesce(F.sum("batches").over(earlier), F.lit(0)).alias("before"))
+    return placed.join(F.broadcast(before), ["bucket", "turn"]).select(
+        "doc_id",
+        "n_tokens",
+        "bucket",
+        "padded_len",
+        (F.col("before") + F.call_function("div", "place", per_batch)).alias("batch"),
+        (F.col("place") % per_batch).alias("slot"),
     )
 
 
