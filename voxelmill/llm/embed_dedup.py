@@ -4,12 +4,12 @@ Each half of a unit vector has a codebook of its own; the pairs of codes are the
 grid. A vector lies in one cell and visits the cells nearest to it in the order of the multi-sequence
 algorithm (ascending sum of both halves' distances) until the sum exceeds the nearest cell's by a
 margin. The margin is calibrated so that the target recall is met for partners exactly at the
-threshold, the hardest ones. Pairs that meet in a cell are verified by exact cosines in blocks.
+threshold, the hardest ones. Pairs that meet in a cell are verified by exact cosines in blocks, and
+count for both of their vectors.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,14 +17,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelmill.llm._spark import Scratch, components
+from voxelmill.llm._spark import Scratch, components, thinned
 
-#: Vectors that codebooks and margin are fitted on (smallest hashes of ids); all vectors are indexed.
-SAMPLE = 8192
-#: Aimed members of a cell, and bounds of a codebook's size.
-PER_CELL, LEAST_CODES, MOST_CODES = 48, 4, 1024
+#: Vectors that codebooks and margin are fitted on, about: this many at least, and so many for each code.
+#: All vectors are indexed.
+SAMPLE, PER_CODE = 8192, 16
+#: Aimed members of a cell, and the least size of a codebook.
+PER_CELL, LEAST_CODES = 512, 4
+#: Vectors of a length that is too rare for an index; they are one cell.
+ALONE = 2048
 #: Vectors of a cell that one task compares with as many others.
-BLOCK = 512
+BLOCK = 2048
 
 
 def fit_codebook(half: np.ndarray, codes: int, seed: int, rounds: int = 8) -> np.ndarray:
@@ -58,20 +61,22 @@ def distances(half: np.ndarray, book: np.ndarray) -> np.ndarray:
     return np.maximum((half**2).sum(1)[:, None] + (book**2).sum(1) - 2 * half @ book.T, 0)
 
 
-def multi_sequence(first: np.ndarray, second: np.ndarray, margin: float) -> Iterator[tuple[int, int]]:
-    """Cells in ascending sum of their codes' distances, while the sum is within ``margin`` of the least."""
-    a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-    stop = first[a[0]] + second[b[0]] + margin
-    heap = [(first[a[0]] + second[b[0]], 0, 0)]
-    while heap:
-        total, i, j = heapq.heappop(heap)
-        if total > stop:
-            return
-        yield int(a[i]), int(b[j])
-        if j + 1 < len(b):
-            heapq.heappush(heap, (first[a[i]] + second[b[j + 1]], i, j + 1))
-        if j == 0 and i + 1 < len(a):
-            heapq.heappush(heap, (first[a[i + 1]] + second[b[0]], i + 1, 0))
+def _visited(excess_one: np.ndarray, excess_two: np.ndarray, margin: float) -> np.ndarray:
+    """Whether two halves' distances, less the nearest codes', are within the margin together."""
+    return excess_two <= margin - excess_one
+
+
+def multi_sequence(first: np.ndarray, second: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and both codes of every visited cell, for rows of distances to the codes of either half.
+
+    By row, in ascending sum of the codes' distances, while the sum is within ``margin`` of the least.
+    """
+    one, two = first - first.min(1, keepdims=True), second - second.min(1, keepdims=True)
+    row, a = np.nonzero(one <= margin)
+    k, b = np.nonzero(_visited(one[row, a][:, None], two[row], margin))
+    row, a = row[k], a[k]
+    order = np.lexsort((one[row, a] + two[row, b], row))
+    return row[order], a[order], b[order]
 
 
 def fit_index(sample: np.ndarray, codes: int, threshold: float, recall: float, seed: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
@@ -113,44 +118,70 @@ def unit_bytes(vectors: pd.Series) -> list[bytes | None]:
     return out
 
 
-CELL = "dim int, cell long, side int, id long, weight long, vec binary"
+CELL = "dim int, cell long, side int, id long, weight long, home long, vec binary"
 
 
 def _cells(reps: DataFrame, index) -> DataFrame:
-    def run(batches):
+    names = [c.split()[0] for c in CELL.split(", ")]
+
+    def rows(part: pd.DataFrame, dim: int, side: int, cell, home, row) -> pd.DataFrame:
+        out = {"dim": dim, "cell": cell, "side": side, "home": home} | {c: part[c].to_numpy()[row] for c in ("id", "weight", "vec")}
+        return pd.DataFrame(out, columns=names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         books = index.value
         for batch in batches:
-            rows = []
             sizes = batch["vec"].map(len).to_numpy() // 8
             for dim in np.unique(sizes):
                 part = batch[sizes == dim]
-                if int(dim) not in books:  # no sample of this length: one cell holds all
-                    rows += [(dim, 0, side, i, w, v) for i, w, v in part.itertuples(index=False) for side in (0, 1)]
+                if int(dim) not in books:  # one cell holds all vectors of a rare length
+                    none = np.zeros(len(part), np.int64)
+                    yield from (rows(part, dim, side, none, none, np.arange(len(part))) for side in (0, 1))
                     continue
                 one, two, margin = books[int(dim)]
-                x = _units(part["vec"], dim)
-                d1, d2 = distances(x[:, : len(one[0])], one), distances(x[:, len(one[0]) :], two)
-                for k, (i, w, v) in enumerate(part.itertuples(index=False)):
-                    cells = list(multi_sequence(d1[k], d2[k], margin))
-                    rows.append((dim, cells[0][0] * len(two) + cells[0][1], 0, i, w, v))
-                    rows += [(dim, a * len(two) + b, 1, i, w, v) for a, b in cells]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CELL.split(", ")])
+                step = int(np.clip(4_000_000 // (len(one) * len(two)), 16, 4096))
+                for k in range(0, len(part), step):
+                    some = part.iloc[k : k + step]
+                    x = _units(some["vec"], dim)
+                    d1, d2 = distances(x[:, : len(one[0])], one), distances(x[:, len(one[0]) :], two)
+                    home = d1.argmin(1).astype(np.int64) * len(two) + d2.argmin(1)
+                    yield rows(some, dim, 0, home, home, np.arange(len(some)))
+                    row, a, b = multi_sequence(d1, d2, margin)
+                    yield rows(some, dim, 1, a.astype(np.int64) * len(two) + b, home[row], row)
 
     return reps.select("id", "weight", "vec").mapInPandas(run, CELL)
 
 
-def _match(threshold: float):
-    """Links of one block of members with one block of visitors: counts, and star edges."""
+def _match(threshold: float, index):
+    """Links of one block of members with one block of visitors: counts, and star edges.
+
+    A visitor counts the members it links with. A member counts a visitor only if it doesn't visit
+    the visitor's own cell, where it would count that link itself.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         members, visitors = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        none = pd.DataFrame({"id": [], "n": [], "low": []})
         if members.empty or visitors.empty:
-            return pd.DataFrame({"id": [], "n": [], "low": []})
+            return none
         dim = len(members["vec"].iloc[0]) // 8
-        linked = _units(visitors["vec"], dim) @ _units(members["vec"], dim).T >= threshold
+        x, y = _units(visitors["vec"], dim), _units(members["vec"], dim)
+        linked = x @ y.T >= threshold
         mine, theirs = visitors["id"].to_numpy(), members["id"].to_numpy()
         linked &= mine[:, None] != theirs[None, :]
-        n = linked @ members["weight"].to_numpy()
+        some, met = linked.any(1), linked.any(0)
+        if not some.any():
+            return none
+        linked, mine, theirs = linked[np.ix_(some, met)], mine[some], theirs[met]
+        n = linked @ members["weight"].to_numpy()[met]
+        back = np.zeros(len(theirs), np.int64)
+        if dim in index.value:
+            one, two, margin = index.value[dim]
+            home, y = visitors["home"].to_numpy()[some], y[met]
+            e1, e2 = distances(y[:, : len(one[0])], one), distances(y[:, len(one[0]) :], two)
+            e1, e2 = e1 - e1.min(1, keepdims=True), e2 - e2.min(1, keepdims=True)
+            theirs_too = _visited(e1[:, home // len(two)], e2[:, home % len(two)], margin)
+            back = (linked.T & ~theirs_too) @ visitors["weight"].to_numpy()[some]
         top = np.iinfo(np.int64).max
         low_v, low_m = mine.copy(), theirs.copy()
         while True:
@@ -159,10 +190,7 @@ def _match(threshold: float):
             if (new_m == low_m).all() and (new_v == low_v).all():
                 break
             low_v, low_m = new_v, new_m
-        some, met = n > 0, linked.any(0)
-        return pd.DataFrame(
-            {"id": np.concatenate([mine[some], theirs[met]]), "n": np.concatenate([n[some], np.zeros(met.sum(), np.int64)]), "low": np.concatenate([low_v[some], low_m[met]])}
-        )
+        return pd.DataFrame({"id": np.concatenate([mine, theirs]), "n": np.concatenate([n, back]), "low": np.concatenate([low_v, low_m])})
 
     return run
 
@@ -175,7 +203,7 @@ def near_duplicates(
     Links are pairs of different ids with cosine >= threshold in double precision, found with about
     ``recall`` or more; no other pairs link. Vectors that are null, empty, zero or hold null or
     non-finite components link with nothing, nor do vectors of different lengths with each other.
-    Equal vectors are compared once and counted for each id. Repeated rows count once; of an id with
+    Every length with more than ``ALONE`` vectors has an index of its own. A link counts at both ends. Equal vectors are compared once and counted for each id. Repeated rows count once; of an id with
     several vectors the smallest counts. Rows without an id give one row with nothing but no links.
     An empty table gives no rows. Other columns are ignored.
     """
@@ -191,15 +219,18 @@ def near_duplicates(
     units = scratch.save(units.groupBy("id").agg(F.min("vec").alias("vec")), "units")
     live = units.where("id is not null and vec is not null")
     reps = scratch.save(live.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "reps")
-    dims = {r[0]: r[1] for r in reps.groupBy((F.octet_length("vec") / 8).cast("int")).count().orderBy(F.desc("count")).limit(16).collect()}
+    length = (F.octet_length("vec") / 8).cast("int")
+    dims = {r[0]: r[1] for r in reps.groupBy(length).count().where(F.col("count") > ALONE).collect()}
     books = {}
     for dim, n in dims.items():
         if dim < 2:
             continue
-        sample = reps.where(F.octet_length("vec") == 8 * dim).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").toPandas()
-        codes = int(np.clip(np.sqrt(n / PER_CELL), LEAST_CODES, MOST_CODES))
+        codes = max(LEAST_CODES, int(np.sqrt(n / PER_CELL)))
+        sample = thinned(reps.where(F.octet_length("vec") == 8 * dim), n, max(SAMPLE, PER_CODE * codes), "id").select("vec").toPandas()
+        sample = sample.sort_values("vec")  # the same order in every run
         books[dim] = fit_index(_units(sample["vec"], dim), codes, threshold, recall)
-    cells = scratch.save(_cells(reps, spark.sparkContext.broadcast(books)), "cells")
+    index = spark.sparkContext.broadcast(books)
+    cells = scratch.save(_cells(reps, index), "cells")
 
     # a crowded cell is dealt to pairs of blocks; no task gets more than two blocks
     sizes = cells.groupBy("dim", "cell").agg(
@@ -215,8 +246,8 @@ def near_duplicates(
         .withColumn("m", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")))
         .withColumn("v", F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")))
     )
-    found = dealt.select("dim", "cell", "m", "v", "side", "id", "weight", "vec")
-    found = scratch.save(found.groupBy("dim", "cell", "m", "v").applyInPandas(_match(threshold), "id long, n long, low long"), "matches")
+    found = dealt.select("dim", "cell", "m", "v", "side", "id", "weight", "home", "vec")
+    found = scratch.save(found.groupBy("dim", "cell", "m", "v").applyInPandas(_match(threshold, index), "id long, n long, low long"), "matches")
     scratch.drop(cells)
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
     joined = components(found.select(F.col("id").alias("a"), F.col("low").alias("b")), scratch)
