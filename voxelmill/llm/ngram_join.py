@@ -29,12 +29,16 @@ from voxelmill.llm._spark import Scratch, components
 
 #: A third of all tokens, by digest, are counted; the rest are a class of unknown frequency.
 COUNTED = np.uint64(3)
-#: Counted tokens in more documents than this are frequent (raised while over MAX_FREQUENT are).
+#: Counted tokens in more documents than this are frequent.
 RARE = 32
-#: Most frequent tokens that are broadcast, 8 bytes each.
-MAX_FREQUENT = 2_000_000
-#: Ids up to so many are broadcast to the scan of texts; more are joined by a shuffle.
-MAX_BROADCAST_IDS = 2_000_000
+#: Frequent tokens are sent to tasks as a table of bits: so many bits for each, and 2^30 (128 MB) at most.
+#: A rare token that meets a set bit is taken for a frequent one; any fixed split of tokens into classes
+#: keeps the join exact.
+BITS_PER_TOKEN, MOST_BITS, CHUNK_BITS = 16, 30, 23
+#: Ids, and ends of pairs, up to so many are broadcast to the scan of texts (about 50 MB); more are joined by a shuffle.
+MAX_BROADCAST_IDS, MAX_BROADCAST_ENDS = 2_000_000, 1_000_000
+#: Partners of a document that one row of its routes names, at most; a document of more has several rows.
+ROUTES = 4096
 #: Documents and tokens of a block that a task compares with another, and members sent with one copy of a leader.
 BLOCK, BLOCK_TOKENS, SALT = 256, 2_000_000, 256
 #: Token combinations of uncounted and of frequent tokens, and documents too short for groups (by level).
@@ -102,27 +106,44 @@ def token_sets(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SET_SCHEMA)
 
 
-def frequent_tokens(sets: DataFrame, scratch: Scratch) -> np.ndarray:
-    """Sorted counted tokens in more than ``RARE`` documents; at most ``MAX_FREQUENT`` of them.
+@dataclass(frozen=True)
+class Often:
+    """The class of frequent tokens: a table of bits, indexed by the leading bits of a token."""
 
-    The threshold is doubled until they fit, which only makes buckets of rare tokens larger.
-    """
+    bits: np.ndarray
+
+    def __contains__(self, token: int) -> bool:
+        return bool(self.of(np.array([token], np.uint64))[0])
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        at = tokens >> np.uint64(64 - (8 * len(self.bits)).bit_length() + 1)
+        return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+
+
+def frequent_tokens(sets: DataFrame, scratch: Scratch) -> Often:
+    """Counted tokens in more than ``RARE`` documents, as bits: the driver gets the table of bits alone."""
     counts = scratch.save(
-        sets.select(F.explode("counted").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > RARE),
+        sets.select(F.explode("counted").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > RARE).select("token"),
         "frequent",
     )
-    limit = RARE
-    while counts.where(F.col("n") > limit).count() > MAX_FREQUENT:
-        limit *= 2
-    found = counts.where(F.col("n") > limit).select("token").toPandas()["token"].to_numpy(np.int64)
-    scratch.drop(counts)
-    return np.sort(found.view(np.uint64))
+    wide = min(MOST_BITS, max(10, (BITS_PER_TOKEN * counts.count()).bit_length()))
+    chunk = min(wide, CHUNK_BITS)
+    at = F.shiftrightunsigned("token", 64 - wide)
+    words = counts.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(token, {64 - wide}) & 63 as int))")).alias("set"))
 
+    def pack(pdf):
+        import pandas as pd
 
-def _is_in(tokens: np.ndarray, table: np.ndarray) -> np.ndarray:
-    if not len(table):
-        return np.zeros(len(tokens), bool)
-    return table[np.minimum(np.searchsorted(table, tokens), len(table) - 1)] == tokens
+        out = np.zeros((1 << chunk) // 64, "<i8")
+        out[pdf["word"].to_numpy() % len(out)] = pdf["set"]
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "bits": [out.tobytes()]})
+
+    chunks = words.withColumn("chunk", F.shiftright("word", chunk - 6)).groupBy("chunk").applyInPandas(pack, "chunk long, bits binary").collect()
+    scratch.drop(counts)
+    bits = np.zeros((1 << wide) // 8, np.uint8)
+    for r in chunks:  # at most 2^(MOST_BITS - CHUNK_BITS) chunks
+        bits[r["chunk"] * (1 << chunk) // 8 : (r["chunk"] + 1) * (1 << chunk) // 8] = np.frombuffer(r["bits"], np.uint8)
+    return Often(bits)
 
 
 #: One more token in so many is indexed beyond the shortest prefix, and as many more have to be shared.
@@ -147,7 +168,7 @@ def rare_postings(sets: DataFrame, frequent, rule: Rule, hard: bool) -> DataFram
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
             tokens = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             of = np.repeat(np.arange(len(ids)), sizes)
-            rare = ~_is_in(tokens, table)
+            rare = ~table.of(tokens)
             tokens, of = tokens[rare], of[rare]
             have = np.bincount(of, minlength=len(ids))
             may = rule.missing(n)
@@ -181,10 +202,11 @@ def bucket_rows(postings: DataFrame, partitions: int) -> DataFrame:
             return
         sig, doc, n, spare = (np.concatenate([p[k] for p in parts]) for k in range(4))
         del parts
-        order = np.lexsort((doc, sig))
+        order = np.lexsort((n, doc, sig))
         sig, doc, n, spare = sig[order], doc[order], n[order], spare[order]
         fresh = np.concatenate([[True], (sig[1:] != sig[:-1])])
-        again = np.concatenate([[False], (doc[1:] == doc[:-1]) & ~fresh[1:]])  # a repeated row of an id
+        # a repeated row of an id; its rows of other sizes are other sets
+        again = np.concatenate([[False], (doc[1:] == doc[:-1]) & (n[1:] == n[:-1]) & ~fresh[1:]])
         sig, doc, n, spare, fresh = sig[~again], doc[~again], n[~again], spare[~again], fresh[~again]
         start = np.maximum.accumulate(np.where(fresh, np.arange(len(sig)), 0))
         group = np.cumsum(fresh) - 1
@@ -208,12 +230,12 @@ def schemes(n: int, rule: Rule) -> list[int]:
     return sorted({_level(n), _level(max(least, 1))})
 
 
-def combination_signatures(tokens: np.ndarray, frequent: np.ndarray, rule: Rule, level: int) -> np.ndarray:
+def combination_signatures(tokens: np.ndarray, frequent: Often, rule: Rule, level: int) -> np.ndarray:
     """Signatures of the classes after the rare one, for the grouping of one level."""
     n = len(tokens)
     counted = tokens % COUNTED == 0
     often = np.zeros(n, bool)
-    often[counted] = _is_in(tokens[counted], frequent)
+    often[counted] = frequent.of(tokens[counted])
     rest = np.concatenate([tokens[~counted], tokens[often]])
     k = np.where(np.arange(len(rest)) < np.count_nonzero(~counted), K_UNCOUNTED, K_FREQUENT)
     groups = max(1, (1 << level) // 8)
@@ -273,8 +295,9 @@ def hard_sets(docs: DataFrame, frequent, rule: Rule) -> DataFrame:
 
 
 def _keep_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join on doc_id; the ids are broadcast only when few."""
-    return docs.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "doc_id", how)
+    """Semi or anti join on the columns of ``ids``; they are broadcast only when few."""
+    few = ids.count() <= MAX_BROADCAST_IDS // len(ids.columns)
+    return docs.join(F.broadcast(ids) if few else ids, ids.columns, how)
 
 
 def verify(pairs: DataFrame, docs: DataFrame, rule: Rule, partitions: int, scratch: Scratch) -> DataFrame:
@@ -290,8 +313,12 @@ def verify(pairs: DataFrame, docs: DataFrame, rule: Rule, partitions: int, scrat
     leaders = counts.select(
         F.col("leader").alias("doc_id"), F.struct("leader", F.lit(-1).cast("long").alias("salt"), F.col("salts").alias("last")).alias("r")
     )
-    routes = scratch.save(members.unionByName(leaders).groupBy("doc_id").agg(F.collect_list("r").alias("routes")), "routes")
-    few = routes.count() <= MAX_BROADCAST_IDS // 8
+    ends = scratch.save(members.unionByName(leaders), "ends")
+    heavy = ends.groupBy("doc_id").agg(F.ceil(F.count("*") / ROUTES).cast("long").alias("lots")).where("lots > 1")
+    lot = F.pmod(F.xxhash64("r.leader", "r.salt"), F.coalesce("lots", F.lit(1).cast("long"))).alias("lot")
+    routes = ends.join(heavy, "doc_id", "left").select("doc_id", lot, "r").groupBy("doc_id", "lot").agg(F.collect_list("r").alias("routes"))
+    routes = scratch.save(routes.select("doc_id", "routes"), "routes")
+    few = ends.count() <= MAX_BROADCAST_ENDS
     routed = docs.select("doc_id", "text").join(F.broadcast(routes) if few else routes, "doc_id")
 
     def add_sets(batches):
@@ -474,7 +501,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     live = meta.where("n > 0 and doc_id is not null")
     classes = scratch.save(live.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")), "classes")
     copies = classes.where("m > 1").select("n", "d1", "d2", "rep")
-    spare = scratch.save(live.join(copies, ["n", "d1", "d2"]).where("doc_id != rep").select("doc_id").distinct(), "spare")
+    spare = scratch.save(live.join(copies, ["n", "d1", "d2"]).where("doc_id != rep").select("doc_id", "n", "d1", "d2").distinct(), "spare")
     # an id with several sets: their classes are one node
     several = scratch.save(live.groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select("doc_id"), "several")
     of_id = live.join(several, "doc_id").join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"])
