@@ -22,6 +22,8 @@ KEY_EVERY, CHUNK = 16, 8
 RATE = 8000
 #: Fixed values of the format: boxes that hold boxes.
 NESTED = frozenset([b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"udta", b"mvex", b"moof", b"traf", b"dinf"])
+#: Nested boxes deeper than this are not walked: real files have about ten levels.
+DEEPEST = 32
 TRACK_SCHEMA = (
     "codec string, handler string, timescale long, duration long, n_samples long, n_keyframes long, "
     "payload_bytes long, keyframes array<struct<offset: long, length: long>>"
@@ -71,10 +73,13 @@ def write_container(payload: bytes) -> bytes:
     return head + moov(first) + _box(b"mdat", payload)
 
 
-def boxes(data: memoryview, start: int = 0, end: int | None = None, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
-    """Path, body start and body end of every box, outer boxes first; stops a level at a broken size."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+def boxes(data: memoryview) -> Iterator[tuple[tuple, int, int, int]]:
+    """Path, start, body start and body end of every box, outer boxes first; stops a level at a broken size."""
+    open_levels = [(0, len(data), ())]
+    while open_levels:
+        start, end, path = open_levels.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         head = 8
         if size == 1 and start + 16 <= end:
@@ -82,11 +87,11 @@ def boxes(data: memoryview, start: int = 0, end: int | None = None, path: tuple
         elif size == 0:
             size = end - start
         if size < head or start + size > end:
-            return
-        yield (*path, kind), start + head, start + size
-        if kind in NESTED:
-            yield from boxes(data, start + head, start + size, (*path, kind))
-        start += size
+            continue
+        yield (*path, kind), start, start + head, start + size
+        open_levels.append((start + size, end, path))
+        if kind in NESTED and len(path) < DEEPEST:
+            open_levels.append((start + head, start + size, (*path, kind)))
 
 
 def _table(data: memoryview, at: int, end: int, dtype: str, columns: int, skip: int = 8) -> np.ndarray:
@@ -95,21 +100,89 @@ def _table(data: memoryview, at: int, end: int, dtype: str, columns: int, skip:
     return np.frombuffer(data, dtype, n * columns, at + skip).astype(np.int64).reshape(n, columns)
 
 
+def _sizes(data: memoryview, at: int, end: int, kind: bytes) -> np.ndarray:
+    """Sample sizes of a plain or a compact table; samples of one size can't outnumber the file's bytes."""
+    fixed, n = struct.unpack_from(">II", data, at + 4)
+    if kind == b"stsz":
+        return np.full(min(n, len(data) // fixed), fixed, np.int64) if fixed else _table(data, at, end, ">u4", 1, 12)[:, 0]
+    bits = fixed & 255
+    raw = np.frombuffer(data, np.uint8, min(-(-n * bits // 8), end - at - 12), at + 12)
+    if bits == 4:
+        return np.stack([raw >> 4, raw & 15], 1).ravel()[:n].astype(np.int64)
+    return raw[: len(raw) // 2 * 2].view(">u2").astype(np.int64) if bits == 16 else raw.astype(np.int64)
+
+
+#: Fixed values of the format: flags of fragment boxes.
+_BASE, _ENTRY, _DURATION, _SIZE, _FLAGS = 1, 2, 8, 16, 32
+_RUN_OFFSET, _RUN_FIRST, _RUN_DURATION, _RUN_SIZE, _RUN_FLAGS, _RUN_SHIFT = 1, 4, 256, 512, 1024, 2048
+_NOT_SYNC = 0x10000
+
+
+def _optional(data: memoryview, at: int, flags: int, fields: tuple[tuple[int, str], ...]) -> tuple[dict, int]:
+    """The fields whose flags are set, in order, and where they end."""
+    out = {}
+    for flag, kind in fields:
+        if flags & flag:
+            (out[flag],) = struct.unpack_from(kind, data, at)
+            at += struct.calcsize(kind)
+    return out, at
+
+
+def _run(data: memoryview, at: int, end: int, f: dict) -> None:
+    """Append the samples of one run of a fragment to its track."""
+    flags, n = struct.unpack_from(">II", data, at)
+    flags &= 0xFFFFFF
+    head, at = _optional(data, at + 8, flags, ((_RUN_OFFSET, ">i"), (_RUN_FIRST, ">I")))
+    names = [x for x in (_RUN_DURATION, _RUN_SIZE, _RUN_FLAGS, _RUN_SHIFT) if flags & x]
+    n = min(n, (end - at) // (4 * len(names))) if names else min(n, len(data) // max(f["size"], 1))
+    rows = np.frombuffer(data, ">u4", n * len(names), at).reshape(n, len(names)).astype(np.int64)
+
+    def column(name: int, default: int) -> np.ndarray:
+        return rows[:, names.index(name)] if name in names else np.full(n, default, np.int64)
+
+    sizes, marks = column(_RUN_SIZE, f["size"]), column(_RUN_FLAGS, f["flags"]).copy()
+    if n and _RUN_FIRST in head:
+        marks[0] = head[_RUN_FIRST]
+    start = f["base"] + head[_RUN_OFFSET] if _RUN_OFFSET in head else f["next"]
+    f["next"] = start + int(sizes.sum())
+    t = f["track"]
+    t["more"].append((start + np.cumsum(sizes) - sizes, sizes, (marks & _NOT_SYNC) == 0, int(column(_RUN_DURATION, f["duration"]).sum())))
+
+
 def tracks(data: bytes) -> list[dict]:
-    """Each track's codec, duration and sample places, from its tables alone.
+    """Each track's codec, duration and sample places, from its tables and fragments alone.
 
     ``offsets`` and ``sizes`` have an entry for each sample, ``keys`` the numbers of sync samples
-    from 0 (all samples where the track has no sync table).
+    from 0 (all samples where the track has no sync table). What tables claim is bounded by the
+    file's size, so a hostile file costs no more than its bytes.
     """
-    view, found = memoryview(data), []
-    for path, at, end in boxes(view):
+    view, found, known, extends, fragment = memoryview(data), [], {}, {}, None
+    moof = 0
+    for path, start, at, end in boxes(view):
         kind = path[-1]
         if kind == b"trak":
-            found.append({"codec": None, "handler": None, "timescale": 0, "duration": 0})
+            found.append({"codec": None, "handler": None, "timescale": 0, "duration": 0, "more": []})
+        elif kind == b"trex":
+            number, _, duration, size, flags = struct.unpack_from(">5I", view, at + 4)
+            extends[number] = (duration, size, flags)
+        elif kind == b"moof":
+            moof = start
+        elif kind == b"tfhd":
+            flags, number = struct.unpack_from(">II", view, at)
+            got, _ = _optional(view, at + 8, flags, ((_BASE, ">Q"), (_ENTRY, ">I"), (_DURATION, ">I"), (_SIZE, ">I"), (_FLAGS, ">I")))
+            duration, size, marks = extends.get(number, (0, 0, 0))
+            base = got.get(_BASE, moof)
+            fragment = {"track": known.get(number), "base": base, "next": base}
+            fragment |= {"duration": got.get(_DURATION, duration), "size": got.get(_SIZE, size), "flags": got.get(_FLAGS, marks)}
+        elif kind == b"trun" and fragment and fragment["track"] is not None:
+            _run(view, at, end, fragment)
         if not found or b"trak" not in path:
             continue
         t = found[-1]
-        if kind == b"mdhd":
+        if kind == b"tkhd":
+            (number,) = struct.unpack_from(">I", view, at + (20 if view[at] == 1 else 12))
+            known[number] = t
+        elif kind == b"mdhd":
             wide = view[at] == 1
             t["timescale"], t["duration"] = struct.unpack_from(">IQ" if wide else ">II", view, at + (20 if wide else 12))
         elif kind == b"hdlr":
@@ -118,30 +191,40 @@ def tracks(data: bytes) -> list[dict]:
             t["codec"] = bytes(view[at + 12 : at + 16]).decode("latin-1")
         elif kind == b"stsc":
             t["runs"] = _table(view, at, end, ">u4", 3)
-        elif kind == b"stsz":
-            fixed, n = struct.unpack_from(">II", view, at + 4)
-            t["sizes"] = np.full(n, fixed, np.int64) if fixed else _table(view, at, end, ">u4", 1, 12)[:, 0]
+        elif kind in (b"stsz", b"stz2"):
+            t["sizes"] = _sizes(view, at, end, kind)
         elif kind in (b"stco", b"co64"):
             t["chunks"] = _table(view, at, end, ">u4" if kind == b"stco" else ">u8", 1)[:, 0]
         elif kind == b"stss":
             t["keys"] = _table(view, at, end, ">u4", 1)[:, 0] - 1
     for t in found:
-        sizes = t.setdefault("sizes", np.zeros(0, np.int64))
-        runs, chunks = t.pop("runs", np.zeros((0, 3), np.int64)), t.pop("chunks", np.zeros(0, np.int64))
-        t.setdefault("keys", np.arange(len(sizes)))
-        per_chunk = np.zeros(len(chunks), np.int64)
-        for k, (first, count, _) in enumerate(runs):
-            last = runs[k + 1][0] - 1 if k + 1 < len(runs) else len(chunks)
-            per_chunk[first - 1 : last] = count
-        of_chunk = np.repeat(np.arange(len(chunks)), per_chunk)[: len(sizes)]
-        t["sizes"] = sizes = sizes[: len(of_chunk)]
-        t["keys"] = t["keys"][(t["keys"] >= 0) & (t["keys"] < len(sizes))]
-        before = np.cumsum(sizes) - sizes
-        starts = np.concatenate([[0], np.cumsum(per_chunk)[:-1]])[: len(chunks)].astype(np.int64)
-        t["offsets"] = chunks[of_chunk] + before - before[np.minimum(starts, max(len(sizes) - 1, 0))[of_chunk]] if len(sizes) else before
+        _place(t)
     return found
 
 
+def _place(t: dict) -> None:
+    """Offsets of the samples from the tables of chunks, then the samples of fragments."""
+    sizes = t.pop("sizes", np.zeros(0, np.int64))
+    runs, chunks = t.pop("runs", np.zeros((0, 3), np.int64)), t.pop("chunks", np.zeros(0, np.int64))
+    keys = t.pop("keys", None)
+    per_chunk = np.zeros(len(chunks), np.int64)
+    for k, (first, count, _) in enumerate(runs):
+        last = runs[k + 1][0] - 1 if k + 1 < len(runs) else len(chunks)
+        per_chunk[max(first - 1, 0) : last] = min(count, len(sizes))
+    filled = np.minimum(np.cumsum(per_chunk), len(sizes))  # samples up to the end of each chunk
+    of_chunk = np.repeat(np.arange(len(chunks)), np.diff(filled, prepend=0))
+    sizes = sizes[: len(of_chunk)]
+    before = np.cumsum(sizes) - sizes
+    starts = np.concatenate([[0], filled])[:-1][of_chunk] if len(of_chunk) else of_chunk
+    offsets = chunks[of_chunk] + before - before[starts] if len(sizes) else before
+    keys = np.arange(len(sizes)) if keys is None else keys[(keys >= 0) & (keys < len(sizes))]
+    for more, own, sync, duration in t.pop("more"):
+        keys = np.concatenate([keys, np.flatnonzero(sync) + len(sizes)])
+        offsets, sizes = np.concatenate([offsets, more]), np.concatenate([sizes, own])
+        t["duration"] += duration
+    t["offsets"], t["sizes"], t["keys"] = offsets, sizes, keys
+
+
 def _row(t: dict) -> dict:
     return {
         "codec": t["codec"],
@@ -159,7 +242,8 @@ def media_columns(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """``id, track, codec, ...``: one row per track of every container in ``media_col``.
 
     Null, empty or broken bytes and containers without tracks give one row with a null track, so no
-    input row is lost. Repeated rows give repeated results; other columns are ignored.
+    input row is lost. Long payloads are passed over, not read. Repeated rows give repeated results,
+    an empty table gives no rows; other columns, whatever their names, are ignored.
     """
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,7 +253,7 @@ def media_columns(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
             for key, data in zip(batch["id"], batch["media"], strict=True):
                 try:
                     found = tracks(data) if data else []
-                except (struct.error, ValueError, IndexError):
+                except (struct.error, ValueError, IndexError, OverflowError):
                     found = []
                 rows += [{"id": key, "track": k, **_row(t)} for k, t in enumerate(found)] or [{"id": key}]
             yield pd.DataFrame(rows, columns=["id", "track", *dict.fromkeys(names)]).astype(object).where(lambda x: x.notna(), None)
@@ -186,7 +270,8 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 
 RESULT = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-    "media_sha256 string, feature string, n_keyframes long"
+    "media_sha256 string, feature string, codec string, duration_s double, n_samples long, n_keyframes long, "
+    "keyframes array<struct<offset: long, length: long>>"
 )
 
 
@@ -198,6 +283,7 @@ def _digest(text: str | None) -> tuple:
     joined = np.flatnonzero(starts[1:] != starts[:-1] + t["sizes"][:-1])
     first, last = np.concatenate([[0], joined + 1]), np.concatenate([joined, [len(starts) - 1]])
     back = b"".join(view[starts[a] : starts[b] + t["sizes"][b]] for a, b in zip(first, last, strict=True))
+    row = _row(t)
     ranges = np.stack([starts[t["keys"]], t["sizes"][t["keys"]]], 1).astype(">i8").tobytes()
     seconds = t["duration"] / t["timescale"]
     feature = f"{t['codec'].strip()};{seconds:.3f}s;samples={len(starts)};keys={len(t['keys'])};ranges={zlib.crc32(ranges):08x}"
@@ -209,24 +295,30 @@ def _digest(text: str | None) -> tuple:
         len(media),
         hashlib.sha256(media).hexdigest(),
         feature,
-        len(t["keys"]),
+        row["codec"].strip(),
+        seconds,
+        row["n_samples"],
+        row["n_keyframes"],
+        row["keyframes"],
     )
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Round trip of every text through a container: sizes, digests and a feature of its tables.
+    """Round trip of every text through a container: sizes and digests, and what its tables say.
 
-    ``feature`` names codec, duration, samples, keyframes and a checksum of the keyframe byte
-    ranges. Null and empty texts are one unit of spaces. Repeated rows give repeated results, null
-    ids stay null, an empty table gives no rows, and other columns are ignored.
+    Codec, duration and the byte ranges of keyframes are decoded from the stored bytes; ``feature``
+    names them in one string, with a checksum of the ranges. Null and empty texts are one unit of
+    spaces; texts are stored whole, however long. Repeated rows give repeated results, null ids stay
+    null, an empty table gives no rows, and other columns, whatever their names, are ignored.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in RESULT.split(", ")]
+        names = [c.split()[0] for c in RESULT.split(", ") if ":" not in c] + ["keyframes"]
         for batch in batches:
-            rows = [_digest(x) for x in batch["text"]]
-            out = pd.DataFrame(rows, columns=names[1:])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64"))
-            yield out
+            for k in range(0, len(batch), 512):
+                part = batch.iloc[k : k + 512]
+                out = pd.DataFrame([_digest(x) for x in part["text"]], columns=list(dict.fromkeys(names))[1:])
+                out.insert(0, "doc_id", part["doc_id"].astype("Int64").to_numpy())
+                yield out
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, RESULT)
