@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+import re
+from collections.abc import Iterator
+from pathlib import Path
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Spellings that licence matching guidelines take as equal.
@@ -30,7 +36,6 @@ SPELLINGS = {
     "sub license": "sublicense",
     "wilful": "willful",
     "whilst": "while",
-    "redistributions": "redistribution",
     "http": "https",
 }
 
@@ -46,6 +51,28 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
+    "MIT-0": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "0BSD": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org>""",
+    "BSL-1.0": """Boost Software License - Version 1.0 - August 17th, 2003
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "Apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
 http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
@@ -67,65 +94,101 @@ MARKS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F‘’“”–—…•©®™]+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Licence tables up to so many rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Whole texts of long licences, a file for each; their names are the licences'.
+CATALOGUE = Path(__file__).parent / "catalogue"
 
+_CLAIM = re.compile(CLAIM.encode())
+_HINTS = (b"copyright", b"(c)", "©".encode(), b"all rights reserved")
+_ASCII_MARKS = bytes(c if c == 10 or 48 <= c < 58 or 97 <= c < 123 or c > 127 else 32 for c in range(256))
+_WIDE_MARKS = [c.encode() for c in "‘’“”–—…•©®™"]
+_WORDS = {old.encode(): new.encode() for old, new in SPELLINGS.items() if " " not in old}
+_PAIRS = {tuple(old.encode().split()): new.encode() for old, new in SPELLINGS.items() if " " in old}
 
-def canonical_lines(text: Column) -> Column:
-    """The canonical text, still with its line breaks: words have one blank on either side.
 
-    Lower-case ASCII, no lines of copyright claims, marks as blanks, one spelling for each of
-    ``SPELLINGS`` (in their order).
+def canonical_lines(text: str) -> list[list[bytes]]:
+    """The canonical words of every line of a whole text.
+
+    Lower-case ASCII, no lines of copyright claims (they become empty), marks as blanks, one spelling
+    for each of ``SPELLINGS``; pairs of words are told after single words.
     """
-    out = F.translate(text, UPPER, LOWER)
-    out = F.regexp_replace(out, F.lit(CLAIM), F.lit("\n"))
-    out = F.regexp_replace(out, F.lit(MARKS), F.lit(" "))
-    out = F.concat(F.lit(" "), F.replace(F.replace(out, F.lit("\n"), F.lit(" \n ")), F.lit(" "), F.lit("  ")), F.lit(" "))
-    for old, new in SPELLINGS.items():
-        out = F.replace(out, F.lit(f" {old} ".replace(" ", "  ")[1:-1]), F.lit(f" {new} ".replace(" ", "  ")[1:-1]))
+    raw = text.encode("utf-8", "surrogatepass").lower()
+    if any(h in raw for h in _HINTS):
+        raw = _CLAIM.sub(b"\n", raw)
+    if not raw.isascii():
+        for mark in _WIDE_MARKS:
+            raw = raw.replace(mark, b" ")
+    lines = [[_WORDS.get(w, w) for w in line.split()] for line in raw.translate(_ASCII_MARKS).split(b"\n")]
+    return [_joined(line) for line in lines]
+
+
+def _joined(words: list[bytes]) -> list[bytes]:
+    if not any((a, b) in _PAIRS for a, b in zip(words, words[1:])):
+        return words
+    out, k = [], 0
+    while k < len(words):
+        pair = _PAIRS.get(tuple(words[k : k + 2]))
+        out += [words[k]] if pair is None else pair.split()
+        k += 1 if pair is None else 2
     return out
 
 
-def digest(canonical: Column) -> Column:
+def digest(words: list[bytes]) -> str | None:
     """SHA-256 of canonical words with single blanks; null where no word is left."""
-    words = F.trim(F.regexp_replace(canonical, F.lit("[ \n]+"), F.lit(" ")))
-    return F.when(words != "", F.sha2(words, 256))
+    return hashlib.sha256(b" ".join(words)).hexdigest() if words else None
+
+
+def whole_digest(text: str) -> str | None:
+    return digest([w for line in canonical_lines(text) for w in line])
+
+
+def catalogue() -> dict[str, str]:
+    """All known texts: the short ones here, and the files of long ones."""
+    return LICENSES | {f.stem: f.read_text() for f in sorted(CATALOGUE.glob("*.txt"))}
 
 
 def known_licenses(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    rows = list((texts or LICENSES).items())
-    known = spark.createDataFrame(rows, "license_id string, text string")
-    return known.select("license_id", digest(canonical_lines(F.col("text"))).alias("digest")).where("digest is not null")
+    """``license_id, digest`` of the given texts, or of the catalogue."""
+    rows = [(k, whole_digest(v)) for k, v in (catalogue() if texts is None else texts).items()]
+    return spark.createDataFrame([r for r in rows if r[1]], "license_id string, digest string")
 
 
 def scan(docs: DataFrame, licenses: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, line, digest, license_id``: every text, and every line that is a licence by itself.
 
-    Each row of ``docs`` gives a row with line -1, the digest of its whole text and the licence
-    with that digest (null for none). A line of a text, counted from 0 after claim lines are gone,
-    is looked up the same way and gives a row where it is known. ``licenses(license_id, digest)``
-    has one row per digest or more; then the smallest id counts. Null, empty and wordless texts
-    have a null digest and match nothing. Repeated rows repeat. Other columns are ignored.
+    Each row of ``docs`` gives a row with line -1, the digest of its whole text, however long, and the
+    licence with that digest (null for none). A line of a text, counted from 0 after claim lines are
+    emptied, is looked up the same way and gives a row where it is known. ``licenses(license_id,
+    digest)`` has one row per digest or more; then the smallest id counts. Null, empty and wordless
+    texts have a null digest and match nothing. Repeated rows repeat, an empty table gives no rows,
+    and other columns, whatever their names, are ignored.
     """
     known = licenses.groupBy("digest").agg(F.min("license_id").alias("license_id"))
     if known.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
-    canonical = docs.select(F.col(id_col).alias("doc_id"), canonical_lines(F.col(text_col)).alias("canonical"))
-    whole = digest(F.col("canonical"))
-    lines = F.transform(F.split("canonical", "\n"), digest)
-    # one pass over the texts: the whole text and its lines are entries of one array
-    units = F.concat(
-        F.array(F.struct(F.lit(-1).cast("long").alias("line"), whole.alias("digest"))),
-        F.filter(
-            F.transform(lines, lambda d, k: F.struct(k.cast("long").alias("line"), d.alias("digest"))),
-            lambda u: u["digest"].isNotNull(),
-        ),
-    )
-    units = F.when(F.col("canonical").isNull(), F.array(F.struct(F.lit(-1).cast("long").alias("line"), F.lit(None).cast("string").alias("digest")))).otherwise(units)
-    each = canonical.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.line", "u.digest")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for k in range(0, big.num_rows, 256):
+                batch = big.slice(k, 256)
+                row, line, digests = [], [], []
+                for at, text in enumerate(batch.column("text").to_pylist()):
+                    lines = [] if text is None else canonical_lines(text)
+                    each = [digest([w for words in lines for w in words]), *map(digest, lines)]
+                    kept = [n for n, d in enumerate(each) if d or not n]
+                    row += [at] * len(kept)
+                    line += [n - 1 for n in kept]
+                    digests += [each[n] for n in kept]
+                ids = batch.column("doc_id").take(pa.array(row, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(line, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "line", "digest"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    each = rows.mapInArrow(run, f"doc_id {kind}, line long, digest string")
     return each.join(known, "digest", "left").where("line = -1 or license_id is not null").select("doc_id", "line", "digest", "license_id")
 
 
 def canonical_sql(text: str) -> str:
-    """``canonical_lines`` as DuckDB SQL."""
+    """``canonical_lines`` as DuckDB SQL: words have one blank on either side."""
     out = f"translate({text}, '{UPPER}', '{LOWER}')"
     out = f"regexp_replace({out}, '{CLAIM}', chr(10), 'g')"
     out = f"regexp_replace({out}, '{MARKS}', ' ', 'g')"
@@ -141,7 +204,7 @@ def digest_sql(canonical: str) -> str:
 
 
 def scan_sql() -> str:
-    quoted = ", ".join("({!r}, '{}')".format(k, v.replace("'", "''").replace("\n", "' || chr(10) || '")) for k, v in LICENSES.items())
+    quoted = ", ".join("({!r}, '{}')".format(k, v.replace("'", "''").replace("\n", "' || chr(10) || '")) for k, v in catalogue().items())
     return f"""
 with known as (
   select digest, min(license_id) as license_id
