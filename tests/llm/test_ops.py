@@ -66,6 +66,7 @@ def test_licenses(spark, awkward):
     same = "Copyright (c) 2020 Someone\n\n" + mit.replace("software", "SOFTWARE").replace('"', "'").replace("sublicense", "sublicence") + "\n  "
     rows = [(1, same, "a"), (2, mit + " and more", "a"), (3, "Some prose.\nReleased under the MIT licence!\nmore", "a"), (4, None, "a"), (5, "...", "a")]
     known = licenses.known_licenses(spark)
+    assert known.count() == known.select("digest").distinct().count() == len(licenses.catalogue()) > 30
     got = {(r["doc_id"], r["line"]): r["license_id"] for r in licenses.scan(docs_of(spark, rows), known).collect()}
     assert got[1, -1] == "MIT" and got[2, -1] is None and got[4, -1] is None and got[5, -1] is None
     assert got[3, 1] == "MIT-line" and sum(k[1] >= 0 for k in got) == 1
@@ -73,6 +74,23 @@ def test_licenses(spark, awkward):
     assert licenses.scan(awkward.limit(0), known).count() == 0
 
 
+def test_every_known_licence_is_found_in_other_forms(spark):
+    """Whole texts with other case, marks, line breaks, copyright lines and spellings; and with one word more or less."""
+    rng, rows, want = random.Random(20), [], {}
+    british = {new: old for old, new in licenses.SPELLINGS.items() if new not in ("https", "while")}
+    for name, text in licenses.catalogue().items():
+        for k in range(3):
+            words = re.split(r"( +)", text)
+            own = [british.get(w, w) if k else w for w in words]
+            own = "".join(w.upper() if rng.random() < 0.3 else w.replace('"', "“") for w in own).replace(". ", " ; ")
+            claims = f"Copyright (c) {1990 + k} A. N. Other\n" * k + ("All Rights Reserved.\n\n" if k == 2 else "")
+            want[len(rows)] = name
+            rows.append((len(rows), claims + own.replace("\n", "\r\n\t") + "\n", "a"))
+        rows += [(len(rows), text + " indeed", "a"), (len(rows) + 1, text.strip().rsplit(None, 1)[0], "a")]
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(docs_of(spark, rows), licenses.known_licenses(spark)).where("line = -1").collect()}
+    assert got == {i: want.get(i) for i, _, _ in rows}
+
+
 # -- 2 --------------------------------------------------------------------------------------------
 
 
@@ -100,12 +118,39 @@ def test_embeddings_against_all_cosines(spark):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def planted(rng, n, dim, low, high):
+    """n vectors and n partners, at cosines within the bounds."""
+    base = rng.standard_normal((n, dim))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.standard_normal((n, dim))
+    side -= (side * base).sum(1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = rng.uniform(low, high, (n, 1))
+    return np.concatenate([base, c * base + np.sqrt(1 - c * c) * side])
+
+
+def test_links_count_at_both_ends_of_many_vectors(spark):
+    rng = np.random.default_rng(21)
+    x, y = planted(rng, 11_000, 64, 0.9502, 0.955), planted(rng, 1500, 24, 0.9502, 0.97)
+    rows = [(k, v.tolist()) for k, v in enumerate([*x, *y])]  # two lengths; both have an index
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = embed_dedup.near_duplicates(df).toPandas().sort_values("vec_id")
+    links = got["n_links"].to_numpy()
+    for at, n in ((0, 11_000), (22_000, 1500)):
+        assert (links[at : at + n] == links[at + n : at + 2 * n]).all()  # none counts at one end only
+        assert links[at : at + 2 * n].max() == 1 and links[at : at + 2 * n].mean() >= 0.995
+    assert (got["component_id"] <= got["vec_id"]).all() and ((got["component_id"] != got["vec_id"]).sum() * 2 == links.sum())
+
+
 def test_multi_sequence_visits_in_order():
     rng = np.random.default_rng(2)
-    a, b = rng.random(6), rng.random(5)
-    got = list(embed_dedup.multi_sequence(a, b, 0.7))
-    sums = [a[i] + b[j] for i, j in got]
-    assert sums == sorted(sums) and len(got) == ((a[:, None] + b) <= a.min() + b.min() + 0.7).sum() == len(set(got))
+    first, second = rng.random((9, 6)), rng.random((9, 5))
+    row, a, b = embed_dedup.multi_sequence(first, second, 0.7)
+    for k in range(9):
+        cells = list(zip(a[row == k], b[row == k], strict=True))
+        sums = [first[k, i] + second[k, j] for i, j in cells]
+        inside = (first[k][:, None] + second[k]) <= first[k].min() + second[k].min() + 0.7
+        assert sums == sorted(sums) and len(cells) == inside.sum() and all(inside[c] for c in cells)
 
 
 # -- 3 --------------------------------------------------------------------------------------------
@@ -173,6 +218,26 @@ def test_an_id_with_several_texts_is_one_node(spark):
     a, b = words(rng, 40), words(rng, 40)
     got = ngram_join.near_duplicates(docs_of(spark, [(1, a, "x"), (2, a, "x"), (2, b, "x"), (3, b, "x")])).collect()
     assert {r["component_id"] for r in got} == {1}
+    near = b.split()
+    near[-1] = "other"  # a near copy of the text that isn't a copy of another id's
+    got = ngram_join.near_duplicates(docs_of(spark, [(1, a, "x"), (2, a, "x"), (2, b, "x"), (3, " ".join(near), "x")])).collect()
+    assert {r["component_id"] for r in got} == {1}
+
+
+def test_classes_of_tokens_hold_all_frequent_ones(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    often, rare = (rng.integers(0, 1 << 64, 500, np.uint64) for _ in range(2))
+    rows = [(ngram_join._signed(often).tolist(),)] * (ngram_join.RARE + 1) + [(ngram_join._signed(rare).tolist(),)] * ngram_join.RARE
+    sets = spark.createDataFrame(rows, "counted array<long>")
+    for most, chunk in ((30, 23), (30, 8), (10, 8)):  # in one chunk, in several, and with too few bits
+        monkeypatch.setattr(ngram_join, "MOST_BITS", most)
+        monkeypatch.setattr(ngram_join, "CHUNK_BITS", chunk)
+        table = ngram_join.frequent_tokens(sets, ngram_join.Scratch(spark))
+        assert table.of(often).all() and (most == 10 or table.of(rare).mean() < 0.15) and int(often[0]) in table
+    monkeypatch.undo()
+    monkeypatch.setattr(ngram_join, "MOST_BITS", 10)  # most rare tokens are taken for frequent ones, and the join stays exact
+    monkeypatch.setattr(ngram_join, "ROUTES", 3)
+    test_ngram_join_against_all_pairs(spark)
 
 
 def test_shingle_digests_match_sets():
@@ -329,6 +394,9 @@ def test_media_round_trip(spark, awkward):
         assert m["payload_bytes"] == len(payload) and m["payload_sha256"] == hashlib.sha256(payload).hexdigest()
         assert m["tail_crc32"] == zlib.crc32(payload[-16:])
         stored = media.write_container(payload)
+        ranges = b"".join(stored[k["offset"] : k["offset"] + k["length"]] for k in m["keyframes"])
+        assert ranges == b"".join(payload[k : k + 192] for k in range(0, len(payload), 192 * media.KEY_EVERY))
+        assert (m["codec"], m["duration_s"], m["n_samples"]) == ("raw", len(payload) / media.RATE, len(payload) // 192)
         assert m["media_bytes"] == len(stored) and m["media_sha256"] == hashlib.sha256(stored).hexdigest()
     assert media.text_media(awkward.limit(0)).count() == 0
 
@@ -346,6 +414,49 @@ def test_containers_are_walked(spark):
     assert got[2]["track"] is None and got[3]["track"] is None
 
 
+def test_hostile_containers_cost_no_more_than_their_bytes(spark):
+    deep = b""
+    for _ in range(3000):
+        deep = media._box(b"moov", deep)
+
+    def track(*tables):
+        return media._box(b"moov", media._box(b"trak", media._box(b"mdia", media._box(b"minf", media._box(b"stbl", *tables)))))
+
+    huge = media._full(b"stsz", (1).to_bytes(4, "big"), b"\xff" * 4)
+    runs = media._full(b"stsc", (1).to_bytes(4, "big"), (1).to_bytes(4, "big"), b"\xff" * 4, (1).to_bytes(4, "big"))
+    chunks = media._full(b"stco", (50).to_bytes(4, "big"), bytes(200))
+    rng = random.Random(62)
+    good = media.write_container(bytes(192 * 40))
+    broken = [bytes(rng.randrange(256) if rng.random() < 0.02 else x for x in good[:900]) for _ in range(150)]
+    rows = list(enumerate([deep, track(huge), track(huge, runs, chunks), *broken]))
+    got = media.media_columns(spark.createDataFrame(rows, "id long, media binary"), "id", "media").collect()
+    assert {r["id"] for r in got} == set(range(len(rows)))
+    assert all((r["n_samples"] or 0) <= len(rows[r["id"]][1]) for r in got)
+
+
+def test_fragments_and_compact_sizes():
+    def u(*x):
+        return b"".join(int(v).to_bytes(4, "big") for v in x)
+
+    tkhd, mdhd = media._full(b"tkhd", u(0, 0, 7, 0, 0)), media._full(b"mdhd", u(0, 0, 1000, 0, 0))
+    entry = media._box(b"avc1", bytes(8))
+    stbl = media._box(b"stbl", media._full(b"stsd", u(1), entry), media._full(b"stsz", u(0, 0)), media._full(b"stco", u(0)))
+    trak = media._box(b"trak", tkhd, media._box(b"mdia", mdhd, media._box(b"minf", stbl)))
+    moov = media._box(b"moov", trak, media._box(b"mvex", media._full(b"trex", u(7, 1, 40, 5, 0x10000))))
+    tfhd = media._box(b"tfhd", u(0x020000, 7))
+    sized = media._box(b"trun", u(0x000205, 3, 100, 0x02000000), u(11, 12, 13))  # offset, first flags, sizes
+    plain = media._box(b"trun", u(0, 2))
+    moof = media._box(b"moof", media._box(b"traf", tfhd, sized, plain))
+    (t,) = media.tracks(moov + moof + media._box(b"mdat", bytes(60)))
+    start = len(moov) + 100
+    assert t["codec"] == "avc1" and t["duration"] == 5 * 40
+    assert t["sizes"].tolist() == [11, 12, 13, 5, 5] and t["keys"].tolist() == [0]
+    assert t["offsets"].tolist() == [start, start + 11, start + 23, start + 36, start + 41]
+    for bits, raw in ((4, bytes([0x12, 0x30])), (8, bytes([1, 2, 3])), (16, bytes([0, 1, 0, 2, 0, 3]))):
+        body = memoryview(u(0, bits, 3) + raw)
+        assert media._sizes(body, 0, len(body), b"stz2").tolist() == [1, 2, 3]
+
+
 # -- 8 --------------------------------------------------------------------------------------------
 
 
@@ -383,6 +494,43 @@ def test_templates_learn_from_labels(spark):
     assert got[80]["rule"] is None and got[80]["verdict"] == "block"  # like the labelled rest of its template
 
 
+def test_the_tree_finds_hidden_labels(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    hidden = F.pmod(F.xxhash64("page_id"), F.lit(5)) == 0
+    got = urls.judge(pages, hidden=hidden).join(pages.select("page_id", hidden.alias("hidden")), "page_id").toPandas()
+    assert len(got) == pages.count()
+    test = got[got["hidden"] & got["rule"].notna()]
+    block = test["verdict"] == "block"
+    assert (block == test["rejected"]).mean() > max(0.8, block.mean(), 1 - block.mean())  # the tree against the rules it didn't see
+    free = got[got["rule"].isna()]
+    assert (free["verdict"] == "block").any() and ((free["verdict"] == "block") == free["rejected"]).all()
+
+
+def test_purity_and_merging_against_plain_loops(spark):
+    rng = random.Random(81)
+    rows = [f"http://{rng.choice('xyz')}.test/{rng.choice(['a', 'b', 'c'])}/{rng.choice(['p', 'q', 'r/s/t/u/v/w'])}" for _ in range(600)]
+    rules = (("x.test/a/p", "block"), ("x.test/b/", "allow"), ("y.test/", "block"), ("y.test/c/", "allow"))
+    tree = urls.Tree(distance=0.0)  # only siblings with equal children merge
+    got = urls.judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), rules, tree).toPandas()
+    labels = {h: [0, 0] for h in "xyz"}
+    nodes = {}
+    for r in got.itertuples():
+        steps = r.template.split("/", 5)  # the fifth level is the whole rest
+        for k in range(2, len(steps) + 1):
+            own = nodes.setdefault((r.host[0], "/".join(steps[:k])), [0, 0])
+            if r.rule:
+                own[r.verdict == "allow"] += 1
+        if r.rule:
+            labels[r.host[0]][r.verdict == "allow"] += 1
+    b, a = (sum(x[k] for x in labels.values()) for k in (0, 1))
+    for r in got.itertuples():
+        share, steps = b / (a + b), r.template.split("/", 5)
+        for own in (labels[r.host[0]], *(nodes[r.host[0], "/".join(steps[:k])] for k in range(2, len(steps) + 1))):
+            share = (own[0] + 4 * share) / (sum(own) + 4)
+        assert math.isclose(share, r.purity) and r.rejected == (share >= 0.7 and sum(nodes[r.host[0], "/".join(steps[:2])]) >= 5)
+    assert got["template"].str.contains("r").any() and got.loc[got["host"] == "z.test", "verdict"].eq("allow").all()
+
+
 # -- 9 --------------------------------------------------------------------------------------------
 
 

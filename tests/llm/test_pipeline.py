@@ -48,6 +48,7 @@ def test_mixing_loses_nothing_and_packing_takes_all(outputs):
     assert set(ids(mixed)) == set(ids(before)) and max(ids(mixed).values()) <= 2
     _, packed = outputs[4]
     assert ids(packed) == ids(mixed)
+    assert max(ids(mixed).values()) == 2 and not packed.groupBy("doc_id", "bucket", "batch").count().where("count > 1").count()
 
 
 def test_run_is_the_stages(spark, outputs):
@@ -58,7 +59,8 @@ def test_run_is_the_stages(spark, outputs):
 def test_stages_take_awkward_rows(spark):
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "same words here", None, "a", 1), (3, "same words here", None, "a", 1)]
     rows += [(None, "no id", "en", None, 5), (4, "z" * 200_000 + " end", "en", "b", None), (5, "same words here", "en", "b", 2)]
-    docs = spark.createDataFrame([(*r, 1, "w") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, k int, weight string")
+    names = "doc_id long, text string, lang string, source string, n_chars long, k int, weight string, mix_note string, densities int, id long, low int"
+    docs = spark.createDataFrame([(*r, 1, "w", "n", 2, 3, 4) for r in rows], names)
     seen = {}
     for df in (docs, docs.limit(0)):
         for name, stage in corpus_pipeline.STAGES:
