@@ -85,8 +85,14 @@ def test_sliding_windows_match_numpy(spark):
 def test_overlap_add_of_identity_is_the_input(spark):
     x = np.random.default_rng(3).random((5, 6, 7))
     for roi in ((4, 3, 3), (8, 6, 9)):
-        got = tile.overlap_add(vox_of(spark, x), (5, 6, 7), roi, (0.5, 0.3, 0.3), lambda c: c, 0.125).toPandas().sort_values(["t", "pixel"])
+        frames = tile.frames_of(vox_of(spark, x), 42)
+        got = tile.overlap_add(frames, (5, 6, 7), roi, (0.5, 0.3, 0.3), lambda c: c, 0.125).toPandas().sort_values(["t", "pixel"])
         assert np.allclose(got["v"].to_numpy().reshape(x.shape), x)
+        got = tile.overlap_add(
+            frames, (5, 6, 7), roi, (0.5, 0.3, 0.3), lambda c: (c, c * c), process=lambda p, w: (p + 1, w * (1 + p[0])), outputs=("a", "b")
+        )
+        got = got.toPandas().sort_values(["t", "pixel"])
+        assert np.allclose(got["a"].to_numpy().reshape(x.shape), x + 1) and np.allclose(got["b"].to_numpy().reshape(x.shape), x * x + 1)
 
 
 def test_median_matches_numpy(spark):
@@ -165,6 +171,87 @@ def test_shards_are_equal_and_cover_all(spark):
     assert evaluate.shards(spark.range(0), "id", 7, 3, Tables(spark)).count() == 0
 
 
+def test_few_rows_fill_all_shards(spark):
+    for n in (1, 2, 7, 8):
+        got = evaluate.shards(spark.range(n), "id", 7, 3, Tables(spark)).toPandas()
+        sizes = got.groupby("shard").size()
+        assert len(sizes) == 7 and sizes.nunique() == 1 and set(got["id"]) == set(range(n))
+
+
+def test_running_mean_across_parts(spark):
+    rng = np.random.default_rng(13)
+    rows = [(int(k % 3 > 0), n, int(x), int(w)) for n, (k, x, w) in enumerate(rng.integers(1, 50, (400, 3)))]
+    df = spark.createDataFrame(rows, "k long, n long, x long, w long").repartition(4)
+    got = {(r["k"], r["n"]): r["mean"] for r in evaluate.running_mean(df, "k", "n", "x", "w").collect()}
+    sums = {0: [0, 0], 1: [0, 0]}
+    for k, n, x, w in rows:
+        sums[k][0] += x * w
+        sums[k][1] += w
+        assert got[k, n] == sums[k][0] / sums[k][1]
+
+
+def test_correlation_and_distances_in_blocks(spark):
+    rng = np.random.default_rng(14)
+    x = rng.random((9, 50)) + 100
+    rows = [(i, t, float(x[i, t])) for i in range(9) for t in range(50) if (i + t) % 5]
+    df = spark.createDataFrame(rows, "mask_id long, t long, trace double")
+    got = {(r["i"], r["j"]): r["corr"] for r in traces.correlation(df, block=2, chunk=7).collect()}
+    assert len(got) == 36
+    for (i, j), c in got.items():
+        shared = [t for t in range(50) if (i + t) % 5 and (j + t) % 5]
+        assert abs(c - np.corrcoef(x[i, shared], x[j, shared])[0, 1]) < 1e-9
+    points = spark.createDataFrame([(k, float(h), float(w)) for k, (h, w) in enumerate(rng.random((25, 2)))], "mask_id long, com_h double, com_w double")
+    a, b = (pairs.distance_to(points, points, 2.0, block=n).orderBy("i", "j").collect() for n in (4, 10_000))
+    assert a == b and len(a) == 625
+
+
+def test_merges_against_serial_loops(spark):
+    rng, w = np.random.default_rng(15), 8
+    rows = []
+    for i in range(40):
+        y, x = rng.integers(0, 5, 2)
+        rows += [(i, int((y + a) * w + x + b), int(rng.integers(1, 4))) for a in range(3) for b in range(3) if rng.random() < 0.8]
+    m = {i: {p: v for k, p, v in rows if k == i} for i in {r[0] for r in rows}}
+    df, tables = masks_of(spark, rows), Tables(spark)
+
+    def centroid(pixels):
+        return np.mean([p // w for p in pixels]), np.mean([p % w for p in pixels])
+
+    def greedy(centres, distance):
+        group = {}
+        for i in sorted(centres):
+            if i not in group:
+                near = [j for j in sorted(centres) if j not in group and np.hypot(*np.subtract(centres[i], centres[j])) <= distance + 1e-12]
+                group |= dict.fromkeys(near, i)
+        return group
+
+    refined = {i: {p for p, v in own.items() if v >= max(own.values()) * 0.5} for i, own in m.items()}
+    for got, of, distance in ((merge.merge_com(df, w, 0.93, tables), m, 0.93), (merge.refine_merge(df, w, 0.71, 0.5, tables), refined, 0.71)):
+        want = greedy({i: centroid(own) for i, own in of.items()}, distance)
+        assert {r["mask_id"]: r["group_id"] for r in got.collect()} == want and len(set(want.values())) < len(want)
+    # containment: pairs in order; the larger of unequal ones is deleted beyond a size, others unite
+    most, state = 5, {i: i for i in refined}
+    for i in sorted(refined):
+        for j in sorted(refined):
+            if i == j or len(refined[i] & refined[j]) / len(refined[i]) < 0.8:
+                continue
+            large, small = (i, j) if len(refined[i]) > len(refined[j]) else (j, i)
+            if len(refined[large]) > len(refined[small]) and len(refined[large]) > most:
+                state[large] = None
+    deleted = {i for i in refined if state[i] is None}
+    got = {r["mask_id"]: r["group_id"] for r in merge.merge_consume(df, 0.8, 0.5, most, tables)[1].collect()}
+    assert set(got) == set(refined) and deleted and {i for i, g in got.items() if g is None} <= deleted
+
+
+def test_windowed_mean_of_late_events(spark, tmp_path):
+    spark.sql("select timestamp'2024-01-01 00:00:10' as ts, 1 as k, 2.0D as v union all select timestamp'2024-01-01 00:00:50', 1, 4.0D").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, k int, v double").parquet(str(tmp_path / "in"))
+    q = activity.windowed_mean(stream, "ts", "k", "v", "1 minute", "10 minutes").writeStream.format("memory").queryName("means").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    assert [(r["k"], r["mean"], r["n"]) for r in spark.table("means").collect()] == [(1, 3.0, 2)]
+
+
 def test_files(spark, tmp_path):
     x = np.arange(2 * 3 * 4, dtype="u2").reshape(2, 3, 4) + 40_000
     (tmp_path / "a.tif").write_bytes(volumes.tiff_bytes(x))

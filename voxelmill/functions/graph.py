@@ -18,16 +18,16 @@ def connected(edges: DataFrame, nodes: DataFrame, tables: Tables) -> DataFrame:
     both = tables.keep(both.where("i != j").distinct())
     state = tables.keep(nodes.select("node", F.col("node").alias("group")))
     while True:
-        low = both.join(state, F.col("j") == F.col("node")).groupBy("i").agg(F.min("group").alias("low"))
+        low = both.join(state.select("node", "group"), F.col("j") == F.col("node")).groupBy("i").agg(F.min("group").alias("low"))
         hooked = state.join(low, F.col("node") == F.col("i"), "left").select("node", "group", F.least("group", "low").alias("next"))
         hooked = tables.keep(hooked)
         of = hooked.select(F.col("node").alias("parent"), F.col("next").alias("grand"))
-        state = tables.keep(
+        before, state = state, tables.keep(
             hooked.join(of, F.col("next") == F.col("parent")).select("node", F.col("group").alias("old"), F.least("next", "grand").alias("group"))
         )
+        tables.drop(before, hooked)
         if not state.where("group != old").limit(1).count():
             return state.select("node", "group")
-        state = state.select("node", "group")
 
 
 def greedy_seeds(edges: DataFrame, nodes: DataFrame, tables: Tables) -> DataFrame:
@@ -39,7 +39,7 @@ def greedy_seeds(edges: DataFrame, nodes: DataFrame, tables: Tables) -> DataFram
     """
     up = edges.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).where("i < j").distinct()
     up = tables.keep(up)
-    free, live = nodes.select("node"), up
+    free, live, old = nodes.select("node"), up, []
     seeds = None
     while True:
         blocked = live.select(F.col("j").alias("node")).distinct()
@@ -47,11 +47,13 @@ def greedy_seeds(edges: DataFrame, nodes: DataFrame, tables: Tables) -> DataFram
         seeds = new if seeds is None else seeds.unionByName(new)
         taken = live.join(new, F.col("i") == F.col("node")).select(F.col("j").alias("node")).distinct()
         free = tables.keep(free.join(new, "node", "left_anti").join(taken, "node", "left_anti"))
+        tables.drop(*old)
         if not free.limit(1).count():
             break
         live = tables.keep(
             live.join(free.withColumnRenamed("node", "i"), "i", "left_semi").join(free.withColumnRenamed("node", "j"), "j", "left_semi")
         )
+        old = [free, live]
     joined = up.join(seeds, F.col("i") == F.col("node")).groupBy("j").agg(F.min("i").alias("group"))
     joined = joined.join(seeds, F.col("j") == F.col("node"), "left_anti").select(F.col("j").alias("node"), "group")
     return joined.unionByName(seeds.select("node", F.col("node").alias("group")))

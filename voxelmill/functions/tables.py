@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local one only where it names none, as in tests."""
+    """The session's checkpoint folder; where it names none, the warehouse, or a local folder in local mode."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="spark-")
+    if named:
+        return named
+    return tempfile.mkdtemp(prefix="spark-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
 
 
 class Tables:
@@ -26,4 +28,13 @@ class Tables:
         self.written += 1
         path = f"{self.root}/{self.written}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._kept_at = path
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete kept tables that nothing reads any more."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for df in frames:
+            path = jvm.org.apache.hadoop.fs.Path(df._kept_at)
+            path.getFileSystem(conf).delete(path, True)

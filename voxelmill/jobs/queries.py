@@ -178,9 +178,13 @@ def rot90(spark, d):
     return pre.rot90(_vox(spark, d), H, W)
 
 
-@query()
+def _draw(k: int) -> str:
+    return f"(cast('0x' || md5(t || ':5:{k}')[1:8] as bigint) / 2147483648.0 - 1)"
+
+
+@query(f"with {VOX} select t, pixel, round(v * (1 + {_draw(0)} * 0.1) + {_draw(1)} * 0.1, 6) as v from vox")
 def scale_shift(spark, d):
-    return pre.scale_shift(_vox(spark, d), 0.1, 0.1, 5)
+    return _rounded(pre.scale_shift(_vox(spark, d), 0.1, 0.1, 5), "v")
 
 
 # -- tiling ------------------------------------------------------------------------------------
@@ -212,9 +216,9 @@ GAUSS = "exp(-0.5 * (" + " + ".join(
 
 
 def _overlap_add(spark, d, sigma):
-    vox = _vox(spark, d)
-    frames = vox.agg(F.max("t")).first()[0] + 1
-    return _rounded(tile.overlap_add(vox, (frames, H, W), ROI, OVERLAP, _centred, sigma), "v")
+    frames = views.frames(spark, d)
+    total = frames.agg(F.max("t")).first()[0] + 1
+    return _rounded(tile.overlap_add(frames, (total, H, W), ROI, OVERLAP, _centred, sigma), "v")
 
 
 @query(_overlap_sql("1.0"))
@@ -345,9 +349,9 @@ def dice(spark, d):
     return _rounded(pairs.dice(views.counted_masks(spark, d), _lines(spark, d)), "dice")
 
 
-@query(f"with {SM} select a.pixel, a.val * b.val as val from sm a join sm b on a.pixel = b.pixel where a.mask_id = 1 and b.mask_id = 2")
+@query(f"with {SM}, {LINES} select sm.mask_id as i, ln.mask_id as j, pixel, sm.val * ln.val as val from sm join ln using (pixel)")
 def mask_intersection(spark, d):
-    return pairs.intersection(views.counted_masks(spark, d), 1, 2)
+    return pairs.intersections(views.counted_masks(spark, d), _lines(spark, d))
 
 
 @query(f"with {SM} select a.mask_id as i, b.mask_id as j, pixel, a.val * b.val as val from sm a join sm b using (pixel) where a.mask_id < b.mask_id")
@@ -422,7 +426,9 @@ def refine_merge(spark, d):
 @query()
 def merge_consume(spark, d):
     tables = Tables(spark)
-    return merge.merge_consume(tables.keep(views.counted_masks(spark, d)), RATIO_AT, BORDER, 1e9, tables)[1]
+    masks = tables.keep(views.counted_masks(spark, d))
+    middle = features.area(features.border_refine(masks, BORDER)).agg(F.avg("area")).first()[0]  # about half are above it
+    return merge.merge_consume(masks, RATIO_AT, BORDER, middle, tables)[1]
 
 
 @query()
@@ -525,7 +531,16 @@ def remove_overlap(spark, d):
     return overlap.smallest_owner(views.counted_masks(spark, d))
 
 
-@query()
+@query(f"""with {GT}, ar as (select neuron, count(*) as n from gt group by 1),
+ov as (select a.neuron as i, b.neuron as j, count(*) as n from gt a join gt b using (pixel) where a.neuron < b.neuron group by 1, 2),
+ch as (select i, j from ov join ar a on a.neuron = i join ar b on b.neuron = j where least(ov.n / a.n, ov.n / b.n) < 0.9),
+sh as (select i, j, a.pixel from ch join gt a on a.neuron = i join gt b on b.neuron = j and b.pixel = a.pixel),
+mt as (select neuron, t, avg(v) as m from gt join vox using (pixel) group by 1, 2),
+cl as (select i, j, pixel, unnest([i, j]) as neuron from sh),
+fi as (select neuron, pixel, corr(v, m) as c from (select distinct neuron, pixel from cl) join vox using (pixel) join mt using (neuron, t) group by 1, 2),
+wo as (select i, j, pixel, first(neuron order by round(coalesce(case when isnan(c) then -2 else c end, -2), 12) desc, neuron) as won
+  from cl join fi using (neuron, pixel) group by 1, 2, 3)
+select neuron as mask_id, pixel from gt where (neuron, pixel) not in (select (case when won = i then j else i end, pixel) from wo)""")
 def overlap_assign_corr(spark, d):
     return overlap.assign_by_correlation(_truth_masks(spark, d), _vox(spark, d), 0.9)
 
@@ -549,14 +564,39 @@ def trace_corr(spark, d):
     return _rounded(traces.correlation(traces.extract(_truth_masks(spark, d), _vox(spark, d))), "corr")
 
 
-@query()
+#: Frames are dealt to the nine tiles of a larger image, with room for rings between them.
+SIDE, GAP = 60, 20
+
+
+def _ring_sql(masks: str, h: int, w: int) -> str:
+    middle, half = "(a + b) / 2", "sqrt(((a - b) / 2) * ((a - b) / 2) + c * c)"
+
+    def grown(radius: str) -> str:
+        return f"""select distinct mask_id, (pixel // {w} + y.d) * {w} + pixel % {w} + x.d as pixel from {masks} join rd using (mask_id), od y, od x
+  where y.d * y.d + x.d * x.d <= {radius} * {radius} and pixel // {w} + y.d between 0 and {h - 1} and pixel % {w} + x.d between 0 and {w - 1}"""
+
+    return f"""mo as (select mask_id, var_pop(pixel // {w}) + 1 / 12.0 as a, var_pop(pixel % {w}) + 1 / 12.0 as b, covar_pop(pixel // {w}, pixel % {w}) as c from {masks} group by 1),
+ax as (select mask_id, 4 * sqrt({middle} + {half}) + 4 * sqrt(greatest({middle} - {half}, 0)) as s from mo),
+rd as (select mask_id, greatest(floor(round(s / 8, 9)), 1) as near, greatest(floor(round(s / 6, 9)), 2.5) as far from ax),
+od as (select unnest(range(-9, 10)) as d), zo as ({grown("near")}), wi as ({grown("far")}),
+ring as (select mask_id, pixel from wi where pixel not in (select pixel from zo))"""
+
+
+@query(f"""with recursive {CM}, big as (select mask_id, (t % 9 // 3 * {GAP} + 6 + pixel // 8) * {SIDE} + t % 9 % 3 * {GAP} + 6 + pixel % 8 as pixel from cm),
+{_ring_sql("big", SIDE, SIDE)} select mask_id, pixel from ring""")
 def bg_ring(spark, d):
-    return traces.background_rings(_cell_masks(spark, d), H, W)
+    tile_of = F.col("t") % 9
+    y = F.call_function("div", tile_of, F.lit(3)) * GAP + 6 + features.row(W)
+    x = tile_of % 3 * GAP + 6 + features.col(W)
+    return traces.background_rings(_cells(spark, d).select("mask_id", (y * SIDE + x).alias("pixel")), SIDE, SIDE)
 
 
-@query()
+@query(f"""with {GT}, mk as (select neuron as mask_id, pixel from gt), {_ring_sql("mk", 8, 8)},
+ce as (select mask_id, t, sum(v) / count(*) as v from mk join vox using (pixel) group by 1, 2),
+bg as (select mask_id, t, sum(v) / count(*) as v from ring join vox using (pixel) group by 1, 2)
+select mask_id, t, round(ce.v, 6) as cell, round(bg.v, 6) as bg, round(ce.v - 0.7 * bg.v, 6) as bg_rm from ce left join bg using (mask_id, t)""")
 def trace_bg_removed(spark, d):
-    return traces.background_removed(_truth_masks(spark, d), _vox(spark, d), H, W)
+    return _rounded(traces.background_removed(_truth_masks(spark, d), _vox(spark, d), H, W), "cell", "bg", "bg_rm")
 
 
 # -- evaluation --------------------------------------------------------------------------------
@@ -606,6 +646,17 @@ def eval_jaccard(spark, d):
     return evaluate.scores(evaluate.match_jaccard(found, truth, 0.8, tables), found, truth)
 
 
+@query(f"""with recursive {COM}, gt as (select cast(label as bigint) as neuron, pixel from vox join embeddings on t = vec_id
+  group by 1, 2 having round(avg(v), 9) > 0.02),
+a as (select mask_id, count(*) as n, round_even(avg(pixel // 8), 0) as h, round_even(avg(pixel % 8), 0) as w from cm group by 1),
+b as (select neuron, count(*) as n, round_even(avg(pixel // 8), 0) as h, round_even(avg(pixel % 8), 0) as w from gt group by 1),
+o as (select mask_id, neuron, count(*) as n from cm join gt using (pixel) group by 1, 2)
+select mask_id as i, neuron as j, round(o.n / (a.n + b.n - o.n), 6) as iou from o join a using (mask_id) join b using (neuron)
+where o.n / (a.n + b.n - o.n) > 0.2 and sqrt((a.h - b.h) * (a.h - b.h) + (a.w - b.w) * (a.w - b.w)) < 3""")
+def euclid_edges(spark, d):
+    return _rounded(evaluate.euclid_edges(_cell_masks(spark, d), _truth_masks(spark, d), W, 1.0, 0.2, 3.0), "iou")
+
+
 @query()
 def match_greedy(spark, d):
     tables = Tables(spark)
@@ -620,7 +671,8 @@ def eval_euclid(spark, d):
     return evaluate.scores(evaluate.match_greedy(evaluate.euclid_edges(found, truth, W, 1.0, 0.2, 3.0), tables), found, truth)
 
 
-@query()
+@query("""with r as (select vec_id as t, row_number() over (order by md5(vec_id || ':11'), vec_id) - 1 as k, count(*) over () as n from embeddings),
+p as (select t, unnest(range(k, (n + 6) // 7 * 7, n)) as k from r) select t, k % 7 as shard, k // 7 as place from p""")
 def shard_sampler(spark, d):
     return evaluate.shards(views.frames(spark, d), "t", 7, 11, Tables(spark))
 

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of this machine only where the session names none."""
+    """The folder all executors share; where the session names none, the warehouse, or a local folder in local mode."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return base or tempfile.mkdtemp(prefix="spark-")
+    if base:
+        return base
+    return tempfile.mkdtemp(prefix="spark-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
 
 
 class Scratch:

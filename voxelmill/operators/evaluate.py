@@ -142,28 +142,41 @@ def temporal_accuracy(truth: DataFrame, active: DataFrame, foreground: DataFrame
     return size.join(counts, "neuron", "left").select("neuron", ((total - F.coalesce("wrong", F.lit(0))) / F.lit(float(total))).alias("sta"))
 
 
+def _numbered(rows: DataFrame, order: list, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """A sorted table with ``part`` (of the sort) and ``place`` in it, and the parts' row counts."""
+    kept = tables.keep(rows.sort(*order).withColumn("_sorted", F.monotonically_increasing_id()))
+    kept = kept.withColumns({"part": F.shiftright("_sorted", 33).cast("int"), "place": F.col("_sorted").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_sorted")
+    return kept, kept.groupBy("part").agg(F.count("*").alias("rows"))
+
+
 def running_mean(rows: DataFrame, key: str, order: str, value: str, weight: str) -> DataFrame:
-    """Weighted mean so far, by key."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    mean = F.sum(F.col(value) * F.col(weight)).over(w) / F.sum(weight).over(w)
-    return rows.select(key, order, mean.alias("mean"))
+    """Weighted mean so far, by key. A key's rows lie in the parts of one global sort; sums of earlier parts are added."""
+    product = (F.col(value) * F.col(weight)).alias("xw")
+    kept, _ = _numbered(rows.select(key, order, product, F.col(weight).alias("w")), [key, order], Tables(rows.sparkSession))
+    earlier = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = kept.groupBy(key, "part").agg(F.sum("xw").alias("bx"), F.sum("w").alias("bw"))
+    base = base.select(key, "part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("bx", "bw")])
+    base = base.withColumnsRenamed({key: "base_key", "part": "base_part"})
+    own = Window.partitionBy(key, "part").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    both = kept.withColumns({"sx": F.sum("xw").over(own), "sw": F.sum("w").over(own)})
+    both = both.join(base, F.col(key).eqNullSafe(F.col("base_key")) & (F.col("part") == F.col("base_part")))
+    return both.select(key, order, ((F.col("sx") + F.col("bx")) / (F.col("sw") + F.col("bw"))).alias("mean"))
 
 
 def shards(rows: DataFrame, key: str, world: int, seed: int, tables: Tables) -> DataFrame:
     """``key, shard, place``: an epoch's seeded permutation dealt to ``world`` readers, with equal shares.
 
-    Row k of the permutation goes to shard ``k mod world``. As many rows from its start are shown
-    again as the last round lacks. Numbers come from a sort and one count per partition of it.
+    Row k of the permutation (by the digest of key and seed) goes to shard ``k mod world``. The last
+    round is filled by showing rows again from the start, over and over where there are too few.
+    Numbers come from a sort and one count per partition of it.
     """
-    sort = rows.select(key).sort(F.xxhash64(key, F.lit(seed)), key).withColumn("id", F.monotonically_increasing_id())
-    kept = tables.keep(sort)
-    part, place = F.shiftright("id", 33).cast("int"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    kept, counts = _numbered(rows.select(key, digest.alias("digest")), ["digest", key], tables)
     before, total = [], 0
-    for r in kept.groupBy(part.alias("part")).count().orderBy("part").collect():  # a row for each partition of the sort
+    for r in counts.orderBy("part").collect():  # a row for each partition of the sort
         before.append((r["part"], total))
-        total += r["count"]
+        total += r["rows"]
     offsets = F.broadcast(rows.sparkSession.createDataFrame(before, "part int, before long"))
-    numbered = kept.withColumn("part", part).join(offsets, "part").select(key, (F.col("before") + place).alias("k"))
-    lacking = -total % world
-    again = numbered.where(F.col("k") < lacking).withColumn("k", F.col("k") + total)
-    return numbered.unionByName(again).select(key, (F.col("k") % world).alias("shard"), F.call_function("div", "k", F.lit(world)).alias("place"))
+    places = F.sequence(F.col("before") + F.col("place"), F.lit(max(-(-total // world) * world - 1, 0)).cast("long"), F.lit(max(total, 1)).cast("long"))
+    numbered = kept.join(offsets, "part").select(key, F.explode(places).alias("k"))
+    return numbered.select(key, (F.col("k") % world).alias("shard"), F.call_function("div", "k", F.lit(world)).alias("place"))

@@ -78,19 +78,19 @@ def near_pairs(centroids: DataFrame, distance: float) -> DataFrame:
     return near(centroids, centroids, distance).where("i < j")
 
 
-def distance_to(left: DataFrame, right: DataFrame, pixel_size: float, few: int = 10_000) -> DataFrame:
-    """``i, j, distance``: all centroid distances; the right side is a stated set of at most ``few`` rows.
+def distance_to(left: DataFrame, right: DataFrame, pixel_size: float, block: int = 10_000) -> DataFrame:
+    """``i, j, distance``: all centroid distances, as the result has a row for each pair.
 
-    It is sent to the left rows as one array, so no pair is shuffled.
+    The right side is dealt to blocks of about ``block`` rows, each one array; every left row meets
+    every block in an equi-join, so neither side is gathered whole. A single block is broadcast.
     """
-    rows = right.select("mask_id", "com_h", "com_w").limit(few + 1).collect()
-    if len(rows) > few:
-        raise ValueError(f"more than {few} reference masks; use near() with a distance")
-    entries = F.array(*[F.struct(F.lit(r[0]).cast("long").alias("j"), F.lit(r[1]).alias("h"), F.lit(r[2]).alias("w")) for r in rows])
-    each = left.select(F.col("mask_id").alias("i"), "com_h", "com_w", F.explode(entries).alias("r"))
-    return each.select(
-        "i", F.col("r.j").alias("j"), (F.sqrt(F.pow(F.col("com_h") - F.col("r.h"), 2) + F.pow(F.col("com_w") - F.col("r.w"), 2)) * pixel_size).alias("distance")
-    )
+    blocks = max(1, -(-right.count() // block))
+    entry = F.struct(F.col("mask_id").alias("j"), F.col("com_h").alias("h"), F.col("com_w").alias("w"))
+    arrays = right.groupBy(F.pmod(F.xxhash64("mask_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(entry).alias("r"))
+    each = left.select(F.col("mask_id").alias("i"), "com_h", "com_w", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    each = each.join(F.broadcast(arrays) if blocks == 1 else arrays, "block").select("i", "com_h", "com_w", F.explode("r").alias("r"))
+    dh, dw = F.col("com_h") - F.col("r.h"), F.col("com_w") - F.col("r.w")
+    return each.select("i", F.col("r.j").alias("j"), (F.sqrt(dh * dh + dw * dw) * pixel_size).alias("distance"))
 
 
 def intersections(left: DataFrame, right: DataFrame | None = None) -> DataFrame:

@@ -146,6 +146,7 @@ def scale_shift(vox: DataFrame, factor: float, offset: float, seed: int) -> Data
     """Augmentation: each frame's values times ``1 + a`` plus ``b``, with a and b drawn by frame and seed."""
 
     def draw(k: int) -> Column:
-        return F.pmod(F.xxhash64("t", F.lit(seed), F.lit(k)), F.lit(1 << 30)) / (1 << 29) - 1
+        digest = F.md5(F.concat(F.col("t").cast("string"), F.lit(f":{seed}:{k}")))
+        return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / float(1 << 31) - 1
 
     return vox.withColumn("v", F.col("v") * (1 + draw(0) * factor) + draw(1) * offset)

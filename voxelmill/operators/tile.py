@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,61 +31,81 @@ def windows(spark: SparkSession, size: Shape, roi: Shape, overlap: Shape) -> Dat
     return out.select("t0", "h0", "w0")
 
 
-def _covering(x: Column, size: int, roi: int, overlap: float) -> Column:
-    """Starts of the windows that hold a coordinate, by arithmetic instead of a join."""
+def _starts(x: int, size: int, roi: int, overlap: float) -> list[int]:
+    """Starts of the windows that hold a coordinate, by arithmetic."""
     step, last = interval(size, roi, overlap), max(size - roi, 0)
-    low = F.greatest(F.ceil((x - roi + 1) / step), F.lit(0)).cast("long")
-    high = F.least(F.floor(x / step), F.lit(last // step)).cast("long")
-    steps = F.when(low <= high, F.transform(F.sequence(low, high), lambda k: k * step)).otherwise(F.array().cast("array<bigint>"))
-    return F.array_union(steps, F.when(x >= last, F.array(F.lit(last).cast("long"))).otherwise(F.array().cast("array<bigint>")))
+    steps = [k * step for k in range(max(-(-(x - roi + 1) // step), 0), min(x // step, last // step) + 1)]
+    return steps if x < last or last in steps else [*steps, last]
 
 
-def importance(roi: Shape, sigma_scale: float | None = None) -> Column:
+def importance(roi: Shape, sigma_scale: float | None = None) -> np.ndarray:
     """Weight of a voxel by its place in the window: one, or a Gaussian around the window's middle."""
-    if sigma_scale is None:
-        return F.lit(1.0)
-    z = F.lit(0.0)
-    for name, r in zip(("dt", "dh", "dw"), roi, strict=True):
-        z = z + F.pow((F.col(name) - (r - 1) / 2) / (sigma_scale * r), 2)
-    return F.exp(z * -0.5)
+    out = np.ones(roi)
+    for axis, r in enumerate(roi if sigma_scale is not None else ()):
+        one = np.exp(-0.5 * ((np.arange(r) - (r - 1) / 2) / (sigma_scale * r)) ** 2)
+        out *= one.reshape([-1 if k == axis else 1 for k in range(3)])
+    return out
+
+
+def frames_of(vox: DataFrame, pixels: int) -> DataFrame:
+    """``t, v``: voxels as a row per frame; a frame is one image at most, and absent voxels are 0."""
+    values = F.map_from_entries(F.collect_list(F.struct(F.col("pixel").cast("int"), F.col("v").cast("double"))))
+    each = vox.groupBy("t").agg(values.alias("m"))
+    return each.select("t", F.transform(F.sequence(F.lit(0), F.lit(pixels - 1)), lambda p: F.coalesce(F.element_at("m", p), F.lit(0.0))).alias("v"))
 
 
 def overlap_add(
-    vox: DataFrame, size: Shape, roi: Shape, overlap: tuple[float, float, float], predictor: Callable[[np.ndarray], np.ndarray], sigma_scale: float | None = None,
-    weight: Column | None = None,
+    frames: DataFrame, size: Shape, roi: Shape, overlap: tuple[float, float, float], predictor: Callable, sigma_scale: float | None = None,
+    process: Callable | None = None, outputs: tuple[str, ...] = ("v",),
 ) -> DataFrame:
-    """``t, pixel, v``: weighted mean of the predictions of all windows that hold a voxel.
+    """``t, pixel`` and a column for each output: weighted means of the predictions of all windows that hold a voxel.
 
-    ``predictor`` takes and returns an array of the window's shape. ``weight`` may replace the map of
-    importance: a column over the place in the window (dt, dh, dw) and the prediction p. Videos smaller than a window are
-    padded with zeros, half before and the odd one after. A voxel is sent to the windows that hold
-    it; their results are summed per voxel with partial aggregation.
+    ``predictor`` takes an array of the window's shape and returns one, or a tuple of them for
+    several ``outputs``. ``process(predictions, weights)`` may replace both after it. Videos smaller
+    than a window are padded with zeros, half before and the odd one after. Frames ``t, v`` are cut
+    to patches; a window gathers its patches, and a frame the weighted patches of its windows, so a
+    voxel travels as 8 bytes of an array.
     """
     pads = [max(r - s, 0) for s, r in zip(size, roi, strict=True)]
     full = [s + p for s, p in zip(size, pads, strict=True)]
-    width = size[2]
-    at = vox.select(
-        (F.col("t") + pads[0] // 2).alias("t"),
-        (F.call_function("div", "pixel", F.lit(width)) + pads[1] // 2).alias("h"),
-        (F.col("pixel") % width + pads[2] // 2).alias("w"),
-        "v",
-    )
-    for name, axis, s, r, o in zip(("t0", "h0", "w0"), ("t", "h", "w"), full, roi, overlap, strict=True):
-        at = at.withColumn(name, F.explode(_covering(F.col(axis), s, r, o)))
+    top, left = pads[1] // 2, pads[2] // 2
+    weights, k = importance(roi, sigma_scale), len(outputs)
+    rows, cols = ([*range(0, max(s - r, 0) + 1, interval(s, r, o)), max(s - r, 0)] for s, r, o in zip(full[1:], roi[1:], overlap[1:], strict=True))
+    rows, cols = sorted(set(rows)), sorted(set(cols))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for t, v in zip(batch["t"], batch["v"], strict=True):
+                image = np.zeros(full[1:])
+                image[top : top + size[1], left : left + size[2]] = np.asarray(v, np.float64).reshape(size[1:])
+                patches = [(h0, w0, image[h0 : h0 + roi[1], w0 : w0 + roi[2]].tobytes()) for h0 in rows for w0 in cols]
+                out += [(t0, *p[:2], t, p[2]) for t0 in _starts(t + pads[0] // 2, full[0], roi[0], overlap[0]) for p in patches]
+            yield pd.DataFrame(out, columns=["t0", "h0", "w0", "t", "patch"])
 
     def predict(pdf: pd.DataFrame) -> pd.DataFrame:
-        cube = np.zeros(roi)
-        place = tuple((pdf[a] - pdf[o]).to_numpy() for a, o in (("t", "t0"), ("h", "h0"), ("w", "w0")))
-        cube[place] = pdf["v"]
-        return pdf[["t", "h", "w", "t0", "h0", "w0"]].assign(p=np.asarray(predictor(cube), np.float64)[place])
-
-    got = at.groupBy("t0", "h0", "w0").applyInPandas(predict, "t long, h long, w long, t0 long, h0 long, w0 long, p double")
-    got = got.withColumns({"dt": F.col("t") - F.col("t0"), "dh": F.col("h") - F.col("h0"), "dw": F.col("w") - F.col("w0")})
-    weight = importance(roi, sigma_scale) if weight is None else weight
-    summed = got.groupBy("t", "h", "w").agg((F.sum(F.col("p") * weight) / F.sum(weight)).alias("v"))
-    return summed.select(
-        (F.col("t") - pads[0] // 2).alias("t"), ((F.col("h") - pads[1] // 2) * width + F.col("w") - pads[2] // 2).alias("pixel"), "v"
-    )
+        cube, at = np.zeros(roi), (pdf["t"] + pads[0] // 2 - pdf["t0"]).to_numpy()
+        cube[at] = np.frombuffer(b"".join(pdf["patch"]), np.float64).reshape(-1, *roi[1:])
+        got = predictor(cube)
+        got = np.stack([np.asarray(x, np.float64) for x in (got if isinstance(got, tuple) else (got,))])
+        own = weights
+        if process is not None:
+            got, own = process(got, own)
+        summed = np.concatenate([got * own, np.broadcast_to(own, roi)[None]])  # weighted outputs, and weights
+        return pdf[["t", "h0", "w0"]].assign(patch=[summed[:, x].tobytes() for x in at])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros((k + 1, *full[1:]))
+        for h0, w0, patch in pdf[["h0", "w0", "patch"]].itertuples(index=False):
+            total[:, h0 : h0 + roi[1], w0 : w0 + roi[2]] += np.frombuffer(patch, np.float64).reshape(k + 1, *roi[1:])
+        mean = (total[:k] / total[k])[:, top : top + size[1], left : left + size[2]].reshape(k, -1)
+        return pd.DataFrame({"t": pdf["t"].iloc[:1]} | {f"o{n}": [x] for n, x in enumerate(mean)})
+
+    patches = frames.select(F.col("t").cast("long").alias("t"), "v").mapInPandas(cut, "t0 long, h0 long, w0 long, t long, patch binary")
+    got = patches.groupBy("t0", "h0", "w0").applyInPandas(predict, "t long, h0 long, w0 long, patch binary")
+    summed = got.groupBy("t").applyInPandas(add, "t long, " + ", ".join(f"o{n} array<double>" for n in range(k)))
+    each = summed.select("t", F.posexplode(F.arrays_zip(*[f"o{n}" for n in range(k)])).alias("pixel", "o"))
+    return each.select("t", F.col("pixel").cast("long").alias("pixel"), *[F.col(f"o.o{n}").alias(c) for n, c in enumerate(outputs)])
 
 
 def logit_mask(logits: DataFrame, level: float = 0.0) -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelmill.functions import raster
 from voxelmill.operators import features
-from voxelmill.operators.morph import shifted
 
 #: Share of the background that is subtracted.
 BACKGROUND = 0.7
@@ -22,11 +20,38 @@ def extract(masks: DataFrame, vox: DataFrame) -> DataFrame:
     return summed.join(own, "mask_id").select("mask_id", "t", (F.col("s") / F.col("area")).alias("trace"))
 
 
-def correlation(traces: DataFrame) -> DataFrame:
-    """``i, j, corr``: Pearson correlation of all traces, i below j, from one aggregate per pair."""
-    a = traces.select("t", F.col("mask_id").alias("i"), F.col("trace").alias("x"))
-    b = traces.select("t", F.col("mask_id").alias("j"), F.col("trace").alias("y"))
-    return a.join(b, "t").where("i < j").groupBy("i", "j").agg(F.corr("x", "y").alias("corr"))
+def _sums(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sums over the shared frames of the pairs of two blocks of traces, by products of matrices."""
+    ids, t = np.unique(pdf["mask_id"]), np.unique(pdf["t"])
+    x, seen = np.zeros((2, len(ids), len(t)))
+    place = np.searchsorted(ids, pdf["mask_id"]), np.searchsorted(t, pdf["t"])
+    x[place], seen[place] = pdf["x"], 1
+    block = np.zeros(len(ids), np.int64)
+    block[place[0]] = pdf["block"]
+    low, high = pdf["low"].iloc[0], pdf["high"].iloc[0]
+    i, j = np.nonzero(np.triu(np.ones((len(ids), len(ids)), bool), 1) & ((low == high) | (block[:, None] != block)))
+    parts = {"n": (seen, seen), "sx": (x, seen), "sy": (seen, x), "sxx": (x * x, seen), "syy": (seen, x * x), "sxy": (x, x)}
+    return pd.DataFrame({"i": ids[i], "j": ids[j]} | {k: (a @ b.T)[i, j] for k, (a, b) in parts.items()})
+
+
+def correlation(traces: DataFrame, block: int = 64, chunk: int = 4096) -> DataFrame:
+    """``i, j, corr``: Pearson correlation of all pairs of traces over their shared frames, i below j.
+
+    Traces are centred and dealt to blocks; a task multiplies two blocks over a chunk of frames, and
+    its sums per pair are added up. So a value is sent once per block, not once per pair.
+    """
+    means = traces.groupBy("mask_id").agg(F.avg("trace").alias("mean"))
+    blocks = max(1, -(-means.count() // block))
+    own = F.pmod(F.xxhash64("mask_id"), F.lit(blocks))
+    rows = traces.join(means, "mask_id").select("mask_id", "t", (F.col("trace") - F.col("mean")).alias("x"), own.alias("block"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other"), "part": F.floor(F.col("t") / chunk)})
+    names = ("n", "sx", "sy", "sxx", "syy", "sxy")
+    sums = rows.groupBy("low", "high", "part").applyInPandas(_sums, "i long, j long, " + ", ".join(f"{c} double" for c in names))
+    sums = sums.where("n > 0").groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names])
+    top = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
+    bottom = F.sqrt((F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")))
+    return sums.select("i", "j", F.when(bottom > 0, top / bottom).alias("corr"))
 
 
 def axes(masks: DataFrame, w: int) -> DataFrame:
@@ -43,25 +68,25 @@ def axes(masks: DataFrame, w: int) -> DataFrame:
     return m.select("mask_id", (4 * F.sqrt(middle + half) + 4 * F.sqrt(F.greatest(middle - half, F.lit(0.0)))).alias("axes"))
 
 
-def _grown(masks: DataFrame, radii: DataFrame, h: int, w: int) -> DataFrame:
-    """Masks dilated by disks of their own radius; radii are few whole or half numbers up to the image's size."""
-    limit = int(math.hypot(h, w)) + 1
-    sizes = [r["radius"] for r in radii.where(F.col("radius") <= limit).select("radius").distinct().collect()]
-    out = None
-    for r in sorted(sizes):
-        part = masks.join(radii.where(F.col("radius") == r), "mask_id", "left_semi")
-        grown = shifted(part, raster.disk(r), h, w).select("mask_id", "pixel").distinct()
-        out = grown if out is None else out.unionByName(grown)
-    return masks.select("mask_id", "pixel").limit(0) if out is None else out
+def _grown(masks: DataFrame, radius: Column, h: int, w: int) -> DataFrame:
+    """``mask_id, pixel``: masks dilated by disks of their own ``radius``, in one pass over the pixels."""
+    y, x = features.row(w), features.col(w)
+    rows = masks.select("mask_id", y.alias("y"), x.alias("x"), F.least(radius, F.lit(float(h + w))).alias("r"))
+    rows = rows.withColumn("dy", F.explode(F.sequence(-F.floor("r"), F.floor("r"))))
+    reach = F.floor(F.sqrt(F.col("r") * F.col("r") - F.col("dy") * F.col("dy")))
+    rows = rows.withColumn("dx", F.explode(F.sequence(-reach, reach)))
+    rows = rows.select("mask_id", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
+    inside = rows.where((F.col("y") >= 0) & (F.col("y") < h) & (F.col("x") >= 0) & (F.col("x") < w))
+    return inside.select("mask_id", (F.col("y") * w + F.col("x")).alias("pixel")).distinct()
 
 
 def background_rings(masks: DataFrame, h: int, w: int) -> DataFrame:
     """``mask_id, pixel``: a wide ring around each mask, without the narrow zones around any mask."""
-    size = axes(masks, w)
-    narrow = size.select("mask_id", F.greatest(F.floor(F.col("axes") / 8), F.lit(1)).cast("double").alias("radius"))
-    wide = size.select("mask_id", F.greatest(F.floor(F.col("axes") / 6).cast("double"), F.lit(2.5)).alias("radius"))
-    zones = _grown(masks, narrow, h, w).select("pixel").distinct()
-    return _grown(masks, wide, h, w).join(zones, "pixel", "left_anti").select("mask_id", "pixel")
+    sized = masks.select("mask_id", "pixel").join(axes(masks, w), "mask_id")
+    near = F.greatest(F.floor(F.round(F.col("axes") / 8, 9)).cast("double"), F.lit(1.0))
+    far = F.greatest(F.floor(F.round(F.col("axes") / 6, 9)).cast("double"), F.lit(2.5))
+    zones = _grown(sized, near, h, w).select("pixel").distinct()
+    return _grown(sized, far, h, w).join(zones, "pixel", "left_anti").select("mask_id", "pixel")
 
 
 def background_removed(masks: DataFrame, vox: DataFrame, h: int, w: int) -> DataFrame:
