@@ -283,7 +283,7 @@ def _summed(rows: DataFrame, sums) -> np.ndarray | None:
         if total is not None:
             yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
 
-    got = rows.mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").toPandas()["v"].to_numpy()
+    got = rows.mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas().sort_values("k")["v"].to_numpy()
     return got if len(got) else None
 
 
@@ -307,8 +307,11 @@ def cells_of(densities: DataFrame, voters: Voters, model: LabelModel) -> DataFra
     return densities.mapInPandas(run, "x binary, n long, p double").groupBy("x").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
 
 
-def train(cells: DataFrame, width: int, steps: int = 25) -> np.ndarray:
-    """Newton's method for soft labels; each step is one sum over the table of cells."""
+def train(cells: DataFrame, width: int, steps: int = 15) -> np.ndarray:
+    """Newton's method for soft labels; each step is one sum over the table of cells.
+
+    It ends when no weight moves by a twentieth: the next step, quadratically smaller, would not be seen.
+    """
     w, m = np.zeros(width + 1), width + 1
     for _ in range(steps):
 
@@ -323,7 +326,7 @@ def train(cells: DataFrame, width: int, steps: int = 25) -> np.ndarray:
             break
         step = logistic_step(w, got[1 : m + 1], got[m + 1 :].reshape(m, m), got[0])
         w = w - step
-        if np.abs(step).max() < 1e-4:
+        if np.abs(step).max() < 0.05:
             break
     return w
 
