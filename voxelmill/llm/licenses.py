@@ -204,7 +204,8 @@ def digest_sql(canonical: str) -> str:
 
 
 def scan_sql() -> str:
-    quoted = ", ".join("({!r}, '{}')".format(k, v.replace("'", "''").replace("\n", "' || chr(10) || '")) for k, v in catalogue().items())
+    texts = {k: v.replace("'", "''").replace("\n", "¶") for k, v in catalogue().items()}
+    quoted = ", ".join(f"('{k}', replace('{v}', '¶', chr(10)))" for k, v in texts.items())
     return f"""
 with known as (
   select digest, min(license_id) as license_id
