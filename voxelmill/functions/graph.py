@@ -47,12 +47,12 @@ def greedy_seeds(edges: DataFrame, nodes: DataFrame, tables: Tables) -> DataFram
         seeds = new if seeds is None else seeds.unionByName(new)
         taken = live.join(new, F.col("i") == F.col("node")).select(F.col("j").alias("node")).distinct()
         free = tables.keep(free.join(new, "node", "left_anti").join(taken, "node", "left_anti"))
-        tables.drop(*old)
         if not free.limit(1).count():
             break
         live = tables.keep(
             live.join(free.withColumnRenamed("node", "i"), "i", "left_semi").join(free.withColumnRenamed("node", "j"), "j", "left_semi")
         )
+        tables.drop(*old)
         old = [free, live]
     joined = up.join(seeds, F.col("i") == F.col("node")).groupBy("j").agg(F.min("i").alias("group"))
     joined = joined.join(seeds, F.col("j") == F.col("node"), "left_anti").select(F.col("j").alias("node"), "group")
