@@ -72,21 +72,29 @@ def _fold(max_area: float):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         areas = dict(zip(pdf["i"], pdf["area_i"], strict=True)) | dict(zip(pdf["j"], pdf["area_j"], strict=True))
-        group: dict[int, int | None] = {}
+        group: dict[int, int] = {}
+        members: dict[int, set[int]] = {}
         gone = -2
+
+        def put(masks: list[int], name: int) -> None:
+            for k in masks:
+                if k in group:
+                    members[group[k]].remove(k)
+                group[k] = name
+            members.setdefault(name, set()).update(masks)
+
         for i, j in pdf.sort_values(["i", "j"])[["i", "j"]].itertuples(index=False):
             large, small = (i, j) if areas[i] > areas[j] else (j, i)
             if areas[large] > areas[small] and areas[large] > max_area:
-                group[large] = gone
-            elif group.get(i) is None and group.get(j) is None:
-                group[i] = group[j] = i
-            elif group.get(i) is None:
-                group[i] = group[j]
-            elif group.get(j) is None:
-                group[j] = group[i]
-            else:
-                old, new = group[j], group[i]
-                group = {k: new if g == old else g for k, g in group.items()}
+                put([large], gone)
+            elif i not in group:
+                put([i, j] if j not in group else [i], group.get(j, i))
+            elif j not in group:
+                put([j], group[i])
+            elif group[j] != group[i]:
+                moved = members.pop(group[j])
+                group.update(dict.fromkeys(moved, group[i]))
+                members[group[i]] |= moved
         out = {k: group.get(k, k) for k in areas}
         return pd.DataFrame({"mask_id": list(out), "group_id": [None if g == gone else g for g in out.values()]}).astype("Int64")
 
