@@ -501,6 +501,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     live = meta.where("n > 0 and doc_id is not null")
     classes = scratch.save(live.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")), "classes")
     copies = classes.where("m > 1").select("n", "d1", "d2", "rep")
+    copies = F.broadcast(copies) if copies.count() <= MAX_BROADCAST_IDS // 4 else copies  # the rows of a large class stay where they are
     spare = scratch.save(live.join(copies, ["n", "d1", "d2"]).where("doc_id != rep").select("doc_id", "n", "d1", "d2").distinct(), "spare")
     # an id with several sets: their classes are one node
     several = scratch.save(live.groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select("doc_id"), "several")
