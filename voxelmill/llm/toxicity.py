@@ -152,9 +152,9 @@ def mine(docs: DataFrame, labels: DataFrame, label: str) -> tuple[Voters, float]
                 own = {("w", w) for w in words if len(w) > 2} | {("s", w[:m]) for w in words for m in START_LENGTHS if len(w) >= m}
                 n.update((*t, y) for t in own)
                 n["n", "", y] += 1
-            if len(n) > COUNTED:
-                yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["kind", "term", "y", "n"])
-                n = Counter()
+                if len(n) > COUNTED:
+                    yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["kind", "term", "y", "n"])
+                    n = Counter()
         yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["kind", "term", "y", "n"])
 
     one = sample.mapInPandas(first_shingle, "low long, y int, text string").groupBy("low").agg(F.max(F.struct("y", "text")).alias("r"))
