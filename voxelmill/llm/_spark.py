@@ -17,6 +17,15 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
 
 
+#: Bytes of rows that a Python worker gets at once, about; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, so that long texts don't fill a worker; rows alone would not."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 class Scratch:
     """Tables that cut lineage: each is written once in the shared folder and read from there.
 
@@ -24,6 +33,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession) -> None:
+        bound_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
         self._n = 0

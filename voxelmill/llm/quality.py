@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from voxelmill.llm._labels import class_sizes, held_out, training_rows
 from voxelmill.llm._shingles import PIECE, shingles, word_hashes
+from voxelmill.llm._spark import bound_batches
 
 #: Labelled rows of each class that vote, about; all documents are scored against each of them.
 PER_CLASS = 1500
@@ -149,6 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     Of near copies among them, told by the smallest shingle, one votes. A voter stands for its share
     of its class, so that scores keep the natural shares of the classes however many rows are labelled.
     """
+    bound_batches(docs.sparkSession)
     df, n = document_frequencies(docs)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32)
     sample = training_rows(docs, labels, label, PER_CLASS)
