@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmill.llm import embed_dedup, licenses, media, mixing, ngram_join, packing, quality, sharding, toxicity, urls
+from voxelmill.llm import embed_dedup, hard_negatives, hash_search, licenses, media, mixing, ngram_join, packing, quality, sharding, toxicity, urls, vector_codes
 from voxelmill.llm._spark import Scratch, table
 
 
@@ -61,6 +61,19 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_hilbert_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op13_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = [
         op1_license_scan,
@@ -73,9 +86,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_url_templates,
         op9_temperature_mixing,
         op10_feistel_shards,
+        op11_hilbert_blocks,
+        op12_hard_negatives,
+        op13_multi_index_hashing,
     ]
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.scan_sql()}
+    return {
+        "op1_license_scan": licenses.scan_sql(),
+        "op11_hilbert_blocks": vector_codes.compress_sql(),
+        "op12_hard_negatives": hard_negatives.mine_sql("a.vec_id % 100 = 0", "case when vec_id % 7 = 0 then (label + 1) % 10 else label end"),
+    }
