@@ -48,9 +48,16 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
+        self._delete(*(df._scratch_path for df in frames))
+
+    def close(self) -> None:
+        """Delete all tables written here."""
+        self._delete(self.root)
+
+    def _delete(self, *names: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(conf).delete(path, True)
 
 

@@ -213,6 +213,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are predicted to have label 1."""
+    """The rows of ``docs``, all columns included, that are predicted to have label 1.
+
+    Rows are judged as by ``classify``: null and empty texts alike, very long texts whole, repeated
+    rows each, rows without an id too; an empty table stays empty.
+    """
     score = scorer(docs.sparkSession, fit(docs, labels))
     return docs.where(score(F.coalesce("text", F.lit(""))) >= THRESHOLD)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from voxelmill.llm._labels import class_sizes, held_out, training_rows
 from voxelmill.llm._shingles import shingles
-from voxelmill.llm._spark import Scratch, fresh
+from voxelmill.llm._spark import Scratch
 
 #: Common insults.
 INSULTS = ("bastard", "bitch", "clown", "creep", "disgusting", "dumb", "fool", "freak", "garbage", "idiot", "imbecile", "jerk", "loser",
@@ -257,14 +257,14 @@ class Model:
         return self.of_densities(np.array([self.voters.densities(t) for t in texts]).reshape(len(texts), -1))
 
 
-def with_densities(docs: DataFrame, voters: Voters, name: str) -> DataFrame:
-    """``docs`` with the densities of each text in column ``name``; only texts go through Python."""
+def densities(docs: DataFrame, voters: Voters, *carried: str) -> DataFrame:
+    """``d``, the densities of each text, beside the columns ``carried``; texts are left behind."""
 
     @F.pandas_udf("binary")
-    def densities(texts: pd.Series) -> pd.Series:
+    def of(texts: pd.Series) -> pd.Series:
         return pd.Series([voters.densities(t).tobytes() for t in texts], dtype=object)
 
-    return docs.withColumn(name, densities("text"))
+    return docs.select(*carried, of("text").alias("d"))
 
 
 def _matrix(raw: pd.Series, voters: Voters) -> np.ndarray:
@@ -331,17 +331,15 @@ def train(cells: DataFrame, width: int, steps: int = 15) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", scratch: Scratch | None = None) -> tuple[Model, DataFrame, str]:
-    """The model, the table of ``docs`` with their densities, and the name of that column.
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, *carried: str, label: str = "toxic") -> tuple[Model, DataFrame]:
+    """The model, and the table of all densities beside the columns ``carried`` of ``docs``.
 
     The label model takes the votes of all documents, as one row of sums per task. The classifier
     learns the posteriors of all documents, from a table of their counts by (rounded) features.
     """
-    scratch = scratch or Scratch(docs.sparkSession)
     voters, prior = mine(docs, labels, label)
-    name = fresh(docs, "densities")
-    table = scratch.save(with_densities(docs, voters, name), "densities")
-    only = table.select(F.col(name).alias("d"))
+    table = scratch.save(densities(docs, voters, *carried), "densities")
+    only = table.select("d")
 
     def moments(batch):
         v = voters.votes(_matrix(batch["d"], voters))
@@ -349,22 +347,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", scratch: Scrat
 
     got = _summed(only, moments)
     if got is None:
-        return Model(voters, np.zeros(voters.width + 1)), table, name
+        return Model(voters, np.zeros(voters.width + 1)), table
     m = voters.size
     model = label_model(got[0], got[1 : m + 1], got[m + 1 :].reshape(m, m), prior)
     cells = scratch.save(cells_of(only, voters, model), "cells")
-    return Model(voters, train(cells, voters.width)), table, name
-
-
-def _score(table: DataFrame, model: Model, name: str) -> Column:
-    """Scores from densities; the model is sent once to each executor."""
-    shared = table.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def score(d: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.of_densities(_matrix(d, shared.value.voters)), dtype="float64")
-
-    return score(name)
+    return Model(voters, train(cells, voters.width)), table
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -377,12 +364,30 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     whatever their names, are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    model, table, name = fit(docs, labels)
-    scored = table.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), _score(table, model, name).alias("score"))
+    model, table = fit(docs, labels, Scratch(docs.sparkSession), "doc_id")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(d: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.of_densities(_matrix(d, shared.value.voters)), dtype="float64")
+
+    scored = table.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score("d").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns included, that are predicted to have label 0; densities are computed once."""
-    model, table, name = fit(docs, labels)
-    return table.where(_score(table, model, name) < THRESHOLD).drop(name)
+    """The rows of ``docs``, all columns included, that are predicted to have label 0.
+
+    Rows are judged as by ``classify``: null, empty and very long texts, repeated rows and rows without
+    an id alike; an empty table stays empty. Texts are scored again after the fit rather than copied.
+    """
+    scratch = Scratch(docs.sparkSession)
+    model, _ = fit(docs, labels, scratch)
+    scratch.close()
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.score(texts.tolist()), dtype="float64")
+
+    return docs.where(score("text") < THRESHOLD)
