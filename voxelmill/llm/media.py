@@ -22,8 +22,6 @@ KEY_EVERY, CHUNK = 16, 8
 RATE = 8000
 #: Fixed values of the format: boxes that hold boxes.
 NESTED = frozenset([b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"udta", b"mvex", b"moof", b"traf", b"dinf"])
-#: Nested boxes deeper than this are not walked: real files have about ten levels.
-DEEPEST = 32
 TRACK_SCHEMA = (
     "codec string, handler string, timescale long, duration long, n_samples long, n_keyframes long, "
     "payload_bytes long, keyframes array<struct<offset: long, length: long>>"
@@ -73,11 +71,14 @@ def write_container(payload: bytes) -> bytes:
     return head + moov(first) + _box(b"mdat", payload)
 
 
-def boxes(data: memoryview) -> Iterator[tuple[tuple, int, int, int]]:
-    """Path, start, body start and body end of every box, outer boxes first; stops a level at a broken size."""
-    open_levels = [(0, len(data), ())]
+def boxes(data: memoryview) -> Iterator[tuple[bytes, bool, int, int, int]]:
+    """Kind, whether inside a track, start, body start and body end of every box, outer boxes first.
+
+    A level stops at a broken size. Boxes may be nested to any depth.
+    """
+    open_levels = [(0, len(data), False)]
     while open_levels:
-        start, end, path = open_levels.pop()
+        start, end, inside = open_levels.pop()
         if start + 8 > end:
             continue
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -88,10 +89,12 @@ def boxes(data: memoryview) -> Iterator[tuple[tuple, int, int, int]]:
             size = end - start
         if size < head or start + size > end:
             continue
-        yield (*path, kind), start, start + head, start + size
-        open_levels.append((start + size, end, path))
-        if kind in NESTED and len(path) < DEEPEST:
-            open_levels.append((start + head, start + size, (*path, kind)))
+        inside_own = inside or kind == b"trak"
+        yield kind, inside_own, start, start + head, start + size
+        if start + size < end:
+            open_levels.append((start + size, end, inside))
+        if kind in NESTED:
+            open_levels.append((start + head, start + size, inside_own))
 
 
 def _table(data: memoryview, at: int, end: int, dtype: str, columns: int, skip: int = 8) -> np.ndarray:
@@ -100,11 +103,23 @@ def _table(data: memoryview, at: int, end: int, dtype: str, columns: int, skip:
     return np.frombuffer(data, dtype, n * columns, at + skip).astype(np.int64).reshape(n, columns)
 
 
-def _sizes(data: memoryview, at: int, end: int, kind: bytes) -> np.ndarray:
-    """Sample sizes of a plain or a compact table; samples of one size can't outnumber the file's bytes."""
+class Samples:
+    """How many more samples a file may claim without a table entry for each: as many as it has bytes, in all its tracks and fragments."""
+
+    def __init__(self, left: int) -> None:
+        self.left = left
+
+    def take(self, n: int) -> int:
+        n = min(n, self.left)
+        self.left -= n
+        return n
+
+
+def _sizes(data: memoryview, at: int, end: int, kind: bytes, samples: Samples) -> np.ndarray:
+    """Sample sizes of a plain or a compact table."""
     fixed, n = struct.unpack_from(">II", data, at + 4)
     if kind == b"stsz":
-        return np.full(min(n, len(data) // fixed), fixed, np.int64) if fixed else _table(data, at, end, ">u4", 1, 12)[:, 0]
+        return np.full(samples.take(n), fixed, np.int64) if fixed else _table(data, at, end, ">u4", 1, 12)[:, 0]
     bits = fixed & 255
     raw = np.frombuffer(data, np.uint8, min(-(-n * bits // 8), end - at - 12), at + 12)
     if bits == 4:
@@ -128,13 +143,13 @@ def _optional(data: memoryview, at: int, flags: int, fields: tuple[tuple[int, st
     return out, at
 
 
-def _run(data: memoryview, at: int, end: int, f: dict) -> None:
+def _run(data: memoryview, at: int, end: int, f: dict, samples: Samples) -> None:
     """Append the samples of one run of a fragment to its track."""
     flags, n = struct.unpack_from(">II", data, at)
     flags &= 0xFFFFFF
     head, at = _optional(data, at + 8, flags, ((_RUN_OFFSET, ">i"), (_RUN_FIRST, ">I")))
     names = [x for x in (_RUN_DURATION, _RUN_SIZE, _RUN_FLAGS, _RUN_SHIFT) if flags & x]
-    n = min(n, (end - at) // (4 * len(names))) if names else min(n, len(data) // max(f["size"], 1))
+    n = min(n, (end - at) // (4 * len(names))) if names else samples.take(n)
     rows = np.frombuffer(data, ">u4", n * len(names), at).reshape(n, len(names)).astype(np.int64)
 
     def column(name: int, default: int) -> np.ndarray:
@@ -153,13 +168,13 @@ def tracks(data: bytes) -> list[dict]:
     """Each track's codec, duration and sample places, from its tables and fragments alone.
 
     ``offsets`` and ``sizes`` have an entry for each sample, ``keys`` the numbers of sync samples
-    from 0 (all samples where the track has no sync table). What tables claim is bounded by the
-    file's size, so a hostile file costs no more than its bytes.
+    from 0 (all samples where the track has no sync table). Samples that have no entry of their own in
+    a table (all of one size, or runs without fields) are no more than the file's bytes over all
+    tracks and fragments together, so time and memory stay in proportion to the file's size.
     """
     view, found, known, extends, fragment = memoryview(data), [], {}, {}, None
-    moof = 0
-    for path, start, at, end in boxes(view):
-        kind = path[-1]
+    moof, samples = 0, Samples(len(data))
+    for kind, inside, start, at, end in boxes(view):
         if kind == b"trak":
             found.append({"codec": None, "handler": None, "timescale": 0, "duration": 0, "more": []})
         elif kind == b"trex":
@@ -175,8 +190,8 @@ def tracks(data: bytes) -> list[dict]:
             fragment = {"track": known.get(number), "base": base, "next": base}
             fragment |= {"duration": got.get(_DURATION, duration), "size": got.get(_SIZE, size), "flags": got.get(_FLAGS, marks)}
         elif kind == b"trun" and fragment and fragment["track"] is not None:
-            _run(view, at, end, fragment)
-        if not found or b"trak" not in path:
+            _run(view, at, end, fragment, samples)
+        if not inside:
             continue
         t = found[-1]
         if kind == b"tkhd":
@@ -192,7 +207,7 @@ def tracks(data: bytes) -> list[dict]:
         elif kind == b"stsc":
             t["runs"] = _table(view, at, end, ">u4", 3)
         elif kind in (b"stsz", b"stz2"):
-            t["sizes"] = _sizes(view, at, end, kind)
+            t["sizes"] = _sizes(view, at, end, kind, samples)
         elif kind in (b"stco", b"co64"):
             t["chunks"] = _table(view, at, end, ">u4" if kind == b"stco" else ">u8", 1)[:, 0]
         elif kind == b"stss":
@@ -207,10 +222,9 @@ def _place(t: dict) -> None:
     sizes = t.pop("sizes", np.zeros(0, np.int64))
     runs, chunks = t.pop("runs", np.zeros((0, 3), np.int64)), t.pop("chunks", np.zeros(0, np.int64))
     keys = t.pop("keys", None)
-    per_chunk = np.zeros(len(chunks), np.int64)
-    for k, (first, count, _) in enumerate(runs):
-        last = runs[k + 1][0] - 1 if k + 1 < len(runs) else len(chunks)
-        per_chunk[max(first - 1, 0) : last] = min(count, len(sizes))
+    # runs start at ascending chunks; one that doesn't starts where the one before it does
+    run = np.searchsorted(np.maximum.accumulate(runs[:, 0]), np.arange(1, len(chunks) + 1), "right") - 1
+    per_chunk = np.where(run >= 0, np.minimum(runs[run, 1], len(sizes)), 0) if len(runs) else np.zeros(len(chunks), np.int64)
     filled = np.minimum(np.cumsum(per_chunk), len(sizes))  # samples up to the end of each chunk
     of_chunk = np.repeat(np.arange(len(chunks)), np.diff(filled, prepend=0))
     sizes = sizes[: len(of_chunk)]
@@ -218,11 +232,13 @@ def _place(t: dict) -> None:
     starts = np.concatenate([[0], filled])[:-1][of_chunk] if len(of_chunk) else of_chunk
     offsets = chunks[of_chunk] + before - before[starts] if len(sizes) else before
     keys = np.arange(len(sizes)) if keys is None else keys[(keys >= 0) & (keys < len(sizes))]
+    parts = [(offsets, sizes, keys)]
+    n = len(sizes)
     for more, own, sync, duration in t.pop("more"):
-        keys = np.concatenate([keys, np.flatnonzero(sync) + len(sizes)])
-        offsets, sizes = np.concatenate([offsets, more]), np.concatenate([sizes, own])
+        parts.append((more, own, np.flatnonzero(sync) + n))
+        n += len(own)
         t["duration"] += duration
-    t["offsets"], t["sizes"], t["keys"] = offsets, sizes, keys
+    t["offsets"], t["sizes"], t["keys"] = (np.concatenate(p) for p in zip(*parts, strict=True))
 
 
 def _row(t: dict) -> dict:
