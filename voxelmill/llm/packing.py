@@ -5,15 +5,15 @@ from __future__ import annotations
 import bisect
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelmill.llm._spark import Scratch, running
 
 #: A bucket is ordered in slices of its rows' hash: this many at least, and one for so many rows in all.
 SLICES, SLICE = 64, 50_000
-#: Showings of an id that have batches of their own; further ones share the last turn's.
-TURNS = 8
+#: Turns whose batches are told to every executor; a later turn has less than this part of all rows.
+FIRST_TURNS = 1000
 
 
 def word_count(text: Column) -> Column:
@@ -80,12 +80,12 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> lis
 
 
 def _turns(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """``turn``: how often a row's id has come before, up to ``TURNS``; 0 for rows without an id."""
+    """``turn``: how often a row's id has come before; 0 for rows without an id."""
     again = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1")
     again = scratch.save(again, "again")
     slices = F.greatest(F.lit(1), F.expr(f"times div {SLICE}"))
     counted = running(rows.join(again, "doc_id"), ["doc_id"], F.xxhash64("row"), ["row"], slices, {"turn": F.lit(1).cast("long")})
-    counted = counted.withColumn("turn", F.least("turn", F.lit(TURNS).cast("long"))).select(*rows.columns, "turn")
+    counted = counted.select(*rows.columns, "turn")
     return rows.join(again, "doc_id", "left_anti").withColumn("turn", F.lit(0).cast("long")).unionByName(counted)
 
 
@@ -102,8 +102,8 @@ def pack(
     The bounds are optimal for the histogram of all lengths, one entry for each. The driver holds it:
     d distinct lengths need d * d / 2 tokens in all, so 10^13 tokens have 4.5 million at most. A batch
     is ``budget div padded_len`` rows of one bucket (one at least, so that texts beyond the budget
-    still go somewhere), numbered in an order that hashes ids. Rows that repeat an id take turns:
-    each of its first ``TURNS`` rows is in other batches than the rest. Places in a bucket are counted
+    still go somewhere), numbered in an order that hashes ids. Rows that repeat an id take turns, and
+    every turn has batches of its own, so no batch holds a document twice. Places in a bucket are counted
     by slices of the hash, never by ordering a whole bucket. Null and empty texts have length 0 and go
     to the first bucket; texts are counted whole, however long. Ties, repeated rows and rows without an
     id are ordered by their place in the table. An empty table gives no rows. Other columns, whatever
@@ -121,14 +121,16 @@ def pack(
     padded = F.coalesce(*[F.when(c, F.lit(b).cast("long")) for c, _, b in cases]) if cases else F.lit(0).cast("long")
     dealt = _turns(rows, scratch).withColumns({"bucket": bucket, "padded_len": padded})
     per_batch = F.greatest(F.lit(1), F.expr(f"{token_budget} div greatest(padded_len, 1)")).cast("long")
-    # rows of a turn have ids of their own, but for the last turn and rows without an id
-    own = F.when(F.col("doc_id").isNull() | (F.col("turn") == TURNS), F.xxhash64("doc_id", F.lit(1), "row")).otherwise(F.xxhash64("doc_id", F.lit(1)))
+    # rows of a turn have ids of their own, but for rows without an id
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(1), "row")).otherwise(F.xxhash64("doc_id", F.lit(1)))
     slices = max(SLICES, int(counts.sum()) // SLICE)
     placed = running(dealt, ["bucket", "padded_len", "turn"], own, ["doc_id", "row"], slices, {"place": F.lit(1).cast("long")})
     turns = dealt.groupBy("bucket", "padded_len", "turn").agg(F.ceil(F.count("*") / per_batch).cast("long").alias("batches"))
-    earlier = Window.partitionBy("bucket").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)  # TURNS + 1 rows a bucket
-    before = turns.select("bucket", "turn", F.coalesce(F.sum("batches").over(earlier), F.lit(0)).alias("before"))
-    return placed.join(F.broadcast(before), ["bucket", "turn"]).select(
+    before = running(turns, ["bucket"], F.xxhash64("turn"), ["turn"], slices, {"before": F.col("batches")}).select("bucket", "turn", "before")
+    before = scratch.save(before, "turns")
+    early = placed.where(F.col("turn") < FIRST_TURNS).join(F.broadcast(before.where(F.col("turn") < FIRST_TURNS)), ["bucket", "turn"])
+    late = placed.where(F.col("turn") >= FIRST_TURNS).join(before.where(F.col("turn") >= FIRST_TURNS), ["bucket", "turn"])
+    return early.unionByName(late).select(
         "doc_id",
         "n_tokens",
         "bucket",
