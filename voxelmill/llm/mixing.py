@@ -95,13 +95,16 @@ def schedule(
     permutes the blocks, and blocks are taken whole until the budget is reached, the last one
     included. Every row appears in all whole epochs of its source. A null source is a source of its
     own. Rows of sources without tokens (null or empty texts only) appear once. Rows that repeat an
-    id or have none share a block and are shown equally often. An empty table gives no rows.
+    id share a block and are shown equally often, and so do rows without an id that are alike in all columns. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession)
     p = fresh(docs, "mix_")
     count = word_count(F.col(text_col)) if tokens is None else tokens
     key = F.struct(F.col("source").isNull().alias("none"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name"))
-    hashed = F.xxhash64("doc_id", F.lit(seed))
+    own = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    # rows without an id are told apart by all they hold (maps and variants can't be hashed)
+    told = [c for c, (_, kind) in zip(own, docs.dtypes, strict=True) if "map<" not in kind and "variant" not in kind]
+    hashed = F.when(F.col("doc_id").isNull(), F.xxhash64(*told, F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed)))
     light = scratch.save(docs.select(key.alias("k"), hashed.alias("h"), count.alias("n")), "counted")
     totals = scratch.save(source_totals(light.withColumnRenamed("k", "source"), F.col("n")), "totals")
     alpha = solve_exponent(totals, target)
@@ -134,7 +137,6 @@ def schedule(
     epochs = scratch.save(epochs.select(*[F.col(old).alias(p + new) for old, new in names.items()]), "blocks")
     small = epochs.count() <= BROADCAST_ROWS
     # from here on names start with the prefix, as the columns of docs may have any other
-    own = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
     counts = plan.select(F.col("k").alias(p + "k2"), F.col("n_blocks").alias(p + "n"))
     placed = docs.select(*own, key.alias(p + "k"), hashed.alias(p + "h"), count.alias(p + "tokens"))
     placed = placed.join(F.broadcast(counts) if few else counts, F.col(p + "k") == F.col(p + "k2")).withColumn(p + "block", F.pmod(p + "h", p + "n"))
