@@ -67,7 +67,9 @@ def number_rows(df: DataFrame, order: list[str], scratch: Scratch) -> tuple[Data
     The sort writes one table; a row's number is its place in its partition plus the rows of the
     partitions before it. Only one count per partition is summed, never a global window.
     """
-    sorted_rows = scratch.save(df.sort(*order).withColumn("_mid", F.monotonically_increasing_id()), "numbered")
+    # rows alike in all columns of the order are spread by where they come from, so no partition holds all of them
+    spread = df.withColumn("_mid", F.monotonically_increasing_id()).sort(*order, "_mid")
+    sorted_rows = scratch.save(spread.withColumn("_mid", F.monotonically_increasing_id()), "numbered")
     part, place = F.shiftright("_mid", 33).alias("_part"), F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     counts = sorted_rows.groupBy(part).agg(F.count("*").alias("n")).orderBy("_part").collect()
     before, total = [], 0
