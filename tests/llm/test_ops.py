@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from voxelmill.llm import embed_dedup, licenses, media, mixing, ngram_join, packing, quality, sharding, toxicity, urls
 from voxelmill.llm._labels import held_out
 from voxelmill.llm._shingles import shingles
-from voxelmill.llm._spark import running
+from voxelmill.llm._spark import Scratch, running
 
 DOCS = (
     "doc_id long, text string, source string, leader long, sig string, bucket int, mix_tokens int, score string, node long, u string, id string, "
@@ -307,7 +307,7 @@ def test_repeated_rows_take_turns(spark):
     rng.shuffle(rows)
     got = packing.pack(docs_of(spark, rows), buckets=3, token_budget=400).toPandas()
     assert len(got) == len(rows)
-    few = got[got["doc_id"].notna() & (got["doc_id"] != 7)]
+    few = got[got["doc_id"].notna()]
     assert not few.duplicated(["doc_id", "bucket", "batch"]).any()  # no batch holds a document twice
     for _, g in got.groupby(["bucket", "batch"]):
         assert sorted(g["slot"]) == list(range(len(g)))
@@ -428,10 +428,38 @@ def test_hostile_containers_cost_no_more_than_their_bytes(spark):
     rng = random.Random(62)
     good = media.write_container(bytes(192 * 40))
     broken = [bytes(rng.randrange(256) if rng.random() < 0.02 else x for x in good[:900]) for _ in range(150)]
-    rows = list(enumerate([deep, track(huge), track(huge, runs, chunks), *broken]))
+    many = track(huge)[8:] * 300
+    unordered = media._full(b"stsc", (3).to_bytes(4, "big"), *((x).to_bytes(4, "big") for x in (9, 2, 1, 4, 5, 1, 20, 1, 1)))
+    rows = list(enumerate([deep, track(huge), track(huge, runs, chunks), media._box(b"moov", many), track(huge, unordered, chunks), *broken]))
     got = media.media_columns(spark.createDataFrame(rows, "id long, media binary"), "id", "media").collect()
     assert {r["id"] for r in got} == set(range(len(rows)))
-    assert all((r["n_samples"] or 0) <= len(rows[r["id"]][1]) for r in got)
+    total = Counter()
+    for r in got:
+        total[r["id"]] += r["n_samples"] or 0
+    assert all(n <= len(rows[k][1]) for k, n in total.items())
+
+
+def test_many_fragments_without_fields_cost_no_more_than_their_bytes():
+    import time
+    import tracemalloc
+
+    tkhd = media._full(b"tkhd", *(int(x).to_bytes(4, "big") for x in (0, 0, 7, 0, 0)))
+    head = media._box(b"moov", media._box(b"trak", tkhd))
+    tfhd = media._box(b"tfhd", (0).to_bytes(4, "big"), (7).to_bytes(4, "big"))
+    trun = media._box(b"trun", (0).to_bytes(4, "big"), b"\xff" * 4)
+    data = head + media._box(b"moof", media._box(b"traf", tfhd, *[trun] * 1250))
+    assert 19_000 < len(data) < 21_000
+    began = time.perf_counter()
+    (track,) = media.tracks(data)
+    assert time.perf_counter() - began < 1 and len(track["sizes"]) <= len(data)
+    tracemalloc.start()
+    media.tracks(data)
+    assert tracemalloc.get_traced_memory()[1] < 50e6
+    tracemalloc.stop()
+    inner = media._box(b"trak", media._full(b"mdhd", *(int(x).to_bytes(4, "big") for x in (0, 0, 1000, 5, 0))))
+    for _ in range(200):
+        inner = media._box(b"moov", inner)
+    assert media.tracks(inner)[0]["timescale"] == 1000  # boxes are walked at any depth
 
 
 def test_fragments_and_compact_sizes():
@@ -454,7 +482,7 @@ def test_fragments_and_compact_sizes():
     assert t["offsets"].tolist() == [start, start + 11, start + 23, start + 36, start + 41]
     for bits, raw in ((4, bytes([0x12, 0x30])), (8, bytes([1, 2, 3])), (16, bytes([0, 1, 0, 2, 0, 3]))):
         body = memoryview(u(0, bits, 3) + raw)
-        assert media._sizes(body, 0, len(body), b"stz2").tolist() == [1, 2, 3]
+        assert media._sizes(body, 0, len(body), b"stz2", media.Samples(9)).tolist() == [1, 2, 3]
 
 
 # -- 8 --------------------------------------------------------------------------------------------
@@ -626,3 +654,25 @@ def test_shards(spark, awkward):
 def test_labels_fold(spark):
     got = spark.range(200).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in got)
+
+
+def test_a_row_repeated_many_times_with_a_near_copy(spark):
+    rng = random.Random(71)
+    base = [f"w{rng.randrange(300)}" for _ in range(120)]
+    near = " ".join([*base[:-1], "other"])
+    spaced = [" ".join(base).replace(" ", " " * k) for k in range(1, 4)]  # other texts with the same set
+    rows = [(5, spaced[k % 3], "a") for k in range(30_000)] + [(9, near, "a")] * 3000 + [(2, "far from all of these words here", "a")]
+    got = ngram_join.near_duplicates(docs_of(spark, rows)).groupBy("doc_id", "n_shingles", "component_id").count().collect()
+    assert sorted(tuple(r) for r in got) == [(2, 3, 2, 1), (5, 116, 5, 30_000), (9, 116, 5, 3000)]
+
+
+def test_hot_rows_are_told_apart(spark):
+    """Rows without an id are dealt to blocks by what they hold; rows alike in all columns are sorted apart."""
+    rows = [(None, f"some words {k % 500} of text", "a") for k in range(4000)]
+    mixed = mixing.schedule(docs_of(spark, rows), block_tokens=500).toPandas()
+    assert len(mixed) >= 4000 and mixed["_mix_block"].nunique() > 10
+    same = docs_of(spark, [(1, "alike", "a")] * 5000).repartition(8)
+    scratch = Scratch(spark)
+    numbered, n = sharding.number_rows(same.select("doc_id"), ["doc_id"], scratch)
+    assert n == 5000 and sorted(r["row_no"] for r in numbered.collect()) == list(range(5000))
+    assert numbered.groupBy(F.spark_partition_id()).count().count() > 1

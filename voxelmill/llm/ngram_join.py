@@ -21,7 +21,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelmill.llm._shingles import mix, shingles
@@ -35,6 +35,8 @@ RARE = 32
 #: A rare token that meets a set bit is taken for a frequent one; any fixed split of tokens into classes
 #: keeps the join exact.
 BITS_PER_TOKEN, MOST_BITS, CHUNK_BITS = 16, 30, 23
+#: A class of copies with more than this part of all rows is told to every executor (so many at most); others are joined by a shuffle.
+HOT_CLASSES = 250_000
 #: Ids, and ends of pairs, up to so many are broadcast to the scan of texts (about 50 MB); more are joined by a shuffle.
 MAX_BROADCAST_IDS, MAX_BROADCAST_ENDS = 2_000_000, 1_000_000
 #: Partners of a document that one row of its routes names, at most; a document of more has several rows.
@@ -268,6 +270,14 @@ def combination_signatures(tokens: np.ndarray, frequent: Often, rule: Rule, leve
 HARD = "doc_id long, n long, tokens binary, sigs array<long>"
 
 
+def _once(rows: DataFrame, several: DataFrame | None, *told: str) -> DataFrame:
+    """``rows`` with those of ids that have several once for each value of the columns ``told``."""
+    if several is None:
+        return rows
+    many = _keep_ids(rows, several, "left_semi").dropDuplicates(["doc_id", *told])
+    return _keep_ids(rows, several, "left_anti").unionByName(many)
+
+
 def hard_sets(docs: DataFrame, frequent, rule: Rule) -> DataFrame:
     """Whole sets and combination signatures of documents with too few rare tokens."""
     schema = _arrow(HARD)
@@ -300,6 +310,18 @@ def _keep_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, ids.columns, how)
 
 
+def _join_classes(rows: DataFrame, classes: DataFrame, hot: Column) -> DataFrame:
+    """``rows`` joined with their classes of copies; the rows of hot classes stay where they are.
+
+    ``hot`` is a condition on ``classes`` that no more than ``HOT_CLASSES`` of them meet.
+    """
+    key = ["n", "d1", "d2"]
+    more = [c for c in classes.columns if c not in key]
+    met = rows.join(F.broadcast(classes.where(hot).select(*key, F.lit(True).alias("_hot"), *more)), key, "left")
+    own = met.where("_hot").drop("_hot")
+    return own.unionByName(met.where("_hot is null").select(*rows.columns).join(classes.where(~hot), key))
+
+
 def verify(pairs: DataFrame, docs: DataFrame, rule: Rule, partitions: int, scratch: Scratch) -> DataFrame:
     """The similar ones of distinct ``pairs(leader, doc_id)`` as edges ``a, b``.
 
@@ -339,10 +361,10 @@ def verify(pairs: DataFrame, docs: DataFrame, rule: Rule, partitions: int, scrat
         "doc_id",
         "tokens",
     )
-    dealt = each.repartition(partitions, "leader", "salt").sortWithinPartitions("leader", "salt", "member")
+    dealt = each.repartition(partitions, "leader", "salt").sortWithinPartitions("leader", "salt", "member", "doc_id")
 
     def compare(batches):
-        key, lead = None, []
+        key, lead, told, last, seen = None, [], set(), None, set()
         for big in batches:
             for batch in _pieces(big, 4096):
                 a, b = [], []
@@ -350,10 +372,19 @@ def verify(pairs: DataFrame, docs: DataFrame, rule: Rule, partitions: int, scrat
                 for (leader, salt, member, doc), raw in zip(zip(*cols, strict=True), batch.column(4), strict=True):
                     tokens = np.frombuffer(raw.as_buffer(), np.uint64)
                     if (leader, salt) != key:
-                        key, lead = (leader, salt), []
-                    if not member:
-                        lead.append(tokens)  # more than one where an id has several rows
+                        key, lead, told, last = (leader, salt), [], set(), None
+                    if not member:  # more than one where an id has several sets
+                        if (own := raw.as_py()) not in told:
+                            told.add(own)
+                            lead.append(tokens)
                         continue
+                    if last is not None and last[0] == doc:  # an id's further rows are compared once for each set
+                        seen = seen or {last[1].as_py()}
+                        if (own := raw.as_py()) in seen:
+                            continue
+                        seen.add(own)
+                    else:
+                        last, seen = (doc, raw), set()
                     for x in lead:
                         if rule.fits(len(x), len(tokens)):
                             both = len(np.intersect1d(x, tokens, assume_unique=True))
@@ -447,7 +478,7 @@ def cluster_links(hard: DataFrame, heavy: DataFrame, links: DataFrame, rule: Rul
     )
     sizes = scratch.save(sizes, "sizes")
     sized = members.join(sizes, "cluster")
-    blocked = sized.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    blocked = sized.withColumn("block", F.pmod(F.xxhash64("doc_id", "tokens"), F.col("blocks")))
     within = scratch.save(_block_edges(blocked.select("cluster", "block", "doc_id", "tokens"), ["cluster", "block"], rule, False), "within")
     found = components(links.unionByName(within), scratch).select(F.col("node").alias("doc_id"), "component")
     state = scratch.save(
@@ -463,7 +494,7 @@ def cluster_links(hard: DataFrame, heavy: DataFrame, links: DataFrame, rule: Rul
         return within
     lots = (
         out.join(counts, "cluster")
-        .withColumn("lot", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("lots")))
+        .withColumn("lot", F.pmod(F.xxhash64("doc_id", "tokens", F.lit(7)), F.col("lots")))
         .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .select("cluster", "lot", "block", "doc_id", "tokens", F.lit(0).alias("side"))
     )
@@ -480,17 +511,20 @@ def _partitions(spark: SparkSession, rows: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 1_000_000)
 
 
-def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None
+) -> DataFrame:
     """``doc_id, n_shingles, component_id``: one row per row of ``docs``.
 
     Two documents link at ``den * intersection >= num * union`` of their shingle sets, and the
-    component is the smallest id reached by links, the own id included. Null and empty texts and
+    component is the smallest id reached by links, the own id included. Texts are compared whole, however
+    long; a task holds the sets of a few hundred texts at once. Null and empty texts and
     texts without words have no shingles and link with nothing. Rows that repeat an id are parts of
-    one node: each has its own set, and their component is the id's. Rows without an id aren't
+    one node: each has its own set, and their component is the id's; equal rows of an id are compared once. Rows without an id aren't
     compared; their component is null. An empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = scratch or Scratch(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = scratch.save(token_sets(docs, rule), "sets")
     meta = sets.select("doc_id", "n", "d1", "d2")
@@ -500,20 +534,23 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     # equal sets: one document stands for them
     live = meta.where("n > 0 and doc_id is not null")
     classes = scratch.save(live.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")), "classes")
-    copies = classes.where("m > 1").select("n", "d1", "d2", "rep")
-    copies = F.broadcast(copies) if copies.count() <= MAX_BROADCAST_IDS // 4 else copies  # the rows of a large class stay where they are
-    spare = scratch.save(live.join(copies, ["n", "d1", "d2"]).where("doc_id != rep").select("doc_id", "n", "d1", "d2").distinct(), "spare")
+    hot = F.col("m") > max(1, (total[1] or 0) // HOT_CLASSES)
+    copied = _join_classes(live, classes.where("m > 1"), hot)
+    spare = scratch.save(copied.where("doc_id != rep").select("doc_id", "n", "d1", "d2").distinct(), "spare")
     # an id with several sets: their classes are one node
     several = scratch.save(live.groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select("doc_id"), "several")
-    of_id = live.join(several, "doc_id").join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"])
+    of_id = _keep_ids(live, several, "left_semi").distinct().join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"])
     same = of_id.join(of_id.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b")
-    alone = _keep_ids(sets.where("n > 0 and doc_id is not null"), spare, "left_anti")
+    several = several if several.limit(1).count() else None
+    docs = _once(docs, several, "text")
+    alone = _once(_keep_ids(sets.where("n > 0 and doc_id is not null"), spare, "left_anti"), several, "n", "d1", "d2")
 
     frequent = spark.sparkContext.broadcast(frequent_tokens(sets, scratch))
     buckets = bucket_rows(rare_postings(alone, frequent, rule, False), partitions)
 
     hard_ids = scratch.save(rare_postings(alone, frequent, rule, True).distinct(), "hard_ids")
     hard = scratch.save(hard_sets(_keep_ids(docs, hard_ids, "left_semi"), frequent, rule), "hard")
+    hard = _once(hard, several, "tokens")
     entries = hard.select(F.explode("sigs").alias("sig"), "doc_id", "n")
     crowd = scratch.save(
         entries.groupBy("sig").agg(F.count("*").alias("size"), F.min("doc_id").alias("leader")).where("size > 1"), "combinations"
@@ -555,14 +592,21 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
 
     links = links.unionByName(cluster_links(hard, heavy, links, rule, scratch))
     final = components(links, scratch)
-    named = classes.join(final, F.col("rep") == F.col("node"), "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    known = live.join(named, ["n", "d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    named = classes.join(final, F.col("rep") == F.col("node"), "left").select("n", "d1", "d2", "m", F.coalesce("component", "rep").alias("component_id"))
+    known = _join_classes(live, named, hot).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     none = meta.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return known.unionByName(none)
 
 
 def distinct_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """The rows of ``docs`` whose id is its component's smallest; rows without an id stay."""
-    gone = near_duplicates(docs, rule).where("doc_id != component_id").select("doc_id").distinct()
+    """The rows of ``docs``, all columns included, whose id is its component's smallest.
+
+    Links are those of ``near_duplicates``: null and empty texts link with nothing, very long texts
+    count whole, equal texts link. Rows that repeat an id stay or go together; rows without an id stay; an empty
+    table stays empty.
+    """
+    scratch = Scratch(docs.sparkSession)
+    gone = near_duplicates(docs, rule, scratch=scratch).where("doc_id != component_id").select("doc_id").distinct()
     gone = Scratch(docs.sparkSession).save(gone, "gone")
+    scratch.close()
     return _keep_ids(docs, gone, "left_anti")
