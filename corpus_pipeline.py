@@ -9,7 +9,12 @@ from voxelmill.llm._spark import Scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier doesn't reject."""
+    """Documents that the toxicity classifier doesn't reject.
+
+    In this stage and the others: null and empty texts are texts without words, very long ones count
+    whole, equal texts fare alike, repeated rows repeat (the n-gram join keeps or drops them together),
+    rows without an id stay, empty tables stay empty, and columns of any name pass through unchanged.
+    """
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels")).select(*docs.columns)
 
 
@@ -49,6 +54,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, scratch.save(stage(spark, docs, sf_dir), name)
+        if k:
+            scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
