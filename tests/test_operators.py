@@ -229,18 +229,70 @@ def test_merges_against_serial_loops(spark):
     for got, of, distance in ((merge.merge_com(df, w, 0.93, tables), m, 0.93), (merge.refine_merge(df, w, 0.71, 0.5, tables), refined, 0.71)):
         want = greedy({i: centroid(own) for i, own in of.items()}, distance)
         assert {r["mask_id"]: r["group_id"] for r in got.collect()} == want and len(set(want.values())) < len(want)
-    # containment: pairs in order; the larger of unequal ones is deleted beyond a size, others unite
-    most, state = 5, {i: i for i in refined}
-    for i in sorted(refined):
-        for j in sorted(refined):
-            if i == j or len(refined[i] & refined[j]) / len(refined[i]) < 0.8:
-                continue
-            large, small = (i, j) if len(refined[i]) > len(refined[j]) else (j, i)
-            if len(refined[large]) > len(refined[small]) and len(refined[large]) > most:
-                state[large] = None
-    deleted = {i for i in refined if state[i] is None}
-    got = {r["mask_id"]: r["group_id"] for r in merge.merge_consume(df, 0.8, 0.5, most, tables)[1].collect()}
-    assert set(got) == set(refined) and deleted and {i for i, g in got.items() if g is None} <= deleted
+
+
+def consumed(edges, areas, most):
+    """The literal loop over all pairs in order, component by component: a mask's group, None if deleted."""
+    group = {}
+    for i, j in edges:
+        if areas[i] != areas[j] and max(areas[i], areas[j]) > most:
+            group[i if areas[i] > areas[j] else j] = None
+        elif i not in group and j not in group:
+            group[i] = group[j] = i
+        elif i not in group:
+            group[i] = group[j]
+        elif j not in group:
+            group[j] = group[i]
+        else:
+            old, new = group[j], group[i]
+            group = {k: new if g == old else g for k, g in group.items()}
+    return group
+
+
+def test_containment_in_slices_against_the_serial_loop(spark):
+    revived = deleted = 0
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        areas = {k: int(rng.choice([3] + [8] * 9)) for k in range(60)}
+        edges = sorted({(int(a), int(b)) for a, b in rng.integers(0, 30, (20, 2)) if a != b} | {(int(a) + 30, int(b) + 30) for a, b in rng.integers(0, 30, (40, 2)) if a != b})
+        rows = [(i // 30, i, j, areas[i], areas[j]) for i, j in edges]
+        df = spark.createDataFrame(rows, "group long, i long, j long, area_i long, area_j long").repartition(3)
+        want = {}
+        for g in (0, 1):
+            want |= consumed([e for e in edges if e[0] // 30 == g], areas, 6)
+        ever = {k for i, j in edges for k in (i, j) if areas[i] != areas[j] and max(areas[i], areas[j]) > 6 and areas[k] == max(areas[i], areas[j])}
+        revived += sum(want[k] is not None for k in ever)
+        deleted += sum(g is None for g in want.values())
+        for n in (7, 10_000):
+            got = merge.fold_pairs(df, 6, Tables(spark), n).collect()
+            assert {r["mask_id"]: r["group_id"] for r in got} == want and len(got) == len(want)
+    assert deleted and revived  # some deleted masks are united again
+    assert merge.fold_pairs(df.limit(0), 6, Tables(spark)).count() == 0
+
+
+def test_merge_consume_against_the_serial_loop(spark):
+    rng, w = np.random.default_rng(15), 8
+    rows = []
+    for i in range(40):
+        y, x = rng.integers(0, 5, 2)
+        rows += [(i, int((y + a) * w + x + b), int(rng.integers(1, 4))) for a in range(3) for b in range(3) if rng.random() < 0.8]
+    m = {i: {p: v for k, p, v in rows if k == i} for i in {r[0] for r in rows}}
+    refined = {i: {p for p, v in own.items() if v >= max(own.values()) * 0.5} for i, own in m.items()}
+    areas = {i: len(p) for i, p in refined.items()}
+    edges = [(i, j) for i in sorted(refined) for j in sorted(refined) if i != j and len(refined[i] & refined[j]) / areas[i] >= 0.8]
+    part = {i: i for i in refined}
+    for i, j in edges * 40:
+        part[i] = part[j] = min(part[i], part[j])
+    want = {i: i for i in refined}
+    for g in set(part.values()):
+        want |= consumed([e for e in edges if part[e[0]] == g], areas, 5)
+    assert None in want.values()
+    masks = masks_of(spark, rows)
+    for n in (4, 10_000):
+        merged, groups = merge.merge_consume(masks, 0.8, 0.5, 5, Tables(spark), n)
+        assert {r["mask_id"]: r["group_id"] for r in groups.collect()} == want
+    kept = {g: sum(g2 == g for g2 in want.values()) for g in set(want.values()) - {None}}
+    assert {r["mask_id"] for r in merged.select("mask_id").distinct().collect()} == set(kept)
 
 
 def test_windowed_mean_of_late_events(spark, tmp_path):
@@ -271,3 +323,35 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("runs").collect()] == [(1, 3)]
+
+
+def test_auction_finds_the_least_cost(spark):
+    """Small blocks force several rounds; ties, single pairs and empty tables are there too."""
+    for seed, (n, m, block) in enumerate([(14, 9, 60), (40, 30, 200)]):
+        rng = np.random.default_rng(seed)
+        near = {(i, int(np.clip(i * m // n + d, 0, m - 1))) for i in range(n) for d in rng.integers(-3, 4, 3)}
+        cost = {e: round(float(rng.integers(0, 12)) / 16, 6) for e in near} | {(1000, 1000): 0.5}
+        rows = [(i, j, c) for (i, j), c in cost.items()]
+        edges = spark.createDataFrame(rows, "i long, j long, distance double")
+        got = evaluate.match_least(edges, Tables(spark), most_cells=0, block_arcs=block, unit=16).collect()
+        assert len({r["i"] for r in got}) == len({r["j"] for r in got}) == len(got)
+        assert all(cost[r["i"], r["j"]] == r["distance"] for r in got)
+        by_kernel = evaluate.match_least(edges, Tables(spark)).collect()
+        dense = np.full((n + 1, m + 1), 2.0)
+        for (i, j), c in cost.items():
+            dense[min(i, n), min(j, m)] = c
+        full = dense.T[np.arange(m + 1), evaluate.assign(dense.T)].sum()
+        for matches in (got, by_kernel):
+            assert round(2 * (m + 1) - sum(2 - r["distance"] for r in matches), 9) == round(full, 9)
+    assert evaluate.match_least(edges.limit(0), Tables(spark), most_cells=0).count() == 0
+
+
+def test_assignment_kernel_against_all_permutations():
+    import itertools
+
+    rng = np.random.default_rng(11)
+    for n, m in ((1, 1), (3, 3), (4, 6)):
+        for _ in range(20):
+            cost = rng.integers(0, 6, (n, m)).astype(float)
+            cols = evaluate.assign(cost)
+            assert cost[np.arange(n), cols].sum() == min(sum(cost[k, c] for k, c in enumerate(p)) for p in itertools.permutations(range(m), n))

@@ -7,11 +7,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelmill.functions.auction import BLOCK_ARCS, heaviest_matching
 from voxelmill.functions.graph import connected
 from voxelmill.functions.tables import Tables
 from voxelmill.operators import pairs
 
 
+#: Nodes of a component's smaller side up to which its edges are thinned out first.
+FEW = 256
+#: Cells of the cost table that one task may hold (32 MB).
+MOST_CELLS = 4_000_000
+
+
 def assign(cost: np.ndarray) -> np.ndarray:
     """Column of each row in an assignment of least cost (shortest augmenting paths); rows at most columns."""
     n, m = cost.shape
@@ -54,18 +61,49 @@ def _matched(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"i": i[rows[ok]], "j": j[cols[ok]], "distance": cost[rows[ok], cols[ok]]})
 
 
-def match_jaccard(found: DataFrame, truth: DataFrame, most: float, tables: Tables) -> DataFrame:
+def match_jaccard(
+    found: DataFrame, truth: DataFrame, most: float, tables: Tables, most_cells: int = MOST_CELLS, block_arcs: int = BLOCK_ARCS
+) -> DataFrame:
     """``i, j, distance``: the assignment of least total Jaccard distance, where pairs beyond ``most`` cost 2.
 
-    It falls apart into the components of the pairs within ``most``, each solved by itself.
+    It is that of ``match_least`` over the pairs within ``most``.
+    """
+    edges = pairs.jaccard_distance(found, truth).where((F.col("distance") <= most) & (F.col("distance") < 1))
+    return match_least(edges, tables, most_cells, block_arcs)
+
+
+def match_least(edges: DataFrame, tables: Tables, most_cells: int = MOST_CELLS, block_arcs: int = BLOCK_ARCS, unit: int = 1_000_000) -> DataFrame:
+    """``i, j, distance``: the assignment of least total cost over ``edges(i, j, distance)``, where all other pairs cost 2.
+
+    It falls apart into the components of the edges. Of a component with k nodes on its smaller side,
+    the k cheapest edges of each of these suffice: the others can take no more than k - 1 of their ends.
+    Components whose cost table has ``most_cells`` cells at most are solved in one task each; the others
+    together by an auction in rounds, which holds no more than about ``block_arcs`` arcs in a task and
+    takes distances in ``unit`` parts of one.
     """
-    edges = tables.keep(pairs.jaccard_distance(found, truth).where((F.col("distance") <= most) & (F.col("distance") < 1)))
+    edges = tables.keep(edges)
     links = edges.select((F.col("i") * 2).alias("i"), (F.col("j") * 2 + 1).alias("j"))  # both sides in one id space
     nodes = links.select(F.col("i").alias("node")).unionByName(links.select(F.col("j").alias("node"))).distinct()
     parts = connected(links, nodes, tables)
-    return (
-        edges.join(parts, F.col("i") * 2 == F.col("node")).select("group", "i", "j", "distance").groupBy("group").applyInPandas(_matched, "i long, j long, distance double")
-    )
+    grouped = tables.keep(edges.join(parts, F.col("i") * 2 == F.col("node")).select("group", "i", "j", "distance"))
+    sides = parts.groupBy("group").agg(F.sum((F.col("node") % 2 == 0).cast("long")).alias("n"), F.count("*").alias("all"))
+    least = F.least("n", F.col("all") - F.col("n"))
+    sides = tables.keep(sides.select("group", least.alias("k"), (F.col("n") == least).alias("of_i")))
+    few = grouped.join(sides.where(F.col("k") <= FEW), "group").withColumn("end", F.when(F.col("of_i"), F.col("i")).otherwise(F.col("j")))
+    cheapest = Window.partitionBy("group", "end").orderBy("distance", "i", "j")
+    few = few.withColumn("place", F.row_number().over(cheapest)).where(F.col("place") <= FEW).where(F.col("place") <= F.col("k"))
+    many = grouped.join(sides.where(F.col("k") > FEW), "group", "left_semi")
+    before, grouped = grouped, tables.keep(few.select("group", "i", "j", "distance").unionByName(many))
+    tables.drop(before)
+    cells = grouped.groupBy("group").agg((F.countDistinct("i") * F.countDistinct("j")).alias("cells"))
+    large = tables.keep(cells.where(F.col("cells") > most_cells).select("group"))
+    small = grouped.join(large, "group", "left_anti").groupBy("group").applyInPandas(_matched, "i long, j long, distance double")
+    if not large.limit(1).count():
+        return small
+    rest = grouped.join(large, "group", "left_semi")
+    weight = F.round((2 - F.col("distance")) * unit).cast("long").alias("weight")
+    matched = heaviest_matching(rest.select("i", "j", weight), tables, block_arcs)
+    return small.unionByName(rest.join(matched, ["i", "j"]).select("i", "j", "distance"))
 
 
 def scores(matches: DataFrame, found: DataFrame, truth: DataFrame) -> DataFrame:
@@ -149,6 +187,17 @@ def _numbered(rows: DataFrame, order: list, tables: Tables) -> tuple[DataFrame,
     return kept, kept.groupBy("part").agg(F.count("*").alias("rows"))
 
 
+def in_order(rows: DataFrame, order: list, tables: Tables) -> DataFrame:
+    """``rows`` with ``number``, gapless from 0 in the given order; a row's number is its place in a part of the sort plus the rows before."""
+    kept, counts = _numbered(rows, order, tables)
+    before, total = [], 0
+    for r in counts.orderBy("part").collect():  # a row for each partition of the sort
+        before.append((r["part"], total))
+        total += r["rows"]
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(before, "part int, before long"))
+    return kept.join(offsets, "part").withColumn("number", F.col("before") + F.col("place")).drop("part", "place", "before")
+
+
 def running_mean(rows: DataFrame, key: str, order: str, value: str, weight: str) -> DataFrame:
     """Weighted mean so far, by key. A key's rows lie in the parts of one global sort; sums of earlier parts are added."""
     product = (F.col(value) * F.col(weight)).alias("xw")
@@ -171,12 +220,8 @@ def shards(rows: DataFrame, key: str, world: int, seed: int, tables: Tables) ->
     Numbers come from a sort and one count per partition of it.
     """
     digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
-    kept, counts = _numbered(rows.select(key, digest.alias("digest")), ["digest", key], tables)
-    before, total = [], 0
-    for r in counts.orderBy("part").collect():  # a row for each partition of the sort
-        before.append((r["part"], total))
-        total += r["rows"]
-    offsets = F.broadcast(rows.sparkSession.createDataFrame(before, "part int, before long"))
-    places = F.sequence(F.col("before") + F.col("place"), F.lit(max(-(-total // world) * world - 1, 0)).cast("long"), F.lit(max(total, 1)).cast("long"))
-    numbered = kept.join(offsets, "part").select(key, F.explode(places).alias("k"))
+    kept = in_order(rows.select(key, digest.alias("digest")), ["digest", key], tables)
+    total = rows.count()
+    places = F.sequence(F.col("number"), F.lit(max(-(-total // world) * world - 1, 0)).cast("long"), F.lit(max(total, 1)).cast("long"))
+    numbered = kept.select(key, F.explode(places).alias("k"))
     return numbered.select(key, (F.col("k") % world).alias("shard"), F.call_function("div", "k", F.lit(world)).alias("place"))

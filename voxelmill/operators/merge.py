@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxelmill.functions.graph import connected, greedy_seeds
 from voxelmill.functions.tables import Tables
 from voxelmill.operators import features, pairs
+from voxelmill.operators.evaluate import in_order
 
 
 def merge_masks(masks: DataFrame, groups: DataFrame) -> DataFrame:
@@ -63,18 +64,28 @@ def merge_iou(masks: DataFrame, threshold: float, border: float, tables: Tables)
     return merge_masks(refined, groups), groups
 
 
+#: Pairs that one task of the containment merge takes at once.
+SLICE = 500_000
+#: The label of deleted masks.
+GONE = -(1 << 62)
+
+
 def _fold(max_area: float):
-    """Groups of one component of the containment graph, taking its pairs in order of (i, j).
+    """Labels after one slice of a component's pairs, in order of (i, j), from the labels before it.
 
     Of a pair of unequal areas the larger is deleted if it exceeds ``max_area``; other pairs unite.
     A deleted mask may unite again with one of equal area, as its state is a group like any other.
+    Every label stands in for the masks that have it but aren't in the slice: where it ends, they go.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        areas = dict(zip(pdf["i"], pdf["area_i"], strict=True)) | dict(zip(pdf["j"], pdf["area_j"], strict=True))
-        group: dict[int, int] = {}
-        members: dict[int, set[int]] = {}
-        gone = -2
+    def run(pairs: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        areas = dict(zip(pairs["i"], pairs["area_i"], strict=True)) | dict(zip(pairs["j"], pairs["area_j"], strict=True))
+        group: dict = dict(zip(state["mask_id"], state["label"], strict=True))
+        labels = {*group.values(), GONE}
+        group |= {("label", x): x for x in labels}
+        members: dict[int, set] = {}
+        for k, name in group.items():
+            members.setdefault(name, set()).add(k)
 
         def put(masks: list[int], name: int) -> None:
             for k in masks:
@@ -83,10 +94,10 @@ def _fold(max_area: float):
                 group[k] = name
             members.setdefault(name, set()).update(masks)
 
-        for i, j in pdf.sort_values(["i", "j"])[["i", "j"]].itertuples(index=False):
+        for i, j in pairs.sort_values(["i", "j"])[["i", "j"]].itertuples(index=False):
             large, small = (i, j) if areas[i] > areas[j] else (j, i)
             if areas[large] > areas[small] and areas[large] > max_area:
-                put([large], gone)
+                put([large], GONE)
             elif i not in group:
                 put([i, j] if j not in group else [i], group.get(j, i))
             elif j not in group:
@@ -95,17 +106,46 @@ def _fold(max_area: float):
                 moved = members.pop(group[j])
                 group.update(dict.fromkeys(moved, group[i]))
                 members[group[i]] |= moved
-        out = {k: group.get(k, k) for k in areas}
-        return pd.DataFrame({"mask_id": list(out), "group_id": [None if g == gone else g for g in out.values()]}).astype("Int64")
+        out = [(False, k, group[k]) for k in areas if k in group]
+        out += [(True, x, group["label", x]) for x in labels if group["label", x] != x]
+        return pd.DataFrame(out, columns=["renamed", "key", "label"]).assign(group=pairs["group"].iloc[0])[["group", "renamed", "key", "label"]]
 
     return run
 
 
-def merge_consume(masks: DataFrame, threshold: float, border: float, max_area: float, tables: Tables) -> tuple[DataFrame, DataFrame]:
+def fold_pairs(edges: DataFrame, max_area: float, tables: Tables, slice_pairs: int = SLICE) -> DataFrame:
+    """``mask_id, group_id`` of the masks in ``edges(group, i, j, area_i, area_j)``; deleted ones have a null group.
+
+    The pairs of a group act in order of (i, j). They are cut into slices of ``slice_pairs``; a task
+    takes one slice of a group, with the labels of its masks, and tells new labels and where whole labels
+    have gone, which are joined to the labels of all masks. So no task holds a group of more pairs.
+    Groups go through their slices side by side.
+    """
+    ordered = in_order(edges, ["group", "i", "j"], tables)
+    first = ordered.groupBy("group").agg(F.min("number").alias("first"))
+    cut = tables.keep(ordered.join(first, "group").withColumn("slice", F.call_function("div", F.col("number") - F.col("first"), F.lit(slice_pairs))).drop("number", "first"))
+    state = edges.sparkSession.createDataFrame([], "group long, mask_id long, label long")
+    for k in range((cut.agg(F.max("slice")).first()[0] if cut.limit(1).count() else -1) + 1):
+        pairs_ = cut.where(F.col("slice") == k).drop("slice")
+        touched = pairs_.select("group", F.explode(F.array("i", "j")).alias("mask_id")).distinct()
+        known = touched.join(state, ["group", "mask_id"]).withColumnsRenamed({"group": "of"})
+        told = pairs_.groupBy("group").cogroup(known.groupBy("of")).applyInPandas(_fold(max_area), "group long, renamed boolean, key long, label long")
+        told = tables.keep(told)
+        own = told.where("not renamed").select("group", F.col("key").alias("mask_id"), F.col("label").alias("own"))
+        renamed = told.where("renamed").select("group", F.col("key").alias("label"), F.col("label").alias("new"))
+        later = state.join(renamed, ["group", "label"], "left").select("group", "mask_id", F.coalesce("new", "label").alias("label"))
+        before, state = state, tables.keep(later.join(own, ["group", "mask_id"], "full").select("group", "mask_id", F.coalesce("own", "label").alias("label")))
+        tables.drop(told, *([before] if k else []))
+    return state.select("mask_id", F.when(F.col("label") != GONE, F.col("label")).alias("group_id"))
+
+
+def merge_consume(
+    masks: DataFrame, threshold: float, border: float, max_area: float, tables: Tables, slice_pairs: int = SLICE
+) -> tuple[DataFrame, DataFrame]:
     """Merged masks and groups by containment of refined masks; deleted masks have a null group.
 
     Only pairs of one component of the containment graph act on each other, so each is a fold of
-    its own over its pairs.
+    its own over its pairs, in slices.
     """
     refined = tables.keep(features.border_refine(masks, border))
     own = features.area(refined)
@@ -117,13 +157,8 @@ def merge_consume(masks: DataFrame, threshold: float, border: float, max_area: f
     )
     nodes = edges.select(F.col("i").alias("node")).unionByName(edges.select(F.col("j").alias("node"))).distinct()
     parts = connected(edges, nodes, tables)
-    folded = (
-        edges.join(parts, F.col("i") == F.col("node"))
-        .select("group", "i", "j", "area_i", "area_j")
-        .groupBy("group")
-        .applyInPandas(_fold(max_area), "mask_id long, group_id long")
-    )
-    folded = tables.keep(folded)
+    grouped = edges.join(parts, F.col("i") == F.col("node")).select("group", "i", "j", "area_i", "area_j")
+    folded = fold_pairs(grouped, max_area, tables, slice_pairs)
     rest = refined.select("mask_id").distinct().join(folded, "mask_id", "left_anti").withColumn("group_id", F.col("mask_id"))
     groups = folded.unionByName(rest)
     return merge_masks(refined, groups.where("group_id is not null")), groups
