@@ -13,10 +13,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FRAMES = "path string, t long, h int, w int, v array<float>"
+#: Files whose largest values are told to every executor; those of more are joined by a shuffle.
+FEW_FILES = 200_000
 #: Fixed values of the TIFF format: bytes of each field type, and tags.
 FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 WIDTH, HEIGHT, BITS, COMPRESSION, STRIP_OFFSETS, STRIP_BYTES, SAMPLE_FORMAT = 256, 257, 258, 259, 273, 279, 339
@@ -97,8 +99,10 @@ def read_nifti(spark: SparkSession, path: str, rotate: int = 0) -> DataFrame:
 
 def signed_offset(frames: DataFrame) -> DataFrame:
     """Take 32768 from all values of a video that has a value above 32767."""
-    top = F.max(F.array_max("v")).over(Window.partitionBy("path"))
-    high = frames.withColumn("top", top)
+    top = frames.groupBy("path").agg(F.max(F.array_max("v")).alias("top")).withColumnRenamed("path", "of")
+    if top.count() <= FEW_FILES:
+        top = F.broadcast(top)
+    high = frames.join(top, F.col("path") == F.col("of")).drop("of")
     return high.withColumn("v", F.when(F.col("top") > 32767, F.transform("v", lambda x: x - F.lit(32768.0).cast("float"))).otherwise(F.col("v"))).drop("top")
 
 
