@@ -195,6 +195,22 @@ def _match(threshold: float, index):
     return run
 
 
+def near_duplicates_sql(threshold: float = 0.95) -> str:
+    """The same over ``embeddings`` by all cosines, for tables whose ids are distinct."""
+    return f"""
+with recursive units as (
+  select vec_id, list_transform(embedding, lambda x: x::double) v, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) n from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+links as (
+  select a.vec_id a, b.vec_id b from units a join units b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) and a.n > 0 and b.n > 0
+  where list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) / (a.n * b.n) >= {threshold}),
+reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+found as (select a, min(b) low from reach group by a), counts as (select a, count(*) n from links group by a)
+select vec_id, coalesce(counts.n, 0)::bigint n_links, least(vec_id, coalesce(low, vec_id)) component_id, component_id = vec_id kept
+from embeddings left join counts on counts.a = vec_id left join found on found.a = vec_id
+"""
+
+
 def near_duplicates(
     vectors: DataFrame, threshold: float = 0.95, recall: float = 0.999, id_col: str = "vec_id", vec_col: str = "embedding"
 ) -> DataFrame:

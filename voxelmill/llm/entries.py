@@ -96,6 +96,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": licenses.scan_sql(),
+        "op2_inverted_multi_index": embed_dedup.near_duplicates_sql(),
+        "op3_ngram_join": ngram_join.near_duplicates_sql(),
         "op11_hilbert_blocks": vector_codes.compress_sql(),
         "op12_hard_negatives": hard_negatives.mine_sql("a.vec_id % 100 = 0", "case when vec_id % 7 = 0 then (label + 1) % 10 else label end"),
     }

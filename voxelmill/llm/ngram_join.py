@@ -598,6 +598,27 @@ def near_duplicates(
     return known.unionByName(none)
 
 
+def near_duplicates_sql(rule: Rule = Rule()) -> str:
+    """The same over ``documents`` by all shared shingles, for tables whose ids are distinct."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+with recursive split as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^ \\t-\\r]+') w from documents),
+sets as (select doc_id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < {rule.width} then [hash(w)]
+  else list_transform(range(1, len(w) - {rule.width - 2}), lambda k: hash(w[k : k + {rule.width - 1}])) end)) s from split),
+sizes as (select doc_id, count(*) n from sets group by doc_id),
+alike as (select min(doc_id) rep, list(doc_id) ids from (select doc_id, list(s order by s) all_s from sets group by doc_id) group by all_s),
+one as (select s.doc_id, s.s, n from sets s join alike on s.doc_id = rep join sizes on sizes.doc_id = rep),
+links as (
+  select a.doc_id a, b.doc_id b from one a join one b on a.s = b.s and a.doc_id <> b.doc_id and {rule.den} * least(a.n, b.n) >= {rule.num} * greatest(a.n, b.n)
+  group by a.doc_id, b.doc_id, a.n, b.n having {rule.den} * count(*) >= {rule.num} * (a.n + b.n - count(*))),
+reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+low as (select rep, least(rep, coalesce(min(b), rep)) low from alike left join reach on a = rep group by rep),
+named as (select unnest(ids) doc_id, low from alike join low using (rep))
+select doc_id, coalesce(n, 0)::bigint n_shingles, coalesce(low, doc_id) component_id
+from documents left join sizes using (doc_id) left join named using (doc_id)
+"""
+
+
 def distinct_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The rows of ``docs``, all columns included, whose id is its component's smallest.
 
