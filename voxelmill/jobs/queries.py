@@ -322,6 +322,15 @@ def jaccard_distance(spark, d):
     return _rounded(pairs.jaccard_distance(views.counted_masks(spark, d), _lines(spark, d)), "distance")
 
 
+@query(f"""with {SM}, lc as (select cast(l_linenumber as bigint) as mask_id, cast(l_partkey as bigint) as pixel, cast(count(*) as double) as val from lineitem group by 1, 2),
+o as (select sm.mask_id as i, lc.mask_id as j, count(*) as met, count(*) filter (sm.val = lc.val) as same from sm join lc using (pixel) group by 1, 2),
+a as (select mask_id, count(*) as s from sm group by 1), b as (select mask_id, count(*) as s from lc group by 1)
+select i, j, round((a.s + b.s - met - same) / (a.s + b.s - met), 6) as distance from o join a on a.mask_id = i join b on b.mask_id = j""")
+def coordinate_distance(spark, d):
+    rows = views.read(spark, d, "lineitem").groupBy(F.col("l_linenumber").cast("long").alias("mask_id"), F.col("l_partkey").cast("long").alias("pixel"))
+    return _rounded(pairs.coordinate_distance(views.counted_masks(spark, d), rows.agg(F.count("*").cast("double").alias("val"))), "distance")
+
+
 COM = f"""{CM}, st as (select mask_id, avg(pixel // 8) as h, avg(pixel % 8) as w from cm group by 1)"""
 
 

@@ -57,6 +57,18 @@ def jaccard_distance(left: DataFrame, right: DataFrame) -> DataFrame:
     return _with_areas(overlap(left, right), a, b).select("i", "j", ratio.alias("distance"))
 
 
+def coordinate_distance(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``i, j, distance`` of masks with counts: of the pixels that either has, the share whose values differ.
+
+    Pairs without a common pixel are at distance 1 and have no row. For masks of 0 and 1 this is ``jaccard_distance``.
+    """
+    a, b = (m.where("val != 0").groupBy("mask_id").agg(F.count("*").alias("area")) for m in (left, right))
+    met = _meet(left.where("val != 0"), right.where("val != 0")).groupBy("i", "j")
+    met = met.agg(F.count("*").alias("both"), F.sum((F.col("x") == F.col("y")).cast("long")).alias("equal"))
+    either = F.col("area_i") + F.col("area_j") - F.col("both")
+    return _with_areas(met, a, b).select("i", "j", ((either - F.col("equal")) / either).alias("distance"))
+
+
 def near(left: DataFrame, right: DataFrame, distance: float) -> DataFrame:
     """``i, j, squared``: centroids (mask_id, com_h, com_w) within a distance, compared squared.
 
