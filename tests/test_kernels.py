@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from voxelmill.functions import raster
 from voxelmill.operators.evaluate import assign
-from voxelmill.operators.merge import _fold
+from voxelmill.operators.merge import GONE, _fold
 from voxelmill.sources import volumes
 
 
@@ -100,8 +100,14 @@ def test_containment_fold():
         rows = [(i, j, area[i], area[j]) for i in range(n) for j in range(n) if i != j and metric[i, j] >= 0.8]
         got = {k: k for k in range(n)}
         if rows:
-            out = _fold(2)(pd.DataFrame(rows, columns=["i", "j", "area_i", "area_j"]))
-            got |= {int(r.mask_id): -2 if pd.isna(r.group_id) else int(r.group_id) for r in out.itertuples()}
+            size, labels = int(rng.integers(1, len(rows) + 1)), {}
+            for k in range(0, len(rows), size):  # slices of the pairs, with the labels of their masks
+                pairs = pd.DataFrame(rows[k : k + size], columns=["i", "j", "area_i", "area_j"]).assign(group=0)
+                met = [m for m in {*pairs["i"], *pairs["j"]} if m in labels]
+                out = _fold(2)(pairs, pd.DataFrame({"mask_id": met, "label": [labels[m] for m in met]}))
+                moved = {int(r.key): int(r.label) for r in out.itertuples() if r.renamed}
+                labels = {m: moved.get(x, x) for m, x in labels.items()} | {int(r.key): int(r.label) for r in out.itertuples() if not r.renamed}
+            got |= {m: -2 if x == GONE else x for m, x in labels.items()}
         assert [got[k] for k in range(n)] == plain_fold(n, metric, area, 2, 0.8)
 
 
