@@ -95,6 +95,32 @@ def test_overlap_add_of_identity_is_the_input(spark):
         assert np.allclose(got["a"].to_numpy().reshape(x.shape), x + 1) and np.allclose(got["b"].to_numpy().reshape(x.shape), x * x + 1)
 
 
+def test_overlap_add_at_another_resolution(spark):
+    """Padded axes, origins that don't divide evenly, and a weight map, against a plain loop."""
+    rng = np.random.default_rng(21)
+    x, size, roi = rng.random((9, 5, 6)), (9, 5, 6), (4, 6, 3)
+    weight = rng.random(roi) + 0.5
+    for out_roi in ((8, 12, 6), (2, 3, 1), (4, 6, 9)):
+        pick = [(2 * np.arange(o) + 1) * r // (2 * o) for o, r in zip(out_roi, roi)]
+
+        def predictor(cube, pick=pick):
+            return cube[np.ix_(*pick)] + cube.sum()
+
+        padded = np.pad(x, ((0, 0), (0, 1), (0, 0)))
+        starts = [sorted({*range(0, n - r + 1, tile.interval(n, r, 0.5)), n - r}) for n, r in zip(padded.shape, roi)]
+        total = np.zeros((2, *[n * o // r for n, o, r in zip(padded.shape, out_roi, roi)]))
+        for at in np.ndindex(*map(len, starts)):
+            at = [s[k] for s, k in zip(starts, at)]
+            own = weight[np.ix_(*pick)]
+            place = tuple(slice(a * o // r, a * o // r + o) for a, o, r in zip(at, out_roi, roi))
+            cube = padded[tuple(slice(a, a + r) for a, r in zip(at, roi))]
+            total[(slice(None), *place)] += [predictor(cube) * own, own]
+        want = (total[0] / total[1])[:, : round(5 * out_roi[1] / 6)]
+        got = tile.overlap_add(tile.frames_of(vox_of(spark, x), 30), size, roi, (0.5,) * 3, predictor, out_roi=out_roi, weight_map=weight)
+        got = got.toPandas().sort_values(["t", "pixel"])
+        assert len(got) == want.size and np.allclose(got["v"].to_numpy(), want.ravel())
+
+
 def test_median_matches_numpy(spark):
     x = np.random.default_rng(4).random((2, 5, 6))
     frames = spark.createDataFrame([(k, f.ravel().tolist()) for k, f in enumerate(x)], "t long, v array<double>")

@@ -231,6 +231,41 @@ def overlap_add_gauss(spark, d):
     return _overlap_add(spark, d, 0.125)
 
 
+INSIDE = f"""{VOX}, {WINDOWS}, inside as (select t0, h0, w0, t, pixel // 8 as h, pixel % 8 as w, v - avg(v) over (partition by t0, h0, w0) as p,
+  {GAUSS} as weight from vox join win
+  on t >= t0 and t < t0 + 16 and pixel // 8 >= h0 and pixel // 8 < h0 + 4 and pixel % 8 >= w0 and pixel % 8 < w0 + 4)"""
+
+
+def _resampled(spark, d, predictor, out_roi):
+    frames = views.frames(spark, d)
+    total = frames.agg(F.max("t")).first()[0] + 1
+    return _rounded(tile.overlap_add(frames, (total, H, W), ROI, OVERLAP, predictor, 0.125, out_roi=out_roi), "v")
+
+
+def _finer(cube: np.ndarray) -> np.ndarray:
+    out = (cube - cube.mean()).repeat(2, 0).repeat(2, 1).repeat(2, 2)
+    out[1::2] *= 2
+    return out
+
+
+@query(f"""with {INSIDE}, o as (select unnest([0, 1]) as o)
+select t * 2 + a.o as t, (h * 2 + b.o) * 16 + w * 2 + c.o as pixel, round(sum(p * (1 + a.o) * weight) / sum(weight), 6) as v
+from inside, o a, o b, o c group by 1, 2""")
+def overlap_add_finer(spark, d):
+    return _resampled(spark, d, _finer, (32, 8, 8))
+
+
+def _coarser(cube: np.ndarray) -> np.ndarray:
+    return (cube - cube.mean()).reshape(8, 2, 2, 2, 2, 2).mean((1, 3, 5))
+
+
+@query(f"""with {INSIDE}, blocks as (select t0 // 2 + (t - t0) // 2 as t, (h0 // 2 + (h - h0) // 2) * 4 + w0 // 2 + (w - w0) // 2 as pixel,
+  avg(p) as p, max(weight) filter ((t - t0) % 2 = 1 and (h - h0) % 2 = 1 and (w - w0) % 2 = 1) as weight from inside group by t0, h0, w0, 1, 2)
+select t, pixel, round(sum(p * weight) / sum(weight), 6) as v from blocks group by 1, 2""")
+def overlap_add_coarser(spark, d):
+    return _resampled(spark, d, _coarser, (8, 2, 2))
+
+
 @query(f"with {VOX} select t, pixel from vox where v - (0.1 - v) > 0")
 def logit_mask(spark, d):
     return tile.logit_mask(_vox(spark, d).select("t", "pixel", F.col("v").alias("fg"), (0.1 - F.col("v")).alias("bg")))

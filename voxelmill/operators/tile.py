@@ -56,22 +56,34 @@ def frames_of(vox: DataFrame, pixels: int) -> DataFrame:
 
 def overlap_add(
     frames: DataFrame, size: Shape, roi: Shape, overlap: tuple[float, float, float], predictor: Callable, sigma_scale: float | None = None,
-    process: Callable | None = None, outputs: tuple[str, ...] = ("v",),
+    process: Callable | None = None, outputs: tuple[str, ...] = ("v",), out_roi: Shape | None = None, weight_map: np.ndarray | None = None,
 ) -> DataFrame:
     """``t, pixel`` and a column for each output: weighted means of the predictions of all windows that hold a voxel.
 
     ``predictor`` takes an array of the window's shape and returns one, or a tuple of them for
-    several ``outputs``. ``process(predictions, weights)`` may replace both after it. Videos smaller
-    than a window are padded with zeros, half before and the odd one after. Frames ``t, v`` are cut
-    to patches; a window gathers its patches, and a frame the weighted patches of its windows, so a
-    voxel travels as 8 bytes of an array.
+    several ``outputs``. ``process(predictions, weights)`` may replace both after it. ``weight_map``
+    replaces the weights of a window. Videos smaller than a window are padded with zeros, half before
+    and the odd one after. Frames ``t, v`` are cut to patches; a window gathers its patches, and a
+    frame the weighted patches of its windows, so a voxel travels as 8 bytes of an array.
+
+    Predictions of another resolution have the shape ``out_roi``. A window that starts at x then
+    starts at floor(x * out / in) of the output, whose size is floor(size * out / in); weights are
+    those of the nearest voxel of the window. ``t`` and ``pixel`` count output frames and voxels.
     """
+    out_roi = out_roi or roi
     pads = [max(r - s, 0) for s, r in zip(size, roi, strict=True)]
     full = [s + p for s, p in zip(size, pads, strict=True)]
     top, left = pads[1] // 2, pads[2] // 2
-    weights, k = importance(roi, sigma_scale), len(outputs)
+    base, k = importance(roi, sigma_scale) if weight_map is None else np.asarray(weight_map, np.float64), len(outputs)
+    if base.shape != tuple(roi):
+        raise ValueError("weights must have the window's shape")
     rows, cols = ([*range(0, max(s - r, 0) + 1, interval(s, r, o)), max(s - r, 0)] for s, r, o in zip(full[1:], roi[1:], overlap[1:], strict=True))
     rows, cols = sorted(set(rows)), sorted(set(cols))
+    ratio = list(zip(out_roi, roi, strict=True))
+    out_full = [s * o // r for s, (o, r) in zip(full, ratio, strict=True)]
+    kept = [(round(p // 2 * o / r), round((p // 2 + s) * o / r)) for p, s, (o, r) in zip(pads, size, ratio, strict=True)]
+    kept = [(a, min(b, n)) for (a, b), n in zip(kept, out_full, strict=True)]
+    nearest = np.ix_(*[(2 * np.arange(o) + 1) * r // (2 * o) for o, r in ratio])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -86,19 +98,23 @@ def overlap_add(
     def predict(pdf: pd.DataFrame) -> pd.DataFrame:
         cube, at = np.zeros(roi), (pdf["t"] + pads[0] // 2 - pdf["t0"]).to_numpy()
         cube[at] = np.frombuffer(b"".join(pdf["patch"]), np.float64).reshape(-1, *roi[1:])
-        got = predictor(cube)
+        got, own = predictor(cube), base
         got = np.stack([np.asarray(x, np.float64) for x in (got if isinstance(got, tuple) else (got,))])
-        own = weights
         if process is not None:
             got, own = process(got, own)
-        summed = np.concatenate([got * own, np.broadcast_to(own, roi)[None]])  # weighted outputs, and weights
-        return pdf[["t", "h0", "w0"]].assign(patch=[summed[:, x].tobytes() for x in at])
+        own = np.broadcast_to(own, roi)[nearest]
+        summed = np.concatenate([got * own, own[None]])  # weighted outputs, and weights
+        first = [int(x) * o // r for x, (o, r) in zip(pdf[["t0", "h0", "w0"]].iloc[0], ratio, strict=True)]
+        if out_roi[0] != roi[0]:
+            at = np.arange(max(kept[0][0] - first[0], 0), min(kept[0][1] - first[0], out_roi[0]))
+        return pd.DataFrame({"t": first[0] + at - kept[0][0], "h0": first[1], "w0": first[2], "patch": [summed[:, x].tobytes() for x in at]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((k + 1, *full[1:]))
+        total = np.zeros((k + 1, *out_full[1:]))
         for h0, w0, patch in pdf[["h0", "w0", "patch"]].itertuples(index=False):
-            total[:, h0 : h0 + roi[1], w0 : w0 + roi[2]] += np.frombuffer(patch, np.float64).reshape(k + 1, *roi[1:])
-        mean = (total[:k] / total[k])[:, top : top + size[1], left : left + size[2]].reshape(k, -1)
+            total[:, h0 : h0 + out_roi[1], w0 : w0 + out_roi[2]] += np.frombuffer(patch, np.float64).reshape(k + 1, *out_roi[1:])
+        total = total[:, slice(*kept[1]), slice(*kept[2])]
+        mean = (total[:k] / total[k]).reshape(k, -1)
         return pd.DataFrame({"t": pdf["t"].iloc[:1]} | {f"o{n}": [x] for n, x in enumerate(mean)})
 
     patches = frames.select(F.col("t").cast("long").alias("t"), "v").mapInPandas(cut, "t0 long, h0 long, w0 long, t long, patch binary")
