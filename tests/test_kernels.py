@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from voxelmill.functions import raster
 from voxelmill.operators.evaluate import assign
 from voxelmill.operators.merge import GONE, _fold
-from voxelmill.sources import volumes
+from voxelmill.sources import tiff, volumes
 
 
 def flood(on, diagonal):
@@ -115,9 +115,9 @@ def test_volume_files_round_trip(tmp_path):
     rng = np.random.default_rng(5)
     for kind in ("u1", "u2", "f4"):
         x = (rng.random((3, 5, 7)) * 200).astype(kind)
-        assert all((a == b).all() for a, b in zip(volumes.tiff_pages(volumes.tiff_bytes(x)), x, strict=True))
+        assert all((a == b).all() for a, b in zip(tiff.tiff_pages(tiff.tiff_bytes(x)), x, strict=True))
     x = (rng.random((5, 7, 3)) * 100).astype("i2")
     got = list(volumes.nifti_frames(volumes.nifti_bytes(x)))
     assert len(got) == 3 and all((g == x[:, :, k]).all() for k, g in enumerate(got))
     with pytest.raises(ValueError):
-        list(volumes.tiff_pages(b"no image"))
+        list(tiff.tiff_pages(b"no image"))

@@ -8,7 +8,7 @@ from voxelmill.functions.graph import connected, greedy_seeds
 from voxelmill.functions.tables import Tables
 from voxelmill.jobs import footprints
 from voxelmill.operators import evaluate, filters, merge, morph, overlap, pairs, pre, segment, tile, traces
-from voxelmill.sources import volumes
+from voxelmill.sources import tiff, volumes
 from voxelmill.streaming import activity
 
 
@@ -332,8 +332,8 @@ def test_windowed_mean_of_late_events(spark, tmp_path):
 
 def test_files(spark, tmp_path):
     x = np.arange(2 * 3 * 4, dtype="u2").reshape(2, 3, 4) + 40_000
-    (tmp_path / "a.tif").write_bytes(volumes.tiff_bytes(x))
-    rows = volumes.signed_offset(volumes.read_tiff(spark, str(tmp_path / "*.tif"))).orderBy("t").collect()
+    (tmp_path / "a.tif").write_bytes(tiff.tiff_bytes(x))
+    rows = volumes.signed_offset(tiff.read_tiff(spark, str(tmp_path / "*.tif"))).orderBy("t").collect()
     assert [r["v"] for r in rows] == [[float(v) - 32768 for v in p.ravel()] for p in x]
     (tmp_path / "d.json").write_text('{"training": [{"image": "a", "label": "b"}],\n "validation": []}')
     assert [tuple(r) for r in volumes.read_datalist(spark, str(tmp_path / "d.json")).collect()] == [("training", "a", "b")]

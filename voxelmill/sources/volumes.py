@@ -1,7 +1,7 @@
 """Image volumes and file lists. Files are read by Spark, so any store that Spark reads will do.
 
-A file is decoded in one task; videos of many files are read in parallel. Frames are rows
-``path, t, h, w, v``.
+Such a file is decoded in one task; videos of many files are read in parallel. TIFF stacks are read by
+ranges of pages (``sources.tiff``). Frames are rows ``path, t, h, w, v``.
 """
 
 from __future__ import annotations
@@ -16,41 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FRAMES = "path string, t long, h int, w int, v array<float>"
+from voxelmill.sources.tiff import FRAMES
+
 #: Files whose largest values are told to every executor; those of more are joined by a shuffle.
 FEW_FILES = 200_000
-#: Fixed values of the TIFF format: bytes of each field type, and tags.
-FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
-WIDTH, HEIGHT, BITS, COMPRESSION, STRIP_OFFSETS, STRIP_BYTES, SAMPLE_FORMAT = 256, 257, 258, 259, 273, 279, 339
 #: Fixed values of the NIfTI-1 format: data type codes.
 NIFTI_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
 
 
-def tiff_pages(data: bytes) -> Iterator[np.ndarray]:
-    """Pages of an uncompressed single-channel TIFF, either byte order."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack_from(f"{order}H", data, 2)[0] != 42:
-        raise ValueError("not a classic TIFF file")
-    at = struct.unpack_from(f"{order}I", data, 4)[0]
-    while at:
-        n = struct.unpack_from(f"{order}H", data, at)[0]
-        tags = {}
-        for k in range(n):
-            tag, kind, count = struct.unpack_from(f"{order}HHI", data, at + 2 + 12 * k)
-            place = at + 10 + 12 * k
-            if FIELD_BYTES.get(kind, 1) * count > 4:
-                place = struct.unpack_from(f"{order}I", data, place)[0]
-            if kind in (1, 3, 4):
-                tags[tag] = struct.unpack_from(f"{order}{count}{'BHI'[{1: 0, 3: 1, 4: 2}[kind]]}", data, place)
-        if tags.get(COMPRESSION, (1,))[0] != 1:
-            raise ValueError("compressed TIFF pages aren't supported")
-        kind = {1: "u", 2: "i", 3: "f"}[tags.get(SAMPLE_FORMAT, (1,))[0]]
-        raw = b"".join(data[a : a + b] for a, b in zip(tags[STRIP_OFFSETS], tags[STRIP_BYTES], strict=True))
-        page = np.frombuffer(raw, np.dtype(f"{order}{kind}{tags[BITS][0] // 8}"))
-        yield page.reshape(tags[HEIGHT][0], tags[WIDTH][0])
-        at = struct.unpack_from(f"{order}I", data, at + 2 + 12 * n)[0]
-
-
 def nifti_frames(data: bytes) -> Iterator[np.ndarray]:
     """Planes along the last axis of a NIfTI-1 volume, gzipped or not, rows before columns."""
     raw = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
@@ -89,10 +62,6 @@ def read_frames(spark: SparkSession, path: str, decode: Callable[[bytes], Iterat
     return files.mapInPandas(run, FRAMES)
 
 
-def read_tiff(spark: SparkSession, path: str, rotate: int = 0) -> DataFrame:
-    return read_frames(spark, path, tiff_pages, rotate)
-
-
 def read_nifti(spark: SparkSession, path: str, rotate: int = 0) -> DataFrame:
     return read_frames(spark, path, nifti_frames, rotate)
 
@@ -126,30 +95,6 @@ def nifti_bytes(volume: np.ndarray) -> bytes:
     return bytes(head) + np.moveaxis(volume, 0, 1).tobytes(order="F")
 
 
-def tiff_bytes(pages: np.ndarray) -> bytes:
-    """Pages of unsigned or floating values as an uncompressed TIFF."""
-    kind = {"u": 1, "i": 2, "f": 3}[pages.dtype.kind]
-    raw = [p.astype(pages.dtype.newbyteorder("<")).tobytes() for p in pages]
-    out, at = bytearray(struct.pack("<2sHI", b"II", 42, 8)), 8
-    for k, page in enumerate(raw):
-        data_at = at + 2 + 12 * 7 + 4
-        fields = [
-            (WIDTH, 4, pages.shape[2]),
-            (HEIGHT, 4, pages.shape[1]),
-            (BITS, 3, pages.dtype.itemsize * 8),
-            (COMPRESSION, 3, 1),
-            (STRIP_OFFSETS, 4, data_at),
-            (STRIP_BYTES, 4, len(page)),
-            (SAMPLE_FORMAT, 3, kind),
-        ]
-        out += struct.pack("<H", len(fields))
-        for tag, t, value in fields:
-            out += struct.pack("<HHI", tag, t, 1) + (struct.pack("<HH", value, 0) if t == 3 else struct.pack("<I", value))
-        at = data_at + len(page)
-        out += struct.pack("<I", at if k + 1 < len(raw) else 0) + page
-    return bytes(out)
-
-
 def roi_bytes(rows: np.ndarray, cols: np.ndarray) -> bytes:
     """A polygon region in the ImageJ format, from its border points in order."""
     top, left = int(rows.min()), int(cols.min())
