@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from voxelmill.functions.tables import Tables
 from voxelmill.jobs import footprints as flagship
 from voxelmill.operators import evaluate, features, filters, merge, morph, overlap, pairs, pre, segment, tile, traces, view
-from voxelmill.sources import views
+from voxelmill.sources import mat, sinks, tiff, views, volumes
 from voxelmill.sources.views import LEVEL, H, W
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -754,6 +754,52 @@ def masks_roundtrip(spark, d):
     return view.masks_from_nested(view.masks_nested(_cell_masks(spark, d), W), W)
 
 
+def _files_back(spark, d, kind: str) -> DataFrame:
+    """The video written as files of 100 frames and read back."""
+    target = f"{Tables(spark).root}/{kind}"
+    frames = views.frames(spark, d).select(F.lit("video").alias("path"), "t", F.lit(H).alias("h"), F.lit(W).alias("w"), F.col("v").cast("array<float>").alias("v"))
+    sinks.write_volumes(frames, target, kind, most_frames=100)
+    if kind == "tiff":
+        got = tiff.read_tiff(spark, target)
+    else:
+        got = volumes.read_frames(spark, target, volumes.nifti_frames if kind == "nifti" else volumes.npz_frames("volume"))
+    part = F.regexp_extract("path", r"-(\d+)\.\w+$", 1).cast("long")
+    got = got.select((part * 100 + F.col("t")).alias("t"), F.posexplode("v").alias("pixel", "v"))
+    return got.select("t", F.col("pixel").cast("long").alias("pixel"), F.col("v").cast("double").alias("v"))
+
+
+@query(f"with {VOX} select t, pixel, v from vox")
+def nifti_files(spark, d):
+    return _files_back(spark, d, "nifti")
+
+
+@query(f"with {VOX} select t, pixel, v from vox")
+def npz_files(spark, d):
+    return _files_back(spark, d, "npz")
+
+
+@query(f"with {VOX} select t, pixel, v from vox")
+def tiff_files(spark, d):
+    return _files_back(spark, d, "tiff")
+
+
+@query(f"""with {GT}, tr as (select neuron as mask_id, t, avg(v) as trace from gt join vox using (pixel) group by 1, 2)
+select gt.neuron as mask_id, gt.pixel, n, round(total, 6) as total from gt
+join (select mask_id, count(*) as n, sum(trace) as total from tr group by 1) on mask_id = gt.neuron""")
+def mat_files(spark, d):
+    """Masks with traces written as MAT files and read back: pixels, and each trace's length and sum."""
+    target = f"{Tables(spark).root}/mat"
+    of = traces.extract(_truth_masks(spark, d), _vox(spark, d))
+    sinks.write_masks(_truth_masks(spark, d), target, W, of, stamp="", most=4)
+    arrays = mat.read_mat(spark, target)
+    ids = arrays.where("name = 'mask_id'").select("path", F.posexplode("v").alias("place", "id"))
+    ids = ids.select("path", F.col("place").cast("long").alias("place"), F.col("id").cast("long").alias("id"))
+    table = arrays.where("name = 'traces'").select("path", F.col("dims")[0].alias("rows"), F.posexplode("v").alias("k", "v")).where(~F.isnan("v"))
+    sums = table.groupBy("path", (F.col("k") % F.col("rows")).alias("place")).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    pixels = mat.masks(arrays, W).select("path", F.col("mask_id").alias("place"), "pixel")
+    return _rounded(pixels.join(ids, ["path", "place"]).join(sums, ["path", "place"]).select(F.col("id").alias("mask_id"), "pixel", "n", "total"), "total")
+
+
 @query(f"with recursive {CM} select mask_id, '{{\"mask_id\":' || mask_id || ',\"t\":' || t || ',\"pixel\":' || pixel || '}}' as json from cm")
 def to_json(spark, d):
     return view.to_json(_cells(spark, d), "mask_id")

@@ -178,6 +178,8 @@ def _matrix(name: str, value) -> bytes:
         sizes = np.array(dims, "<i4").tobytes()
         return _tagged(6, struct.pack("<II", kind, 0)) + _tagged(5, sizes) + _tagged(1, name.encode("latin-1"))
 
+    if isinstance(value, str):
+        return _tagged(MATRIX, head(CHAR, (1, len(value))) + _tagged(4, value.encode("utf-16-le")))
     if isinstance(value, list):
         return _tagged(MATRIX, head(CELL, (1, len(value))) + b"".join(_matrix("", v) for v in value))
     if isinstance(value, dict):
@@ -190,7 +192,7 @@ def _matrix(name: str, value) -> bytes:
 
 
 def mat_bytes(variables: dict, compress: bool = False) -> bytes:
-    """A level-5 MAT file of number arrays, lists (cells) and dicts (structs)."""
+    """A level-5 MAT file of number arrays, strings, lists (cells) and dicts (structs)."""
     out = b"MATLAB 5.0 MAT-file".ljust(124) + struct.pack("<H", 0x0100) + b"IM"
     for name, value in variables.items():
         raw = _matrix(name, value)

@@ -254,25 +254,27 @@ def read_tiff(spark: SparkSession, path: str, rotate: int = 0, tasks: int | None
     return page_ranges(spark, path, pages).repartition(tasks or 4 * spark.sparkContext.defaultParallelism).mapInPandas(decode, FRAMES)
 
 
-def tiff_bytes(pages: np.ndarray) -> bytes:
-    """Pages of unsigned or floating values as an uncompressed TIFF."""
-    kind = {"u": 1, "i": 2, "f": 3}[pages.dtype.kind]
-    raw = [p.astype(pages.dtype.newbyteorder("<")).tobytes() for p in pages]
-    out, at = bytearray(struct.pack("<2sHI", b"II", 42, 8)), 8
-    for k, page in enumerate(raw):
-        data_at = at + 2 + 12 * 7 + 4
+def directories(n: int, h: int, w: int, dtype: np.dtype) -> bytes:
+    """The head of a little-endian file of n pages, whose uncompressed values follow page by page."""
+    kind, page = {"u": 1, "i": 2, "f": 3}[dtype.kind], h * w * dtype.itemsize
+    big = n * (page + 256) > 4_000_000_000
+    offset, count, field = ("Q", "Q", 16) if big else ("I", "H", 4)
+    width = struct.calcsize(f"<{offset}")
+    head = struct.pack("<2s3HQ", b"II", 43, 8, 0, 16) if big else struct.pack("<2sHI", b"II", 42, 8)
+    size = struct.calcsize(f"<{count}") + 8 * (4 + 2 * width) + width
+    out = bytearray(head if n else head[:-width] + bytes(width))
+    for k in range(n):
         fields = [
-            (WIDTH, 4, pages.shape[2]),
-            (HEIGHT, 4, pages.shape[1]),
-            (BITS, 3, pages.dtype.itemsize * 8),
-            (COMPRESSION, 3, 1),
-            (STRIP_OFFSETS, 4, data_at),
-            (STRIP_BYTES, 4, len(page)),
-            (SAMPLE_FORMAT, 3, kind),
-        ]
-        out += struct.pack("<H", len(fields))
+            (WIDTH, 4, w), (HEIGHT, 4, h), (BITS, 3, dtype.itemsize * 8), (COMPRESSION, 3, PLAIN), (STRIP_OFFSETS, field, len(head) + n * size + k * page),
+            (ROWS_PER_STRIP, 4, h), (STRIP_BYTES, field, page), (SAMPLE_FORMAT, 3, kind),
+        ]
+        out += struct.pack(f"<{count}", len(fields))
         for tag, t, value in fields:
-            out += struct.pack("<HHI", tag, t, 1) + (struct.pack("<HH", value, 0) if t == 3 else struct.pack("<I", value))
-        at = data_at + len(page)
-        out += struct.pack("<I", at if k + 1 < len(raw) else 0) + page
+            out += struct.pack(f"<HH{offset}", tag, t, 1) + struct.pack(f"<{FIELDS[t]}", value).ljust(width, b"\0")
+        out += struct.pack(f"<{offset}", len(head) + (k + 1) * size if k + 1 < n else 0)
     return bytes(out)
+
+
+def tiff_bytes(pages: np.ndarray) -> bytes:
+    """Pages of whole or floating values as an uncompressed TIFF."""
+    return directories(*pages.shape, pages.dtype) + pages.astype(pages.dtype.newbyteorder("<")).tobytes()

@@ -83,16 +83,23 @@ def read_datalist(spark: SparkSession, path: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def nifti_bytes(volume: np.ndarray) -> bytes:
-    """A ``rows, columns, planes`` array as a NIfTI-1 file."""
+def nifti_head(shape: tuple[int, int, int], dtype: np.dtype) -> bytes:
+    """Header of a NIfTI-1 file of ``rows, columns, planes``; frames follow, rows before columns."""
     codes = {v: k for k, v in NIFTI_TYPES.items()}
+    if max(shape) > 32767:
+        raise ValueError("a NIfTI-1 axis has 32,767 places at most")
     head = bytearray(352)
     struct.pack_into("<i", head, 0, 348)
-    struct.pack_into("<8h", head, 40, 3, volume.shape[1], volume.shape[0], volume.shape[2], 1, 1, 1, 1)
-    struct.pack_into("<2h", head, 70, codes[volume.dtype.str[1:]], volume.dtype.itemsize * 8)
+    struct.pack_into("<8h", head, 40, 3, shape[1], shape[0], shape[2], 1, 1, 1, 1)
+    struct.pack_into("<2h", head, 70, codes[dtype.str[1:]], dtype.itemsize * 8)
     struct.pack_into("<3f", head, 108, 352.0, 1.0, 0.0)
     head[344:348] = b"n+1\0"
-    return bytes(head) + np.moveaxis(volume, 0, 1).tobytes(order="F")
+    return bytes(head)
+
+
+def nifti_bytes(volume: np.ndarray) -> bytes:
+    """A ``rows, columns, planes`` array as a NIfTI-1 file."""
+    return nifti_head(volume.shape, volume.dtype) + np.moveaxis(volume, 0, 1).tobytes(order="F")
 
 
 def roi_bytes(rows: np.ndarray, cols: np.ndarray) -> bytes:
