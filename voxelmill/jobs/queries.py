@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from voxelmill.functions.tables import Tables
 from voxelmill.jobs import footprints as flagship
-from voxelmill.operators import evaluate, features, filters, merge, morph, overlap, pairs, pre, segment, tile, traces, view
+from voxelmill.operators import augment, evaluate, features, filters, merge, morph, overlap, pairs, pre, segment, tile, traces, view
 from voxelmill.sources import mat, sinks, tiff, views, volumes
 from voxelmill.sources.views import LEVEL, H, W
 
@@ -187,6 +187,48 @@ def scale_shift(spark, d):
     return _rounded(pre.scale_shift(_vox(spark, d), 0.1, 0.1, 5), "v")
 
 
+FILM = f"""{VOX}, film as (select t // 250 as video, t % 250 as t, pixel, v as raw, cast(v > {LEVEL} as int) as label from vox)"""
+
+
+def _films(spark, d) -> DataFrame:
+    """Videos of 250 frames with labels."""
+    label = F.transform("v", lambda x: (x > LEVEL).cast("int")).alias("label")
+    return views.frames(spark, d).select(F.call_function("div", "t", F.lit(250)).alias("video"), (F.col("t") % 250).alias("t"), "v", label)
+
+
+@query(f"""with {FILM}, lv as (select video, quantile_cont(raw, 0.05) as lo, quantile_cont(raw, 0.95) as hi from film group by 1)
+select video, t, pixel, round(least(greatest((raw - lo) / (hi - lo), 0), 1), 6) as v from film join lv using (video)""")
+def scale_percentiles(spark, d):
+    got = augment.scale_percentiles(_films(spark, d), Tables(spark), 5, 95)
+    return _rounded(got.select("video", "t", F.posexplode("v").alias("pixel", "v")), "v").withColumn("pixel", F.col("pixel").cast("long"))
+
+
+def _drawn(k: int) -> str:
+    return f"(cast('0x' || md5(video || ':' || sample || ':11:{k}')[1:8] as bigint) / 4294967296.0::double)"
+
+
+@query(f"""with {FILM}, sc as (select video, t, pixel, label, (raw - min(raw) over w) / (max(raw) over w - min(raw) over w) as v from film window w as (partition by video)),
+pool as (select video, t, pixel, label = 1 as fg, row_number() over (partition by video, label order by t, pixel) - 1 as rank from sc where label = 1 or v > 0),
+smp as (select video, total, n_fg, n_bg, sample from (select video, max(t) + 1 as total, count(*) filter (label = 1) as n_fg,
+  count(*) filter (label = 0 and v > 0) as n_bg from sc group by 1), (select unnest([0, 1]) as sample)),
+pick as (select *, case when n_fg = 0 then false when n_bg = 0 then true else {_drawn(0)} < 0.5 end as fg from smp),
+ctr as (select pick.video, sample, total, pool.t, pool.pixel from pick join pool on pool.video = pick.video and pool.fg = pick.fg
+  and pool.rank = cast(floor({_drawn(1).replace("video", "pick.video")} * case when pick.fg then n_fg else n_bg end) as bigint)),
+crop as (select video, sample, greatest(least(t - 8, total - 16), 0) as t0, greatest(least(pixel // 8 - 2, 4), 0) as h0, greatest(least(pixel % 8 - 2, 4), 0) as w0,
+  {_drawn(2)} < 0.5 as fh, {_drawn(3)} < 0.5 as fw, case when {_drawn(4)} < 0.5 then cast(floor({_drawn(5)} * 3) as bigint) + 1 else 0 end as turn,
+  case when {_drawn(6)} < 0.5 then 1 + (2 * {_drawn(7)} - 1) * 0.1::double else 1 end as scale, case when {_drawn(8)} < 0.5 then (2 * {_drawn(9)} - 1) * 0.1::double else 0 end as shift from ctr),
+cut as (select crop.*, sc.t - t0 as t, case when fh then 3 - (pixel // 8 - h0) else pixel // 8 - h0 end as y, case when fw then 3 - (pixel % 8 - w0) else pixel % 8 - w0 end as x, v, label
+  from crop join sc on sc.video = crop.video and sc.t between t0 and t0 + 15 and pixel // 8 between h0 and h0 + 3 and pixel % 8 between w0 and w0 + 3)
+select video, cast(sample as int) as sample, t, cast(case turn when 0 then y * 4 + x when 1 then (3 - x) * 4 + y when 2 then (3 - y) * 4 + 3 - x else x * 4 + 3 - y end as bigint) as pixel,
+  round(v * scale + shift, 6) as v, label from cut""")
+def sample_crops(spark, d):
+    tables = Tables(spark)
+    scaled = augment.scale_percentiles(_films(spark, d), tables)
+    got = augment.sample_crops(scaled, (H, W), (16, 4, 4), 11, tables)
+    got = got.select("video", "sample", "t", F.posexplode(F.arrays_zip("v", "label")).alias("pixel", "x"))
+    return _rounded(got.select("video", "sample", "t", F.col("pixel").cast("long").alias("pixel"), "x.v", "x.label"), "v")
+
+
 # -- tiling ------------------------------------------------------------------------------------
 
 WINDOWS = f"""{N}, wt as (select unnest(range(0, n - 16 + 1, 8)) as t0 from n union select n - 16 from n),

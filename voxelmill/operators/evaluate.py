@@ -198,6 +198,18 @@ def in_order(rows: DataFrame, order: list, tables: Tables) -> DataFrame:
     return kept.join(offsets, "part").withColumn("number", F.col("before") + F.col("place")).drop("part", "place", "before")
 
 
+def running_sum(rows: DataFrame, key: str, order: list[str], value: str, tables: Tables) -> DataFrame:
+    """``rows`` with ``before``: the sum of a whole-number column over the key's earlier rows, however many a key has."""
+    kept, _ = _numbered(rows, [key, *order], tables)
+    base = kept.groupBy(key, "part").agg(F.sum(value).alias("own"))
+    earlier = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = base.select(F.col(key).alias("base_key"), F.col("part").alias("base_part"), F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("base"))
+    so_far = Window.partitionBy(key, "part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    both = kept.withColumn("inside", F.coalesce(F.sum(value).over(so_far), F.lit(0)))
+    both = both.join(base, F.col(key).eqNullSafe(F.col("base_key")) & (F.col("part") == F.col("base_part")))
+    return both.withColumn("before", F.col("base") + F.col("inside")).drop("part", "place", "base_key", "base_part", "base", "inside")
+
+
 def running_mean(rows: DataFrame, key: str, order: str, value: str, weight: str) -> DataFrame:
     """Weighted mean so far, by key. A key's rows lie in the parts of one global sort; sums of earlier parts are added."""
     product = (F.col(value) * F.col(weight)).alias("xw")
