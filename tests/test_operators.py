@@ -32,7 +32,9 @@ def test_seeds_and_components(spark):
             group |= {m: k for m in near[k] | {k} if m not in group}
     df, nodes = spark.createDataFrame(list(edges), "i long, j long"), spark.range(n).withColumnRenamed("id", "node")
     tables = Tables(spark)
-    assert {r["node"]: r["group"] for r in greedy_seeds(df, nodes, tables).collect()} == group
+    for rounds, most in ((4, 500_000), (1, 0), (1, 3), (2, 60)):
+        got = greedy_seeds(df, nodes, tables, rounds, most).collect()
+        assert {r["node"]: r["group"] for r in got} == group and len(got) == n
     label = {k: k for k in range(n)}
     for _ in range(n):
         for a, b in edges:
@@ -66,8 +68,23 @@ def test_proposals(spark):
         for j, who in offers.items():
             match[min(who)[1]] = j
             closed.add(j)
-    got = evaluate.match_greedy(spark.createDataFrame(edges, "i long, j long, iou double"), Tables(spark))
-    assert {r["i"]: r["j"] for r in got.collect()} == match
+    for rounds, most in ((4, 500_000), (1, 0), (1, 500_000), (1, 4)):
+        got = evaluate.match_greedy(spark.createDataFrame(edges, "i long, j long, iou double"), Tables(spark), rounds, most).collect()
+        assert {r["i"]: r["j"] for r in got} == match and len(got) == len(match)
+
+
+def test_lines_take_few_rounds(spark):
+    """A line of 10,000 nodes in ascending order, and 80 proposers who all want the same."""
+    n, tables = 10_000, Tables(spark)
+    line = spark.range(n - 1).select(F.col("id").alias("i"), (F.col("id") + 1).alias("j"))
+    got = greedy_seeds(line, spark.range(n).withColumnRenamed("id", "node"), tables).collect()
+    assert sorted((r["node"], r["group"]) for r in got) == [(k, k - k % 2) for k in range(n)]
+    first, tables = tables.written, Tables(spark)
+    n = 80
+    chain = [(i, j, 1 - j / 100) for i in range(n) for j in range(n)]  # all want the same j, one closes a round
+    got = evaluate.match_greedy(spark.createDataFrame(chain, "i long, j long, iou double"), tables).collect()
+    assert sorted((r["i"], r["j"]) for r in got) == [(i, i) for i in range(n)]
+    assert first < 60 and tables.written < 60
 
 
 def test_sliding_windows_match_numpy(spark):

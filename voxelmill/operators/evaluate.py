@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelmill.functions.auction import BLOCK_ARCS, heaviest_matching
-from voxelmill.functions.graph import connected
+from voxelmill.functions.graph import MOST_EDGES, ROUNDS, connected, split_components, together
 from voxelmill.functions.tables import Tables
 from voxelmill.operators import pairs
 
@@ -128,20 +130,52 @@ def scores(matches: DataFrame, found: DataFrame, truth: DataFrame) -> DataFrame:
     )
 
 
-def match_greedy(edges: DataFrame, tables: Tables) -> DataFrame:
+def _proposals(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The rounds of proposals within one component; each i passes over its edges once."""
+    offers: dict[int, list] = {}
+    for i, j, iou in pdf[["i", "j", "iou"]].itertuples(index=False):
+        offers.setdefault(i, []).append((iou, -j))
+    for own in offers.values():
+        own.sort()  # the best is last
+    closed, out = set(), []
+    while offers:
+        asked: dict[int, tuple] = {}
+        for i in list(offers):
+            own = offers[i]
+            while own and -own[-1][1] in closed:
+                own.pop()
+            if not own:
+                del offers[i]
+                continue
+            j, bid = -own[-1][1], (-own[-1][0], i)
+            asked[j] = min(asked.get(j, bid), bid)
+        for j, (_, i) in asked.items():
+            out.append((i, j))
+            closed.add(j)
+            del offers[i]
+    return pd.DataFrame(out, columns=["i", "j"])
+
+
+def match_greedy(edges: DataFrame, tables: Tables, rounds: int = ROUNDS, most: int = MOST_EDGES) -> DataFrame:
     """``i, j``: rounds of proposals over ``edges(i, j, iou)``.
 
     Every free i proposes to its best open j (the lowest of equals); a j keeps its best proposer (the
-    lowest of equals) and closes. Rounds end when nobody can propose.
+    lowest of equals) and closes. Rounds end when nobody can propose. After every ``rounds`` rounds
+    components with ``most`` open edges or fewer are finished, one in a task.
     """
-    edges = tables.keep(edges.select("i", "j", "iou"))
-    done = None
+    edges, done, k = tables.keep(edges.select("i", "j", "iou")), [], 0
     while edges.limit(1).count():
         offers = edges.groupBy("i").agg(F.min_by("j", F.struct(-F.col("iou"), "j")).alias("j"), F.max("iou").alias("iou"))
         taken = tables.keep(offers.groupBy("j").agg(F.min_by("i", F.struct(-F.col("iou"), "i")).alias("i")).select("i", "j"))
-        done = taken if done is None else done.unionByName(taken)
-        edges = tables.keep(edges.join(taken.select("i"), "i", "left_anti").join(taken.select("j"), "j", "left_anti"))
-    return edges.select("i", "j") if done is None else done
+        before, edges = edges, tables.keep(edges.join(taken.select("i"), "i", "left_anti").join(taken.select("j"), "j", "left_anti"))
+        tables.drop(before)
+        done, k = together([*done, taken], tables), k + 1
+        if k % rounds == 0 and edges.limit(1).count():
+            small, large, grouped = split_components(edges, F.col("i") * 2, F.col("j") * 2 + 1, tables, most)
+            done.append(tables.keep(small.groupBy("group").applyInPandas(_proposals, "i long, j long")))
+            before, edges = edges, tables.keep(large)
+            tables.drop(before, grouped)
+    return functools.reduce(DataFrame.unionByName, done) if done else edges.select("i", "j")
 
 
 def euclid_edges(found: DataFrame, truth: DataFrame, w: int, pixel_size: float, least_iou: float, most_distance: float) -> DataFrame:
