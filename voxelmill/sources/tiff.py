@@ -9,7 +9,7 @@ from __future__ import annotations
 import io
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 
 import numpy as np
@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 FRAMES = "path string, t long, h int, w int, v array<float>"
 #: Pages of one unit of work; a task takes several units.
 PAGES = 16
+#: Values of small pages that are passed on together (4 MB).
+VALUES = 1_000_000
 #: Fixed values of the TIFF format: struct codes of the integer field types, tags, and the most bytes a stored byte may hold.
 FIELDS = {1: "B", 3: "H", 4: "I", 16: "Q"}
 WIDTH, HEIGHT, BITS, COMPRESSION, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES = 256, 257, 258, 259, 273, 277, 278, 279
@@ -235,11 +237,25 @@ def page_ranges(spark: SparkSession, path: str, pages: int = PAGES) -> DataFrame
     return files.mapInPandas(walk, "path string, t long, places array<long>")
 
 
+def frame_rows(name: str, first: int, pages: Iterable[np.ndarray], rotate: int) -> Iterator[pd.DataFrame]:
+    """Pages as frames, in batches of a page or of up to ``VALUES`` values."""
+    rows, held = [], 0
+    for t, page in enumerate(pages, first):
+        page = np.rot90(page, rotate)
+        if held + page.size > VALUES and rows:
+            yield pd.DataFrame(rows, columns=["path", "t", "h", "w", "v"])
+            rows, held = [], 0
+        rows.append((name, t, *page.shape, page.astype(np.float32).ravel()))
+        held += page.size
+    if rows:
+        yield pd.DataFrame(rows, columns=["path", "t", "h", "w", "v"])
+
+
 def read_tiff(spark: SparkSession, path: str, rotate: int = 0, tasks: int | None = None, pages: int = PAGES) -> DataFrame:
     """Frames of all stacks that match a path, turned by quarter turns.
 
     Ranges of pages are dealt evenly to ``tasks`` (four for every core unless given), whatever files
-    they come from. A task holds one page at a time. Directories of a file are walked by one task.
+    they come from. A task holds one large page, or a few small ones. Directories of a file are walked by one task.
     """
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -247,9 +263,7 @@ def read_tiff(spark: SparkSession, path: str, rotate: int = 0, tasks: int | None
             for name, first, places in batch[["path", "t", "places"]].itertuples(index=False):
                 with opened(name) as file:
                     stack = Stack(file)
-                    for t, at in enumerate(places, first):
-                        page = np.rot90(stack.page(int(at)), rotate)
-                        yield pd.DataFrame({"path": [name], "t": [t], "h": [page.shape[0]], "w": [page.shape[1]], "v": [page.astype(np.float32).ravel()]})
+                    yield from frame_rows(name, first, (stack.page(int(at)) for at in places), rotate)
 
     return page_ranges(spark, path, pages).repartition(tasks or 4 * spark.sparkContext.defaultParallelism).mapInPandas(decode, FRAMES)
 

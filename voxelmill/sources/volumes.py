@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmill.sources.tiff import FRAMES
+from voxelmill.sources.tiff import FRAMES, frame_rows
 
 #: Files whose largest values are told to every executor; those of more are joined by a shuffle.
 FEW_FILES = 200_000
@@ -54,9 +54,7 @@ def read_frames(spark: SparkSession, path: str, decode: Callable[[bytes], Iterat
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, data in zip(batch["path"], batch["content"], strict=True):
-                for t, page in enumerate(decode(data)):
-                    page = np.rot90(page, rotate)
-                    yield pd.DataFrame({"path": [name], "t": [t], "h": [page.shape[0]], "w": [page.shape[1]], "v": [page.astype(np.float32).ravel()]})
+                yield from frame_rows(name, 0, decode(data), rotate)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(run, FRAMES)
