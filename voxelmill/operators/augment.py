@@ -101,7 +101,7 @@ def centres(frames: DataFrame, samples: int, seed: int, tables: Tables, pos: flo
 
 
 def crops(frames: DataFrame, size: tuple[int, int], roi: Shape, samples: int, seed: int, tables: Tables, **kinds: float) -> DataFrame:
-    """``video, sample, t0, h0, w0``: windows around drawn voxels, moved inside the video. A video shorter than a window is refused."""
+    """``video, sample, t0, h0, w0``: windows around drawn voxels, moved inside the video. A video shorter than a window gives all its frames."""
     h, w = size
     if roi[1] > h or roi[2] > w:
         raise ValueError("the window is larger than the frames")
@@ -110,9 +110,8 @@ def crops(frames: DataFrame, size: tuple[int, int], roi: Shape, samples: int, se
     def start(x: Column, n: Column | int, r: int) -> Column:
         return F.greatest(F.least(x - r // 2, F.lit(n) - r), F.lit(0)).cast("long")
 
-    whole = F.when(F.col("total") < roi[0], F.raise_error(F.lit("a video is shorter than the window"))).otherwise(F.col("total"))
     row, col = F.call_function("div", "pixel", F.lit(w)), F.col("pixel") % w
-    t0 = F.greatest(F.least(F.col("t") - roi[0] // 2, whole - roi[0]), F.lit(0)).cast("long")
+    t0 = F.greatest(F.least(F.col("t") - roi[0] // 2, F.col("total") - roi[0]), F.lit(0)).cast("long")
     return at.select("video", "sample", t0.alias("t0"), start(row, h, roi[1]).alias("h0"), start(col, w, roi[2]).alias("w0"))
 
 
