@@ -2,15 +2,47 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Shape = tuple[int, int, int]
 
+_IN_WORKER: dict[str, Callable] = {}
+
+
+@dataclass(frozen=True)
+class Loaded:
+    """A predictor that each Python worker makes once, however many windows it sees.
+
+    ``make(path)`` returns a function from a batch of windows (an array with one axis more) to a batch
+    of predictions, or a tuple of them. The path is the worker's own copy of ``artefact``, None without one.
+    """
+
+    make: Callable[[str | None], Callable]
+    artefact: str | None = None
+    token: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def get(self) -> Callable:
+        if self.token not in _IN_WORKER:
+            _IN_WORKER.clear()  # a worker holds one model at a time
+            _IN_WORKER[self.token] = self.make(SparkFiles.get(self.artefact) if self.artefact else None)
+        return _IN_WORKER[self.token]
+
+
+def loaded(spark: SparkSession, make: Callable[[str | None], Callable], path: str | None = None) -> Loaded:
+    """A predictor made from a file, which Spark copies to each executor once; files need different names."""
+    if path:
+        spark.sparkContext.addFile(path)
+    return Loaded(make, path and os.path.basename(path))
+
 
 def interval(size: int, roi: int, overlap: float) -> int:
     """Step from one window to the next along an axis."""
@@ -55,15 +87,16 @@ def frames_of(vox: DataFrame, pixels: int) -> DataFrame:
 
 
 def overlap_add(
-    frames: DataFrame, size: Shape, roi: Shape, overlap: tuple[float, float, float], predictor: Callable, sigma_scale: float | None = None,
+    frames: DataFrame, size: Shape, roi: Shape, overlap: tuple[float, float, float], predictor: Callable | Loaded, sigma_scale: float | None = None,
     process: Callable | None = None, outputs: tuple[str, ...] = ("v",), out_roi: Shape | None = None, weight_map: np.ndarray | None = None,
+    batch: int = 32,
 ) -> DataFrame:
     """``t, pixel`` and a column for each output: weighted means of the predictions of all windows that hold a voxel.
 
     ``predictor`` takes an array of the window's shape and returns one, or a tuple of them for
-    several ``outputs``. ``process(predictions, weights)`` may replace both after it. ``weight_map``
+    several ``outputs``; a ``Loaded`` one takes ``batch`` windows at once, which a task holds. ``process(predictions, weights)`` may replace both after it. ``weight_map``
     replaces the weights of a window. Videos smaller than a window are padded with zeros, half before
-    and the odd one after. Frames ``t, v`` are cut to patches; a window gathers its patches, and a
+    and the odd one after. Frames ``t, v`` are cut to patches; a batch gathers its windows' patches, and a
     frame the weighted patches of its windows, so a voxel travels as 8 bytes of an array.
 
     Predictions of another resolution have the shape ``out_roi``. A window that starts at x then
@@ -79,6 +112,7 @@ def overlap_add(
         raise ValueError("weights must have the window's shape")
     rows, cols = ([*range(0, max(s - r, 0) + 1, interval(s, r, o)), max(s - r, 0)] for s, r, o in zip(full[1:], roi[1:], overlap[1:], strict=True))
     rows, cols = sorted(set(rows)), sorted(set(cols))
+    step, last = interval(full[0], roi[0], overlap[0]), max(full[0] - roi[0], 0)
     ratio = list(zip(out_roi, roi, strict=True))
     out_full = [s * o // r for s, (o, r) in zip(full, ratio, strict=True)]
     kept = [(round(p // 2 * o / r), round((p // 2 + s) * o / r)) for p, s, (o, r) in zip(pads, size, ratio, strict=True)]
@@ -86,28 +120,40 @@ def overlap_add(
     nearest = np.ix_(*[(2 * np.arange(o) + 1) * r // (2 * o) for o, r in ratio])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for rows_ in batches:
             out = []
-            for t, v in zip(batch["t"], batch["v"], strict=True):
+            for t, v in zip(rows_["t"], rows_["v"], strict=True):
                 image = np.zeros(full[1:])
                 image[top : top + size[1], left : left + size[2]] = np.asarray(v, np.float64).reshape(size[1:])
-                patches = [(h0, w0, image[h0 : h0 + roi[1], w0 : w0 + roi[2]].tobytes()) for h0 in rows for w0 in cols]
-                out += [(t0, *p[:2], t, p[2]) for t0 in _starts(t + pads[0] // 2, full[0], roi[0], overlap[0]) for p in patches]
-            yield pd.DataFrame(out, columns=["t0", "h0", "w0", "t", "patch"])
+                patches = [image[h0 : h0 + roi[1], w0 : w0 + roi[2]].tobytes() for h0 in rows for w0 in cols]
+                for t0 in _starts(t + pads[0] // 2, full[0], roi[0], overlap[0]):
+                    out += [(-(-t0 // step) * len(patches) + n, t, p) for n, p in enumerate(patches)]
+            yield pd.DataFrame(out, columns=["win", "t", "patch"])
+
+    def run(cubes: np.ndarray) -> np.ndarray:
+        if isinstance(predictor, Loaded):
+            got = predictor.get()(cubes)
+            return np.stack([np.asarray(x, np.float64) for x in (got if isinstance(got, tuple) else (got,))], 1)
+        got = [predictor(cube) for cube in cubes]
+        return np.stack([[np.asarray(x, np.float64) for x in (g if isinstance(g, tuple) else (g,))] for g in got])
 
     def predict(pdf: pd.DataFrame) -> pd.DataFrame:
-        cube, at = np.zeros(roi), (pdf["t"] + pads[0] // 2 - pdf["t0"]).to_numpy()
-        cube[at] = np.frombuffer(b"".join(pdf["patch"]), np.float64).reshape(-1, *roi[1:])
-        got, own = predictor(cube), base
-        got = np.stack([np.asarray(x, np.float64) for x in (got if isinstance(got, tuple) else (got,))])
-        if process is not None:
-            got, own = process(got, own)
-        own = np.broadcast_to(own, roi)[nearest]
-        summed = np.concatenate([got * own, own[None]])  # weighted outputs, and weights
-        first = [int(x) * o // r for x, (o, r) in zip(pdf[["t0", "h0", "w0"]].iloc[0], ratio, strict=True)]
-        if out_roi[0] != roi[0]:
-            at = np.arange(max(kept[0][0] - first[0], 0), min(kept[0][1] - first[0], out_roi[0]))
-        return pd.DataFrame({"t": first[0] + at - kept[0][0], "h0": first[1], "w0": first[2], "patch": [summed[:, x].tobytes() for x in at]})
+        wins, of = np.unique(pdf["win"], return_inverse=True)
+        starts = np.stack([np.minimum(wins // (len(rows) * len(cols)) * step, last), np.take(rows, wins // len(cols) % len(rows)), np.take(cols, wins % len(cols))])
+        cubes, at_all = np.zeros((len(wins), *roi)), (pdf["t"] + pads[0] // 2).to_numpy() - starts[0][of]
+        cubes[of, at_all] = np.frombuffer(b"".join(pdf["patch"]), np.float64).reshape(-1, *roi[1:])
+        out = []
+        for n, got in enumerate(run(cubes)):
+            own, at = base, at_all[of == n]
+            if process is not None:
+                got, own = process(got, own)
+            own = np.broadcast_to(own, roi)[nearest]
+            summed = np.concatenate([got * own, own[None]])  # weighted outputs, and weights
+            first = [int(x) * o // r for x, (o, r) in zip(starts[:, n], ratio, strict=True)]
+            if out_roi[0] != roi[0]:
+                at = np.arange(max(kept[0][0] - first[0], 0), min(kept[0][1] - first[0], out_roi[0]))
+            out += [(first[0] + x - kept[0][0], *first[1:], summed[:, x].tobytes()) for x in at]
+        return pd.DataFrame(out, columns=["t", "h0", "w0", "patch"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros((k + 1, *out_full[1:]))
@@ -117,8 +163,8 @@ def overlap_add(
         mean = (total[:k] / total[k]).reshape(k, -1)
         return pd.DataFrame({"t": pdf["t"].iloc[:1]} | {f"o{n}": [x] for n, x in enumerate(mean)})
 
-    patches = frames.select(F.col("t").cast("long").alias("t"), "v").mapInPandas(cut, "t0 long, h0 long, w0 long, t long, patch binary")
-    got = patches.groupBy("t0", "h0", "w0").applyInPandas(predict, "t long, h0 long, w0 long, patch binary")
+    patches = frames.select(F.col("t").cast("long").alias("t"), "v").mapInPandas(cut, "win long, t long, patch binary")
+    got = patches.groupBy(F.call_function("div", "win", F.lit(batch)).alias("block")).applyInPandas(predict, "t long, h0 long, w0 long, patch binary")
     summed = got.groupBy("t").applyInPandas(add, "t long, " + ", ".join(f"o{n} array<double>" for n in range(k)))
     each = summed.select("t", F.posexplode(F.arrays_zip(*[f"o{n}" for n in range(k)])).alias("pixel", "o"))
     return each.select("t", F.col("pixel").cast("long").alias("pixel"), *[F.col(f"o.o{n}").alias(c) for n, c in enumerate(outputs)])
