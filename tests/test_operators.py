@@ -52,6 +52,24 @@ def test_intersections_of_all_pairs(spark):
     assert {tuple(r) for r in pairs.intersections(masks_of(spark, own), masks_of(spark, other)).collect()} == want
 
 
+def test_crowded_pixels_are_cut_into_blocks(spark, monkeypatch):
+    """One pixel that all masks share, one of two masks, and repeated values, against the plain join."""
+    rng = np.random.default_rng(31)
+    rows = [(i, 7, 1 + i % 3) for i in range(60)] + [(i, int(p), 1) for i in range(60) for p in rng.integers(8, 40, 3)]
+    rows = [(i, p, v) for (i, p), v in {(i, p): v for i, p, v in rows}.items()]
+    own, other = masks_of(spark, rows), masks_of(spark, [r for r in rows if r[0] % 3])
+    want = {(i, j, p, float(x * y)) for i, p, x in rows for j, q, y in rows if i < j and p == q}
+    across = {(i, j, p, float(x * y)) for i, p, x in rows for j, q, y in rows if j % 3 and p == q}
+    for few in (100, 0):
+        monkeypatch.setattr(pairs, "FEW_PIXELS", few)
+        for crowd in (1, 7, 1000):
+            for right, expected in ((None, want), (other, across)):
+                got = pairs._meet(own, right, crowd).selectExpr("i", "j", "pixel", "x * y").collect()
+                assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+    cells = pairs._meet(own, None, 7).where("pixel = 7").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in cells) == 60 * 59 // 2
+
+
 def test_proposals(spark):
     rng = np.random.default_rng(1)
     iou = rng.integers(0, 6, (7, 6)) / 5
@@ -138,6 +156,36 @@ def test_overlap_add_at_another_resolution(spark):
         assert len(got) == want.size and np.allclose(got["v"].to_numpy(), want.ravel())
 
 
+def test_overlap_add_with_a_model_made_once_a_worker(spark, tmp_path):
+    """The factory runs once in each worker process, batches hold several windows, results don't depend on their size."""
+    (tmp_path / "weights.txt").write_text("3")
+    made = tmp_path / "made"
+    made.mkdir()
+
+    def make(path):
+        import os
+        import uuid
+
+        factor, sizes = float(open(path).read()), []
+        (made / f"{os.getpid()}-{uuid.uuid4().hex}").touch()
+
+        def predict(cubes):
+            sizes.append(len(cubes))
+            return cubes * factor, cubes + len(cubes) * 0
+
+        return predict
+
+    x = np.random.default_rng(33).random((23, 5, 6))
+    frames = tile.frames_of(vox_of(spark, x), 30)
+    model = tile.loaded(spark, make, str(tmp_path / "weights.txt"))
+    for batch in (1, 5, 1000):
+        got = tile.overlap_add(frames, (23, 5, 6), (4, 3, 4), (0.5, 0.3, 0.3), model, 0.125, outputs=("a", "b"), batch=batch).toPandas()
+        got = got.sort_values(["t", "pixel"])
+        assert np.allclose(got["a"].to_numpy().reshape(x.shape), 3 * x) and np.allclose(got["b"].to_numpy().reshape(x.shape), x)
+    pids = [f.name.split("-")[0] for f in made.iterdir()]
+    assert pids and len(set(pids)) == len(pids)
+
+
 def test_median_matches_numpy(spark):
     x = np.random.default_rng(4).random((2, 5, 6))
     frames = spark.createDataFrame([(k, f.ravel().tolist()) for k, f in enumerate(x)], "t long, v array<double>")
@@ -245,7 +293,8 @@ def test_correlation_and_distances_in_blocks(spark):
         assert abs(c - np.corrcoef(x[i, shared], x[j, shared])[0, 1]) < 1e-9
     points = spark.createDataFrame([(k, float(h), float(w)) for k, (h, w) in enumerate(rng.random((25, 2)))], "mask_id long, com_h double, com_w double")
     a, b = (pairs.distance_to(points, points, 2.0, block=n).orderBy("i", "j").collect() for n in (4, 10_000))
-    assert a == b and len(a) == 625
+    c = pairs.distance_to(points, points, 2.0, block=4, share=6).orderBy("i", "j").collect()
+    assert a == b == c and len(a) == 625
 
 
 def test_merges_against_serial_loops(spark):

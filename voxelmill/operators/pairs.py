@@ -2,17 +2,42 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelmill.operators.features import area
 
 
-def _meet(left: DataFrame, right: DataFrame | None) -> DataFrame:
-    """``pixel, i, x, j, y``: values of pairs at shared pixels; pairs of one table once, with i below j."""
+#: Masks at one pixel beyond which their pairs are cut into blocks, and pixels of that kind that are broadcast at most.
+CROWD, FEW_PIXELS = 1_000, 100_000
+
+
+def _meet(left: DataFrame, right: DataFrame | None, crowd: int = CROWD) -> DataFrame:
+    """``pixel, i, x, j, y``: values of pairs at shared pixels; pairs of one table once, with i below j.
+
+    Masks are counted by pixel first. Where more than ``crowd`` meet, both sides are dealt to parts of
+    about that many, and each part of one side meets each of the other in a key of its own, so a
+    pixel of all masks is shared by many tasks.
+    """
     a = left.select("pixel", F.col("mask_id").alias("i"), F.col("val").alias("x"))
     b = (left if right is None else right).select("pixel", F.col("mask_id").alias("j"), F.col("val").alias("y"))
-    joined = a.join(b, "pixel")
+    sides = [a.select("pixel", F.lit(1).alias("na"), F.lit(int(right is None)).alias("nb"))]
+    if right is not None:
+        sides.append(b.select("pixel", F.lit(0).alias("na"), F.lit(1).alias("nb")))
+    counts = functools.reduce(DataFrame.unionByName, sides).groupBy("pixel").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    crowded = counts.where((F.greatest("na", "nb") > crowd) & (F.least("na", "nb") > 0))
+    crowded = crowded.select("pixel", *[F.ceil(F.col(n) / crowd).alias(p) for n, p in (("na", "pa"), ("nb", "pb"))])
+    some = crowded.limit(FEW_PIXELS + 1).collect()
+    if some:
+        if len(some) <= FEW_PIXELS:
+            crowded = F.broadcast(left.sparkSession.createDataFrame(some, crowded.schema))
+        a, b = (side.join(crowded, "pixel", "left").fillna(1, ["pa", "pb"]) for side in (a, b))
+        whole = {s: F.explode(F.sequence(F.lit(0).cast("long"), F.col(p) - 1)) for s, p in (("a", "pb"), ("b", "pa"))}
+        a = a.select("pixel", "i", "x", F.pmod(F.xxhash64("i"), "pa").alias("p"), whole["a"].alias("q"))
+        b = b.select("pixel", "j", "y", F.pmod(F.xxhash64("j"), "pb").alias("q"), whole["b"].alias("p"))
+    joined = a.join(b, ["pixel", "p", "q"] if some else "pixel").select("pixel", "i", "x", "j", "y")
     return joined.where("i < j") if right is None else joined
 
 
@@ -90,17 +115,24 @@ def near_pairs(centroids: DataFrame, distance: float) -> DataFrame:
     return near(centroids, centroids, distance).where("i < j")
 
 
-def distance_to(left: DataFrame, right: DataFrame, pixel_size: float, block: int = 10_000) -> DataFrame:
+def distance_to(left: DataFrame, right: DataFrame, pixel_size: float, block: int = 10_000, share: int = 100_000) -> DataFrame:
     """``i, j, distance``: all centroid distances, as the result has a row for each pair.
 
-    The right side is dealt to blocks of about ``block`` rows, each one array; every left row meets
-    every block in an equi-join, so neither side is gathered whole. A single block is broadcast.
+    The right side is dealt to blocks of about ``block`` rows, each one array, and the left to shares of
+    about ``share`` rows. Each share meets each block in a key of its own, so neither side is gathered
+    whole, and tasks grow in number with both. A single block is broadcast.
     """
     blocks = max(1, -(-right.count() // block))
+    shares = max(1, -(-left.count() // share)) if blocks > 1 else 1
+    numbers = {n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))) for n in (blocks, shares)}
     entry = F.struct(F.col("mask_id").alias("j"), F.col("com_h").alias("h"), F.col("com_w").alias("w"))
     arrays = right.groupBy(F.pmod(F.xxhash64("mask_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(entry).alias("r"))
-    each = left.select(F.col("mask_id").alias("i"), "com_h", "com_w", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    each = each.join(F.broadcast(arrays) if blocks == 1 else arrays, "block").select("i", "com_h", "com_w", F.explode("r").alias("r"))
+    each = left.select(F.col("mask_id").alias("i"), "com_h", "com_w", F.pmod(F.xxhash64("mask_id"), F.lit(shares)).alias("share"), numbers[blocks].alias("block"))
+    if blocks == 1:
+        each = each.join(F.broadcast(arrays), "block")
+    else:
+        each = each.join(arrays.select("block", "r", numbers[shares].alias("share")), ["block", "share"])
+    each = each.select("i", "com_h", "com_w", F.explode("r").alias("r"))
     dh, dw = F.col("com_h") - F.col("r.h"), F.col("com_w") - F.col("r.w")
     return each.select("i", F.col("r.j").alias("j"), (F.sqrt(dh * dh + dw * dw) * pixel_size).alias("distance"))
 
