@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxelmill.functions import raster
 from voxelmill.functions.graph import connected, greedy_seeds
 from voxelmill.functions.tables import Tables
 from voxelmill.jobs import footprints
@@ -255,6 +256,103 @@ def test_flagship_on_a_small_video(spark):
     assert segment.slice_connect(frames.limit(0), 0.5, 8, 8, 2).count() == 0
 
 
+def test_flagship_report_from_frames_to_scores(spark):
+    """Two neurons found, a line filtered, a true mask missed; peaks against numpy."""
+    rng, side = np.random.default_rng(41), 16
+    x = rng.random((12, side, side)) * 0.05
+    x[:6, 2:6, 2:6] += 1
+    x[4:, 9:13, 9:13] += 2
+    x[:4, 14, 1:9] += 1
+    frames = spark.createDataFrame([(k, f.ravel().tolist()) for k, f in enumerate(x)], "t long, v array<double>")
+    square = {1: (2, 2), 2: (9, 9)}
+    truth = masks_of(spark, [(n, (a + i) * side + b + j, 1) for n, (a, b) in square.items() for i in range(4) for j in range(4)] + [(3, 15 * side + 15, 1)])
+    p = footprints.Params(h=side, w=side, ratio=4)
+    got = {r["neuron"]: r.asDict() for r in footprints.report(frames, truth, p).collect()}
+    assert set(got) == {1, 2, 3} and got[3]["part_id"] is None and got[3]["area"] is None
+    masks = footprints.cleaned(frames, p, Tables(spark))[0]
+    rings = traces.background_rings(masks, side, side).toPandas().groupby("mask_id")["pixel"].apply(list)
+    flat = x.reshape(12, -1)
+    for n, (a, b) in square.items():
+        row = got[n]
+        own = [(a + i) * side + b + j for i in range(4) for j in range(4) if not (i in (0, 3) and j in (0, 3))]
+        clean = flat[:, own].mean(1) - 0.7 * flat[:, rings[row["part_id"]]].mean(1)
+        assert (row["area"], row["n_frames"], row["mask_id"] * side * side) == (12, 6 if n == 1 else 8, row["part_id"])
+        assert np.allclose([row["iou"], row["peak"], row["snr"]], [0.75, clean.max(), clean.max() / clean.std()])
+        assert np.allclose([row["precision"], row["recall"], row["f1"]], [1, 2 / 3, 0.8])
+    none = footprints.report(frames.limit(0), truth, p).collect()
+    assert sorted(r["neuron"] for r in none) == [1, 2, 3] and {r["f1"] for r in none} == {0.0}
+    alone = footprints.report(frames, truth.limit(0), p).collect()
+    assert len(alone) == 2 and all(r["neuron"] is None and r["recall"] == 0.0 for r in alone)
+
+
+def flooded(pixels, w, around):
+    """The shapes of a set of (row, column), in order of their first pixels, by a plain flood."""
+    left, out = set(pixels), []
+    while left:
+        shape, todo = set(), [min(left)]
+        while todo:
+            q = todo.pop()
+            if q in left:
+                left.remove(q)
+                shape.add(q)
+                todo += [(q[0] + y, q[1] + x) for y, x in around]
+        out.append(shape)
+    return out
+
+
+CROSS = [(0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)]
+ROUND = [(y, x) for y in (-1, 0, 1) for x in (-1, 0, 1)]
+
+
+def test_shapes_filters_and_opening_row_by_row(spark):
+    rng, h, w, bounds = np.random.default_rng(43), 10, 11, (0.3, 2.0, 0.5, 2.0)
+    m = {i: {(int(y), int(x)) for y, x in np.argwhere(rng.random((h, w)) < share)} for i, share in enumerate([0.3, 0.4, 0.5, 0.6, 0.7, 0.8] * 4)}
+    box = {(y, x) for y in range(2, 7) for x in range(2, 7)}
+    m |= {100: box - {(4, 4)}, 101: {(5, x) for x in range(1, 9)}, 102: {(3, 3)}, 103: {(y, x) for y in range(4) for x in range(4)} | {(9, x) for x in range(11)}, 104: box}
+    df = masks_of(spark, [(i, y * w + x, 1) for i, own in m.items() for y, x in own])
+
+    def inside(q):
+        return 0 <= q[0] < h and 0 <= q[1] < w
+
+    def compact(shape):
+        on = np.zeros((h, w), bool)
+        on[tuple(zip(*shape))] = True
+        points = raster.outline(on)
+        return len(points), len(points) > 1 and raster.is_compact(points, bounds)
+
+    def filled(shape):
+        rest = {(y, x) for y in range(-1, h + 1) for x in range(-1, w + 1)} - shape
+        return {(y, x) for y in range(h) for x in range(w)} - next(s for s in flooded(rest, w, CROSS) if (-1, -1) in s)
+
+    def grow(s):
+        return {q for y, x in s for q in ((y + a, x + b) for a, b in CROSS) if inside(q)}
+
+    def shrink(s):
+        return {(y, x) for y in range(h) for x in range(w) if all((y + a, x + b) in s for a, b in CROSS if inside((y + a, x + b)))}
+
+    kept, split, parts = set(), {}, set()
+    for i, own in m.items():
+        found = flooded(own, w, ROUND)
+        kept |= {(i, y * w + x) for s in found if compact(s)[1] for y, x in filled(s)}
+        longest = max(found, key=lambda s: compact(s)[0])
+        if compact(longest)[0] > 1:
+            split[i] = compact(longest)[1]
+        for k, s in enumerate(flooded(grow(shrink(shrink(grow(own)))), w, ROUND)):
+            parts |= {(i, k, y * w + x) for y, x in shrink(grow(s))}
+    got = filters.filter_ellipse(df, bounds, h, w).collect()
+    assert {(r["mask_id"], r["pixel"]) for r in got} == kept and len(got) == len(kept)
+    assert {p for i, p in kept if i == 100} == {y * w + x for y, x in box} and not {i for i, _ in kept} & {101, 102}
+    assert {p for i, p in kept if i == 103} == {y * w + x for y in range(4) for x in range(4)}
+    assert {r["mask_id"]: r["compact"] for r in filters.ellipse_split(df, bounds, h, w).collect()} == split
+    assert split[100] and not split[101] and not split[103] and 102 not in split and len(set(split.values())) == 2
+    got = morph.open_close(df, 3, 3, h, w).collect()
+    assert {(r["mask_id"], r["part"], r["pixel"]) for r in got} == parts and len(got) == len(parts) and max(k for _, k, _ in parts) > 0
+    between = {i for i, own in m.items() if 24 < len(own) < 60}
+    want = {r for r in parts if r[0] in between} | {(i, 0, y * w + x) for i, own in m.items() if i not in between for y, x in own}
+    got = morph.open_close_between(df, 24, 60, 3, 3, h, w).collect()
+    assert {(r["mask_id"], r["part"], r["pixel"]) for r in got} == want and len(got) == len(want) and 24 == len(m[100]) and 100 not in between
+
+
 def test_shards_are_equal_and_cover_all(spark):
     got = evaluate.shards(spark.range(45), "id", 7, 3, Tables(spark)).toPandas()
     assert len(got) == 49 and set(got["id"]) == set(range(45))

@@ -522,6 +522,11 @@ def footprints(spark, d):
     return flagship.footprints(views.frames(spark, d))
 
 
+@query()
+def footprint_report(spark, d):
+    return _rounded(flagship.report(views.frames(spark, d), _truth_masks(spark, d), flagship.Params(match=0.8)), "peak", "snr", "iou", "precision", "recall", "f1")
+
+
 # -- filters and shapes ------------------------------------------------------------------------
 
 
