@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 Shape = tuple[int, int, int]
 
+#: Values (8 MB) of the frames that a task adds up at once.
+AT_ONCE = 1 << 20
+
 _IN_WORKER: dict[str, Callable] = {}
 
 
@@ -94,10 +97,11 @@ def overlap_add(
     """``t, pixel`` and a column for each output: weighted means of the predictions of all windows that hold a voxel.
 
     ``predictor`` takes an array of the window's shape and returns one, or a tuple of them for
-    several ``outputs``; a ``Loaded`` one takes ``batch`` windows at once, which a task holds. ``process(predictions, weights)`` may replace both after it. ``weight_map``
-    replaces the weights of a window. Videos smaller than a window are padded with zeros, half before
+    several ``outputs``; a ``Loaded`` one takes ``batch`` windows at once, which a task holds.
+    ``process(predictions, weights)`` may replace both after it. ``weight_map`` replaces the weights
+    of a window. Videos smaller than a window are padded with zeros, half before
     and the odd one after. Frames ``t, v`` are cut to patches; a batch gathers its windows' patches, and a
-    frame the weighted patches of its windows, so a voxel travels as 8 bytes of an array.
+    few frames the weighted patches of their windows, so a voxel travels as 8 bytes of an array.
 
     Predictions of another resolution have the shape ``out_roi``. A window that starts at x then
     starts at floor(x * out / in) of the output, whose size is floor(size * out / in); weights are
@@ -156,16 +160,19 @@ def overlap_add(
         return pd.DataFrame(out, columns=["t", "h0", "w0", "patch"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((k + 1, *out_full[1:]))
-        for h0, w0, patch in pdf[["h0", "w0", "patch"]].itertuples(index=False):
-            total[:, h0 : h0 + out_roi[1], w0 : w0 + out_roi[2]] += np.frombuffer(patch, np.float64).reshape(k + 1, *out_roi[1:])
-        total = total[:, slice(*kept[1]), slice(*kept[2])]
-        mean = (total[:k] / total[k]).reshape(k, -1)
-        return pd.DataFrame({"t": pdf["t"].iloc[:1]} | {f"o{n}": [x] for n, x in enumerate(mean)})
+        ts, of = np.unique(pdf["t"], return_inverse=True)
+        total = np.zeros((len(ts), k + 1, *out_full[1:]))
+        values = np.frombuffer(b"".join(pdf["patch"]), np.float64).reshape(-1, k + 1, *out_roi[1:])
+        for n, h0, w0, patch in zip(of.tolist(), pdf["h0"].tolist(), pdf["w0"].tolist(), values):
+            total[n, :, h0 : h0 + out_roi[1], w0 : w0 + out_roi[2]] += patch
+        total = total[:, :, slice(*kept[1]), slice(*kept[2])]
+        mean = (total[:, :k] / total[:, k:]).reshape(len(ts), k, -1)
+        return pd.DataFrame({"t": ts} | {f"o{n}": list(mean[:, n]) for n in range(k)})
 
     patches = frames.select(F.col("t").cast("long").alias("t"), "v").mapInPandas(cut, "win long, t long, patch binary")
     got = patches.groupBy(F.call_function("div", "win", F.lit(batch)).alias("block")).applyInPandas(predict, "t long, h0 long, w0 long, patch binary")
-    summed = got.groupBy("t").applyInPandas(add, "t long, " + ", ".join(f"o{n} array<double>" for n in range(k)))
+    together = min(64, max(1, AT_ONCE // ((k + 1) * out_full[1] * out_full[2])))  # frames that a task adds up at once
+    summed = got.groupBy(F.floor(F.col("t") / together).alias("block")).applyInPandas(add, "t long, " + ", ".join(f"o{n} array<double>" for n in range(k)))
     each = summed.select("t", F.posexplode(F.arrays_zip(*[f"o{n}" for n in range(k)])).alias("pixel", "o"))
     return each.select("t", F.col("pixel").cast("long").alias("pixel"), *[F.col(f"o.o{n}").alias(c) for n, c in enumerate(outputs)])
 
