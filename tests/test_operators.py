@@ -501,6 +501,9 @@ def test_files(spark, tmp_path):
     assert [r["v"] for r in rows] == [[float(v) - 32768 for v in p.ravel()] for p in x]
     (tmp_path / "d.json").write_text('{"training": [{"image": "a", "label": "b"}],\n "validation": []}')
     assert [tuple(r) for r in volumes.read_datalist(spark, str(tmp_path / "d.json")).collect()] == [("training", "a", "b")]
+    (tmp_path / "e.json").write_text('{"training": [{"image": "a", "label": "/b"}], "test": ["c", "s3a://k/d"]}')
+    got = [tuple(r) for r in volumes.read_datalist(spark, str(tmp_path / "e.json"), "/data/").collect()]
+    assert got == [("training", "/data/a", "/b"), ("test", "/data/c", None), ("test", "s3a://k/d", None)]
     m = masks_of(spark, [(1, 8 * a + b, 1) for a in (1, 2) for b in (1, 2)])
     assert volumes.rois(m, 8, 8).first()["roi"][:4] == b"Iout"
 

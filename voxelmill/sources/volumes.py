@@ -6,6 +6,7 @@ ranges of pages (``sources.tiff``). Frames are rows ``path, t, h, w, v``.
 
 from __future__ import annotations
 
+import functools
 import gzip
 import io
 import struct
@@ -73,12 +74,21 @@ def signed_offset(frames: DataFrame) -> DataFrame:
     return high.withColumn("v", F.when(F.col("top") > 32767, F.transform("v", lambda x: x - F.lit(32768.0).cast("float"))).otherwise(F.col("v"))).drop("top")
 
 
-def read_datalist(spark: SparkSession, path: str) -> DataFrame:
-    """``split, image, label`` from a JSON object with lists of image and label paths."""
-    lists = spark.read.schema("training array<struct<image: string, label: string>>, validation array<struct<image: string, label: string>>")
-    lists = lists.option("multiLine", True).json(path)
-    parts = [lists.select(F.lit(s).alias("split"), F.inline(s).alias("image", "label")) for s in ("training", "validation")]
-    return parts[0].unionByName(parts[1])
+def read_datalist(spark: SparkSession, path: str, base: str | None = None) -> DataFrame:
+    """``split, image, label`` from a JSON object with lists of image and label paths, and a ``test`` list of images alone.
+
+    Relative paths are taken from ``base``. Missing lists give no rows, and test images a null label.
+    """
+    pair = "array<struct<image: string, label: string>>"
+    lists = spark.read.schema(f"training {pair}, validation {pair}, test array<string>").option("multiLine", True).json(path)
+    test = F.transform("test", lambda x: F.struct(x.alias("image"), F.lit(None).cast("string").alias("label")))
+    parts = [lists.select(F.lit(s).alias("split"), F.inline(c).alias("image", "label")) for s, c in (("training", "training"), ("validation", "validation"), ("test", test))]
+    rows = functools.reduce(DataFrame.unionByName, parts)
+    if base is None:
+        return rows
+    at = base.rstrip("/") + "/"
+    whole = {c: F.when(F.col(c).rlike("^(/|[A-Za-z][A-Za-z0-9+.-]*:)"), F.col(c)).otherwise(F.concat(F.lit(at), F.col(c))) for c in ("image", "label")}
+    return rows.withColumns(whole)
 
 
 def nifti_head(shape: tuple[int, int, int], dtype: np.dtype) -> bytes:
