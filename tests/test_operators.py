@@ -421,6 +421,38 @@ def test_merges_against_serial_loops(spark):
         assert {r["mask_id"]: r["group_id"] for r in got.collect()} == want and len(set(want.values())) < len(want)
 
 
+class Counted(Tables):
+    """Kept tables, with the number of rows of the largest."""
+
+    most = 0
+
+    def keep(self, df):
+        out = super().keep(df)
+        self.most = max(self.most, out.count())
+        return out
+
+
+def test_crowded_centroids_keep_no_table_of_pairs(spark):
+    """Copies, crowds and a line in ascending order, by rounds and by the serial loop; tables stay as long as the masks."""
+    rng = np.random.default_rng(8)
+    crowd = [(float(h), float(w)) for h, w in rng.integers(0, 40, (500, 2)) / 16]
+    centres = dict(enumerate(crowd + crowd[:60] + [(9.0, 0.75 * k - 3) for k in range(12)]))
+    centres = {int(k): c for k, c in zip(rng.permutation(560).tolist() + list(range(560, 572)), centres.values(), strict=True)}
+    ids = sorted(centres)
+    place, group = np.array([centres[k] for k in ids]), {}
+    for k, near in zip(ids, ((place[:, None] - place) ** 2).sum(2) <= 1, strict=True):
+        if k not in group:
+            group |= {ids[j]: k for j in np.flatnonzero(near) if ids[j] not in group}
+    df = spark.createDataFrame([(k, *c) for k, c in centres.items()], "mask_id long, com_h double, com_w double").repartition(3)
+    for rounds, most in ((4, 500_000), (2, 9)):
+        tables = Counted(spark)
+        got = {r["mask_id"]: r["group_id"] for r in merge.groups_by_centroid(df, 1.0, tables, rounds, most).collect()}
+        assert got == group and 8 < len(set(group.values())) < 40
+        assert tables.most <= len(ids)  # 40,000 pairs and more before
+    lost = spark.createDataFrame([(1, None, 0.0), (2, float("nan"), 0.0), (3, 0.0, 0.0), (4, 0.5, 0.0)], df.schema)
+    assert {r["mask_id"]: r["group_id"] for r in merge.groups_by_centroid(lost, 1.0, Tables(spark)).collect()} == {1: 1, 2: 2, 3: 3, 4: 3}
+
+
 def consumed(edges, areas, most):
     """The literal loop over all pairs in order, component by component: a mask's group, None if deleted."""
     group = {}
