@@ -421,6 +421,30 @@ def test_merges_against_serial_loops(spark):
         assert {r["mask_id"]: r["group_id"] for r in got.collect()} == want and len(set(want.values())) < len(want)
 
 
+def test_own_overlap_by_lists_against_a_plain_product(spark):
+    """Crowded pixels, wide masks and copies of pairs; no join of rows with rows, whatever the size."""
+    rng = np.random.default_rng(31)
+    x = rng.integers(1, 5, (40, 50)) * (rng.random((40, 50)) < 0.2)
+    x[:, 7], x[5] = 2, 3  # a pixel of all masks, a mask of all pixels
+    m = masks_of(spark, [(int(k) * 3 - 20, int(p), int(x[k, p])) for k, p in zip(*np.nonzero(x), strict=True)])
+    want = {(i * 3 - 20, j * 3 - 20): float(x[i] @ x[j]) for i in range(40) for j in range(i + 1, 40) if x[i] @ x[j]}
+    for crowd, wide, meets in ((1_000, 100_000, 1_000_000), (6, 100_000, 500), (1_000, 9, 500), (6, 9, 10_000)):
+        df = pairs.overlap(m, None, crowd, wide, meets)
+        rows = df.collect()
+        assert {(r["i"], r["j"]): r["overlap"] for r in rows} == want and len(rows) == len(want)
+    plain = pairs.overlap(m)
+    assert "Join" not in plain._jdf.queryExecution().optimizedPlan().toString()  # rows met rows before, and each pair was shuffled
+    assert pairs.overlap(m.limit(0)).count() == 0 and pairs.containment(m.limit(0)).count() == 0
+    area = (x * x).sum(1)
+    both = want | {(j, i): o for (i, j), o in want.items()}
+    own = {(i, j): o / area[(i + 20) // 3] for (i, j), o in both.items()}
+    assert {(r["i"], r["j"]): r["ratio"] for r in pairs.containment(m).collect()} == own
+    assert {(r["j"], r["i"]): r["ratio"] for r in pairs.overlap_ratio(m).collect()} == own
+    assert {(r["i"], r["j"]): r["iou"] for r in pairs.iou(m).collect()} == {
+        (i, j): o / (area[(i + 20) // 3] + area[(j + 20) // 3] - o) for (i, j), o in want.items()
+    }
+
+
 class Counted(Tables):
     """Kept tables, with the number of rows of the largest."""
 
