@@ -421,6 +421,35 @@ def test_merges_against_serial_loops(spark):
         assert {r["mask_id"]: r["group_id"] for r in got.collect()} == want and len(set(want.values())) < len(want)
 
 
+def test_centroids_merge_in_single_precision_with_sums_and_times(spark):
+    """Thirds one apart, where double precision falls short of the distance; masks that aren't valid; all that a merge yields."""
+    h = {1: 4 / 3, 2: 7 / 3, 3: 0.3, 4: 0.4, 5: 0.3, 6: 20.0}
+    assert 7 / 3 - 4 / 3 > 1 and 0.4 - 0.3 > 0.1
+    df = spark.createDataFrame([(k, c, 0.0) for k, c in h.items()], "mask_id long, com_h double, com_w double")
+
+    def groups(distance, valid=None, **sizes):
+        got = merge.groups_by_centroid(df, distance, Tables(spark), valid=valid, **sizes)
+        return {r["mask_id"]: r["group_id"] for r in got.collect()}
+
+    assert groups(1.0) == {1: 1, 2: 1, 3: 3, 4: 1, 5: 3, 6: 6}  # 2 alone before
+    assert groups(0.1) == {1: 1, 2: 2, 3: 3, 4: 3, 5: 3, 6: 6}  # 4 alone before
+    assert groups(1.0, spark.createDataFrame([(2,), (3,), (4,)], "mask_id long")) == {2: 2, 3: 3, 4: 3}
+    third = np.random.default_rng(3).integers(0, 30, (120, 2)) / np.array([3, 6])
+    place, want = third.astype(np.float32), {}
+    for k in range(120):
+        if k not in want:
+            dh, dw = (place - place[k]).T
+            want |= {j: k for j in np.flatnonzero(dh * dh + dw * dw <= np.float32(1)).tolist() if j not in want}
+    df = spark.createDataFrame([(k, *c) for k, c in enumerate(third.tolist())], df.schema)
+    assert groups(1.0) == groups(1.0, rounds=1, most=500) == groups(1.0, rounds=1, most=1) == want
+
+    masks = masks_of(spark, [(7, 0, 1), (7, 1, 1), (9, 1, 2), (9, 2, 1), (12, 40, 1)])
+    times = spark.createDataFrame([(7, 3), (9, 3), (9, 5), (12, 3)], "mask_id long, t long")
+    rows = merge.merged(masks, times, merge.merge_com(masks, 8, 1.0, Tables(spark))).collect()
+    assert sorted((r["group_id"], r["mask_id"], r["t"]) for r in rows if r["pixel"] is None) == [(7, 7, 3), (7, 9, 3), (7, 9, 5), (12, 12, 3)]
+    assert sorted((r["group_id"], r["pixel"], r["val"]) for r in rows if r["t"] is None) == [(7, 0, 1.0), (7, 1, 3.0), (7, 2, 1.0), (12, 40, 1.0)]
+
+
 def test_own_overlap_by_lists_against_a_plain_product(spark):
     """Crowded pixels, wide masks and copies of pairs; no join of rows with rows, whatever the size."""
     rng = np.random.default_rng(31)
