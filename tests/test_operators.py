@@ -1,10 +1,12 @@
 """Operators on Spark against serial loops, and their edge cases."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from voxelmill.functions import raster
+from voxelmill.functions import meetings, raster
 from voxelmill.functions.graph import connected, greedy_seeds
 from voxelmill.functions.tables import Tables
 from voxelmill.jobs import footprints
@@ -474,6 +476,61 @@ def test_own_overlap_by_lists_against_a_plain_product(spark):
     }
 
 
+def shuffled(spark, df):
+    """Rows of a frame, and the bytes that its tasks shuffled."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    before = written()
+    return df.collect(), written() - before
+
+
+def test_containment_shuffles_lists_once_and_gives_rows_in_order(spark):
+    """Masks of near ids at many pixels: the list of a pixel goes to a task, not to each mask; one way after the other."""
+    rng = np.random.default_rng(5)
+    x = (rng.random((120, 500)) < 0.5) * rng.integers(1, 3, (120, 500))
+    m = masks_of(spark, [(int(k) + 700, int(p), int(x[k, p])) for k, p in zip(*np.nonzero(x), strict=True)])
+    meets, (rows, size) = sum(n * (n - 1) // 2 for n in (x > 0).sum(0)), shuffled(spark, pairs.containment(m))
+    assert meets > 800_000 and size < meets  # 3,032,362 bytes before, for 895,870 meetings
+    area = (x * x).sum(1)
+    got = [(r["i"] - 700, r["j"] - 700, r["ratio"]) for r in rows]
+    upper = [(i, j) for i in range(120) for j in range(i + 1, 120)]
+    assert got == [(i, j, (x[i] @ x[j]) / area[i]) for i, j in upper + [(j, i) for i, j in upper]]
+
+
+def test_meetings_dealt_to_groups_and_shares(spark):
+    """Kernels alone: values and ids of any size, a heavy mask in several tasks, lists that meet each other, against a plain product."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(-3, 4, (60, 90)) * np.where(rng.random((60, 90)) < 0.5, 0.5, 1)
+    x[rng.random((60, 90)) < 0.6], x[11] = 0, 2.0**60
+    for ids in (np.arange(60) - 7, np.sort(rng.integers(-(2**63), 2**63 - 1, 60)), np.append(np.arange(59), 2**63 - 1)):
+        k, p = np.nonzero(x)
+        batch = pa.RecordBatch.from_pydict({"pixel": p, "j": ids[k], "y": x[k, p]})
+        order = rng.permutation(len(p))
+        batches = [batch.take(pa.array(order[:1000])), batch.take(pa.array(order[1000:]))]
+        weights = np.where(k == 11, 50.0, 1.0)
+        for most in (1e9, 400, 60):
+            cuts, shares = meetings.borders(ids[k], weights, most)
+            assert (most < 1e9) == (len(cuts) > 0) and (most == 1e9 or shares.max() > 1)
+            sent = pa.Table.from_batches(meetings.own_lists(cuts, shares)(iter(batches)))
+            assert set(sent["task"].to_pylist()) <= set(range(shares.sum()))
+            found = {}
+            for task in set(sent["task"].to_pylist()):
+                own = sent.filter(pc.equal(sent["task"], task)).to_batches()
+                for r in pa.Table.from_batches(meetings.added_up(False)(iter(own))).to_pylist():
+                    assert (r["i"], r["j"]) not in found
+                    found[r["i"], r["j"]] = r["overlap"]
+            both = (x != 0).astype(int) @ (x != 0).T
+            assert set(found) == {(ids[i], ids[j]) for i in range(60) for j in range(i + 1, 60) if both[i, j]}
+            assert all(np.isclose(found[ids[i], ids[j]], (x[i] * x[j]).sum()) for i in range(60) for j in range(i + 1, 60) if both[i, j])
+    for v in (np.array([0.5, 1.0]), np.array([np.nan, np.inf]), np.array([2.0**70, 1.0]), np.array([-(2**63), 2**63 - 1, 5]), np.array([3, 3])):
+        assert np.array_equal(meetings.unpacked(meetings.packed(v)), v, equal_nan=True)
+
+
 class Counted(Tables):
     """Kept tables, with the number of rows of the largest."""
 
