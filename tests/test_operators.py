@@ -502,6 +502,16 @@ def test_containment_shuffles_lists_once_and_gives_rows_in_order(spark):
     assert got == [(i, j, (x[i] @ x[j]) / area[i]) for i, j in upper + [(j, i) for i, j in upper]]
 
 
+def test_overlap_ratio_gives_rows_in_order(spark):
+    """One way after the other, each in order of pairs; both ways of a pair came together before."""
+    rng = np.random.default_rng(7)
+    x = (rng.random((30, 80)) < 0.5) * rng.integers(1, 4, (30, 80))
+    m, area = masks_of(spark, [(int(k), int(p), int(x[k, p])) for k, p in zip(*np.nonzero(x), strict=True)]), (x * x).sum(1)
+    upper = [(i, j) for i in range(30) for j in range(i + 1, 30) if x[i] @ x[j]]
+    got = [(r["i"], r["j"], r["ratio"]) for r in pairs.overlap_ratio(m).collect()]
+    assert got == [(i, j, (x[i] @ x[j]) / area[j]) for i, j in upper + [(j, i) for i, j in upper]]
+
+
 def test_meetings_dealt_to_groups_and_shares(spark):
     """Kernels alone: values and ids of any size, a heavy mask in several tasks, lists that meet each other, against a plain product."""
     rng = np.random.default_rng(6)
